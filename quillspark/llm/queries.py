@@ -2,21 +2,126 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import licenses, line_dedup
+from quillspark.llm.byte_bpe import encode_decode
+from quillspark.llm.digest import edited_fingerprints
+from quillspark.llm.packing import pack_documents
 from quillspark.llm.simhash import simhash_near_duplicates
+from quillspark.llm.token_counts import token_counts
+from quillspark.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1_SQL = f"""
+WITH pages AS (
+  SELECT doc_id, source, text, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
+), totals AS (SELECT host, count(*) AS n_pages FROM pages GROUP BY host),
+counts AS (
+  SELECT host, line, count(*) AS n FROM (
+    SELECT host, unnest(list_distinct(list_transform(coalesce(lines, []), lambda x: trim(x)))) AS line FROM pages)
+  WHERE line <> '' GROUP BY host, line
+), bad AS (
+  SELECT host, list(line) AS bad FROM counts JOIN totals USING (host)
+  WHERE n >= {line_dedup.MIN_PAGES} AND n > {line_dedup.RATIO}::DOUBLE * n_pages GROUP BY host
+), kept AS (
+  SELECT p.*, list_filter(lines, lambda x: trim(x) = '' OR bad IS NULL OR NOT list_contains(bad, trim(x))) AS kept
+  FROM pages p LEFT JOIN bad USING (host)
+)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS INTEGER) AS n_lines,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END AS INTEGER) AS n_dropped
+FROM kept
+"""
+
+
+def _op2_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    steps, fits = [], []
+    for k, (name, category, ids) in enumerate(licenses.RULES):
+        needle = "".join(f",{i}," for i in ids)
+        steps.append(
+            f"s{k + 1} AS (SELECT * EXCLUDE (rest), CASE WHEN contains(rest, '{needle}') THEN '{name}|{category}' END AS r{k},"
+            f" replace(rest, '{needle}', '#') AS rest FROM s{k})"
+        )
+        fits.append(f"r{k}")
+    names = [n for n, _, _ in licenses.RULES]
+    first = list(dict.fromkeys(names))
+    fit = ", ".join(
+        "coalesce(" + ", ".join(f"r{k}" for k, n in enumerate(names) if n == name) + ")" for name in first
+    )
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+parts AS (
+  SELECT row_id, k, trim(regexp_replace(lower(list_extract(parts, k)), '[^a-z0-9]+', ' ', 'g')) AS sentence
+  FROM (SELECT row_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (
+    SELECT rowid AS row_id, string_split_regex(coalesce(text, ''), '[.!?;:]*\n|[.!?;:]+[ \t]') AS parts
+    FROM (SELECT row_number() OVER () AS rowid, text FROM documents)))
+), found AS (
+  SELECT row_id, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM parts JOIN known USING (sentence) GROUP BY row_id
+), s0 AS (
+  SELECT d.doc_id, coalesce(f.n, 0) AS n_sentences, coalesce(f.ids, '') AS sentence_ids,
+    ',' || replace(coalesce(f.ids, ''), ',', ',,') || ',' AS rest
+  FROM (SELECT row_number() OVER () AS row_id, doc_id FROM documents) d LEFT JOIN found f USING (row_id)
+), {", ".join(steps)},
+fits AS (
+  SELECT doc_id, n_sentences, sentence_ids, list_filter([{fit}], lambda x: x IS NOT NULL) AS fits FROM s{len(steps)}
+)
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sentence_ids,
+  coalesce(array_to_string(list_transform(fits, lambda x: split_part(x, '|', 1)), ','), '') AS licenses,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(fits, lambda x: split_part(x, '|', 2)))), ','), '') AS categories
+FROM fits
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op2_license_scan": _op2_sql()}
