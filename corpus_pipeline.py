@@ -1,28 +1,77 @@
-"""A corpus pipeline over documents: each stage is one operator."""
+"""A corpus pipeline over documents: each stage is one of the operators.
+
+Toxic documents go, boilerplate lines go, one document of each near-duplicate
+group stays, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.common import broadcast_if_small, written
+from quillspark.llm.line_dedup import drop_boilerplate
+from quillspark.llm.packing import pack_documents
 from quillspark.llm.simhash import simhash_near_duplicates
+from quillspark.llm.toxicity import toxicity_scores
+
+#: Ids that may be broadcast: 2 million longs are 16 MB.
+MAX_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows of these ids; their texts are shuffled only if the ids are too many to broadcast."""
+    gone = written(ids.filter("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), name)
+    return docs.join(broadcast_if_small(gone, MAX_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts toxic go; rows with a null id stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = toxicity_scores(docs, labels)
+    return _without(docs, scores.filter("predicted = 1"), "toxic")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the one with the smallest id."""
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source go; ``n_chars`` counts what is left."""
+    out = drop_boilerplate(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id stays, once.
+
+    Rows with a null id stay. Rows that share an id are told apart only where
+    there are any.
+    """
     classes = simhash_near_duplicates(docs)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = _without(docs, classes.filter("doc_id <> component_id"), "near")
+    twice = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, twice, "repeated").unionByName(again)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 2048."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the classifier's vote nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``."""
-    from quillspark.llm.common import written
-
+    """Apply the stages to the documents of ``sf_dir``, each one's result written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,12 +260,12 @@ def pack(
     blocks = max(1, -(-parts.count() // block_items))
     rows = parts.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
-    def first(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def first(key, pdf):
         pdf = pdf.sort_values("row", ignore_index=True)
         bins = evolve(pdf["length"].tolist(), capacity, seed + 31 * int(key[0]) + int(key[1]))
         return pdf.assign(bin=_to_column(bins, len(pdf)))
 
-    def again(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def again(key, pdf):
         pdf = pdf.sort_values(["guest", "row"], ignore_index=True)
         own, guest = (pdf[pdf["guest"] == g] for g in (0, 1))
         sizes = own["length"].tolist()
@@ -274,7 +273,7 @@ def pack(
         bins = evolve(sizes, capacity, seed + 1009 + 31 * int(key[0]) + int(key[1]), elite=elite)
         return own.drop(columns="guest").assign(bin=_to_column(bins, len(own)))
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key, pdf):
         pdf = pdf.sort_values(["island", "row"], ignore_index=True)
         found = []
         for _, one in pdf.groupby("island", sort=True):

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import licenses, line_dedup
 from quillspark.llm.byte_bpe import encode_decode
 from quillspark.llm.digest import edited_fingerprints
+from quillspark.llm.embed_forest import embedding_near_duplicates
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.simhash import simhash_near_duplicates
 from quillspark.llm.token_counts import token_counts
 from quillspark.llm.toxicity import toxicity_scores
+from quillspark.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -56,6 +66,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
