@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import written
 
 CAPACITY = 2048
-MEMO = 300_000
+MEMO = 1_000_000  #: chunks, and parts of chunks, that a worker remembers
 
 
 # --- tokens -----------------------------------------------------------------
@@ -25,8 +27,8 @@ class WordIds:
     """The ids of a lower-casing word-end BPE, as little-endian 32-bit bytes.
 
     Texts of Latin characters without special tokens are cut at white space and
-    looked up; what is not known yet goes to the library in one call. Any other
-    text goes to the library whole.
+    looked up; a part that is not known yet goes to the library's model. Any
+    other text goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -37,34 +39,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        vocab = self.library.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.library.model
+        # byte-level: bytes that are no printable character stand as 256, 257, ...
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.stand_in = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.other = re.compile("[^\t\n\r -~¡-±´-¸º»¿-įı-ɏ]|<\\|")
         self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
         self.chunk: dict[str, bytes] = {}
         self.part: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        cut = {c: self.parts.findall(c) for c in chunks}
-        if len(self.part) >= MEMO:
-            self.part.clear()
-        new = list({p for ps in cut.values() for p in ps if p not in self.part})
-        if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
-                at = 0
-                for p, stop in zip(new, stops.tolist()):
-                    self.part[p] = ids[at:stop].tobytes()
-                    at = stop
+    def _learn(self, chunks: set[str]) -> None:
+        cut = {}
+        for c in chunks:
+            if c.isalpha():
+                cut[c] = (c,)
+            elif c[-1] in ",." and c[:-1].isalpha():
+                cut[c] = (c[:-1], c[-1])
             else:
-                for p in new:
-                    self.part[p] = self._whole(p)
-        if len(self.chunk) >= MEMO:
-            self.chunk.clear()
-        for c, ps in cut.items():
-            self.chunk[c] = b"".join([self.part[p] for p in ps])
+                cut[c] = self.parts.findall(c)
+        known = self.part
+        if len(known) >= MEMO:
+            known.clear()
+        for p in chain.from_iterable(cut.values()):
+            if p not in known:
+                known[p] = self._word(p)
+        self.chunk.update([(c, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for c, ps in cut.items()])
+
+    def _word(self, word: str) -> bytes:
+        """One part's ids by the library's model alone; it takes bytes as the characters that stand for them."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -74,12 +78,15 @@ class WordIds:
         if self.other.search(text):
             return self._whole(text)
         chunks = text.lower().split()
-        known = self.chunk
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            self._learn(list({c for c in chunks if c not in known}))
-        return b"".join([self.chunk[c] for c in chunks])
+        found = list(map(self.chunk.get, chunks))
+        if None in found:
+            if len(self.chunk) >= MEMO:
+                self.chunk.clear()
+                self._learn(set(chunks))
+            else:
+                self._learn({c for c, f in zip(chunks, found) if f is None})
+            found = map(self.chunk.__getitem__, chunks)
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
