@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.memo import Memo
 from quillspark.llm.pretokenize import splitter
 from quillspark.llm.transducer import MergeTransducer
 
-MEMO = 400_000
+MEMO = 150_000  #: pieces in each generation of a worker's memo
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,8 +30,7 @@ class ByteBPE:
     """Encoder and decoder for one rank file and split pattern.
 
     Each piece of the pattern is encoded on its own. The way through the
-    transducer from its start state is kept for up to ``MEMO`` pieces; beyond
-    that the memo starts anew.
+    transducer from its start state is kept for a bounded number of pieces.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -39,18 +39,14 @@ class ByteBPE:
         self.machine = MergeTransducer(as_text, as_text)
         self.token = {r: t for t, r in ranks.items()}
         self.split = splitter(pattern)
-        self._memo: dict[str, tuple] = {}
+        self._memo = Memo(MEMO, self._piece)
 
     def _piece(self, piece: str) -> tuple:
-        ids = self.machine.whole(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
-        if len(self._memo) >= MEMO:
-            self._memo.clear()
-        self._memo[piece] = ids
-        return ids
+        return self.machine.whole(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
 
     def encode(self, text: str) -> list[int]:
         """The ids of ``text``; special tokens are ordinary text."""
-        get, make = self._memo.get, self._piece
+        get, make = self._memo.young.get, self._memo.miss
         return list(chain.from_iterable([get(p) or make(p) for p in self.split(text)]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:

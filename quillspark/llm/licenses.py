@@ -81,7 +81,7 @@ RULES: list[tuple[str, str, list[str]]] = [
 SPLIT = r"[.!?;:]*\n|[.!?;:]+[ \t]"
 
 #: Words of which every known sentence has one.
-NEEDED = "(?i)licen[sc]|free|copyright|permi|redistrib|software|reserved"
+NEEDED = "(?i)licen[sc]|free|copyright|permi|redistrib|software|reserved|warrant"
 
 
 def normalise(sentence: Column) -> Column:

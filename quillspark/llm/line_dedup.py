@@ -71,26 +71,26 @@ def drop_boilerplate(
     Each row is a page, repeated ones too. Columns named like ``n_lines`` or
     ``n_dropped`` give way. An empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     lines = boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
     by_host = written(
-        lines.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_key").alias("_bad")), "boilerplate"
-    )
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    joined = docs.select(*kept).withColumn("_key", host).join(
-        broadcast_if_small(by_host, MAX_BROADCAST_HOSTS), F.col("_key") == F.col("_host"), "left"
+        lines.groupBy(F.col("host").alias("bad_host")).agg(F.collect_set("line_key").alias("bad")), "boilerplate"
     )
     text = F.col(text_col).cast("string")
-    split = joined.withColumn("_lines", _lines(text)).withColumn(
-        "_left",
-        F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(
-            F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", line_key(x)))
-        ),
+    # the row travels as one column, so no name of it can clash
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in kept]).alias("row"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        _lines(text).alias("lines"),
+    )
+    joined = rows.join(broadcast_if_small(by_host, MAX_BROADCAST_HOSTS), F.col("host") == F.col("bad_host"), "left")
+    left = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("bad", line_key(x)))
     )
-    size = F.coalesce(F.size("_lines"), F.lit(0))
-    out = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col(c) for c in kept]
-    return split.select(
-        *out,
-        F.when(text.isNull(), 0).otherwise(size).alias("n_lines"),
-        F.when(text.isNull(), 0).otherwise(size - F.size("_left")).alias("n_dropped"),
+    done = joined.select("row", "lines", left.alias("left"))
+    size = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0))
+    return done.select(
+        *[F.array_join("left", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in kept],
+        size.alias("n_lines"),
+        (size - F.coalesce(F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0))).alias("n_dropped"),
     )

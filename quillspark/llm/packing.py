@@ -7,7 +7,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
+from quillspark.llm.memo import Memo
 
 CAPACITY = 2048
-MEMO = 1_000_000  #: chunks, and parts of chunks, that a worker remembers
+MEMO = 200_000  #: entries in each generation of a worker's memos
 
 
 # --- tokens -----------------------------------------------------------------
@@ -45,25 +45,15 @@ class WordIds:
         self.stand_in = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.other = re.compile("[^\t\n\r -~¡-±´-¸º»¿-įı-ɏ]|<\\|")
         self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-        self.chunk: dict[str, bytes] = {}
-        self.part: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {}
-        for c in chunks:
-            if c.isalpha():
-                cut[c] = (c,)
-            elif c[-1] in ",." and c[:-1].isalpha():
-                cut[c] = (c[:-1], c[-1])
-            else:
-                cut[c] = self.parts.findall(c)
-        known = self.part
-        if len(known) >= MEMO:
-            known.clear()
-        for p in chain.from_iterable(cut.values()):
-            if p not in known:
-                known[p] = self._word(p)
-        self.chunk.update([(c, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for c, ps in cut.items()])
+        self.chunk = Memo(MEMO, self._chunk)
+        self.part = Memo(MEMO, self._word)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.part(chunk)
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            return self.part(chunk[:-1]) + self.part(chunk[-1])
+        return b"".join(map(self.part, self.parts.findall(chunk)))
 
     def _word(self, word: str) -> bytes:
         """One part's ids by the library's model alone; it takes bytes as the characters that stand for them."""
@@ -78,14 +68,10 @@ class WordIds:
         if self.other.search(text):
             return self._whole(text)
         chunks = text.lower().split()
-        found = list(map(self.chunk.get, chunks))
+        found = list(map(self.chunk.young.get, chunks))
         if None in found:
-            if len(self.chunk) >= MEMO:
-                self.chunk.clear()
-                self._learn(set(chunks))
-            else:
-                self._learn({c for c, f in zip(chunks, found) if f is None})
-            found = map(self.chunk.__getitem__, chunks)
+            miss = self.chunk.miss
+            found = [miss(c) if f is None else f for c, f in zip(chunks, found)]
         return b"".join(found)
 
 

@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.memo import Memo
 from quillspark.llm.transducer import MergeTransducer, compose, prefix_scan
 
-MEMO = 400_000
+MEMO = 150_000  #: entries in each generation of a worker's memos
 MARK = "▁"
 _RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
 _WHOLE = re.compile(r"(?s:.+)")
@@ -43,25 +44,16 @@ class PieceCounter:
             raise ValueError("pieces reach over a word's start")
         ranks = {p: -model.get_score(i) for p, i in ids.items() if len(p) > 1}
         self.machine = MergeTransducer(ranks, ids, lambda c: (0,) * len(c.encode()), counting=True)
-        self._memo: dict[str, int] = {}
-        self._tails: dict[str, int] = {}
+        self._words = Memo(MEMO, self._word)
+        self._parts = Memo(MEMO, self.machine.whole)
         #: No piece joins a letter to another character, so no merge reaches over such a place.
         self._runs = _RUNS if all(len(_RUNS.findall(p.lstrip(MARK))) < 2 for p in ids) else _WHOLE
 
     def _word(self, word: str) -> int:
-        n, mark, tails = 0, MARK, self._tails
+        n, mark = 0, MARK
         for part in self._runs.findall(word) or ("",):
-            part = mark + part
-            k = tails.get(part)
-            if k is None:
-                if len(tails) >= MEMO:
-                    tails.clear()
-                k = tails[part] = self.machine.whole(part)
-            n += k
+            n += self._parts(mark + part)
             mark = ""
-        if len(self._memo) >= MEMO:
-            self._memo.clear()
-        self._memo[word] = n
         return n
 
     def segment_map(self, segment: str, chunk: int = 4096) -> dict[int, tuple]:
@@ -77,7 +69,7 @@ class PieceCounter:
         """The number of pieces of each segment of ``text``, in order."""
         if not text:
             return []
-        get, make = self._memo.get, self._word
+        get, make = self._words.young.get, self._words.miss
         if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
             return [get(w) or make(w) for w in text.split(" ")]
         out = []

@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are word stems: the first 4, 5 and 6 letters of each word. Those that mark
-labelled toxic texts are selected, texts become TF-IDF vectors over them, and a
+Terms are word stems: the first 4, 5 and 6 letters of each word, once as such and
+once for each share of the text's words that they reach, so that a stem used
+often is another term than one used in passing. Those that mark labelled toxic
+texts are selected, texts become TF-IDF vectors over them, and a
 text's score is the vote of its nearest examples, weighted by cosine. A
 block-max inverted index finds them exactly: blocks of examples are visited in
 the order of an upper bound of their cosine until none can enter the result.
@@ -9,8 +11,8 @@ the order of an upper bound of their cosine until none can enter the result.
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
+from quillspark.llm.memo import Memo
 
 FIT_ROWS = 50_000  #: labelled rows that terms are selected from, at most
 EXAMPLES = 4_096  #: examples of each label in the index, at most
@@ -27,12 +30,13 @@ NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
+SHARES = (0.0, 1 / 256, 1 / 128, 1 / 64)  #: of a text's white-space chunks; each is a term of its own
 MIN_TOXIC = 5  #: labelled toxic texts that have a selected term, at least
 MIN_CHI2 = 40.0
 MIN_ODDS = 8.0
 PRIOR_WEIGHT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+_MEMO = 150_000
 
 
 def stems(text: str) -> list[str]:
@@ -40,29 +44,36 @@ def stems(text: str) -> list[str]:
     return [w[:k] for w in _WORD.findall(text.lower()) for k in STEMS if len(w) >= k]
 
 
+def levels(stem: str, count: int, chunks: int) -> list[str]:
+    """The terms that ``count`` uses of a stem in a text of so many chunks make."""
+    return [f"{stem}|{k}" for k, share in enumerate(SHARES) if count >= share * chunks]
+
+
 class Vectorizer:
-    """Counts selected stems; what each white-space chunk holds is memoised up to a bound."""
+    """Counts selected terms; what stems each white-space chunk has is memoised up to a bound."""
 
     def __init__(self, terms: list[str]):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self._memo: dict[str, tuple[int, ...]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        got = tuple(self.at[s] for s in stems(chunk) if s in self.at)
-        if len(self._memo) >= _MEMO:
-            self._memo.clear()
-        self._memo[chunk] = got
-        return got
+        self.levels: dict[str, list[tuple[float, int]]] = {}
+        for i, t in enumerate(terms):
+            stem, k = t.rsplit("|", 1)
+            self.levels.setdefault(stem, []).append((SHARES[int(k)], i))
+        self._memo = Memo(_MEMO, lambda chunk: tuple(s for s in stems(chunk) if s in self.levels))
 
     def counts(self, text: str) -> dict[int, int]:
-        """How often each selected term is in ``text``, by its number."""
-        memo, out = self._memo, {}
-        for chunk in text.lower().split():
-            got = memo.get(chunk)
+        """How often each selected term is in ``text``, by its number; terms of a share count once."""
+        get, miss, found = self._memo.young.get, self._memo.miss, {}
+        chunks = text.lower().split()
+        for chunk in chunks:
+            got = get(chunk)
             if got is None:
-                got = self._chunk(chunk)
-            for i in got:
-                out[i] = out.get(i, 0) + 1
+                got = miss(chunk)
+            for s in got:
+                found[s] = found.get(s, 0) + 1
+        out = {}
+        for s, n in found.items():
+            for share, i in self.levels[s]:
+                if n >= share * len(chunks):
+                    out[i] = n if share == 0 else 1
         return out
 
 
@@ -156,8 +167,11 @@ def select_terms(docs: DataFrame, fit: DataFrame) -> list[str]:
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 into = seen[y]
-                for t in {""}.union(stems(text or "")):
-                    into[t] = into.get(t, 0) + 1
+                into[""] = into.get("", 0) + 1
+                chunks = len((text or "").split())
+                for stem, n in Counter(stems(text or "")).items():
+                    for t in levels(stem, n, chunks):
+                        into[t] = into.get(t, 0) + 1
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield flush()
         yield flush()
