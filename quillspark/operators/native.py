@@ -62,13 +62,14 @@ def term_places(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     base = base.withColumn("low", ascii_lower(F.col("t")))
     text = F.when(F.col("ignore_case"), F.col("low")).otherwise(F.col("t"))
     pairs = base.join(F.broadcast(terms), F.contains(text, F.col("term")))
+    # the cheap look ahead comes first; the guard keeps a filter on the spans, which
+    # the optimizer makes and moves into the join, from running patterns on every pair
     pattern = F.concat(
-        F.when(F.col("word"), F.lit(f"(?<!{JVM_WORD})")).otherwise(F.lit("")),
         F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E"),
-        F.when(F.col("word"), F.lit(f"(?!{JVM_WORD})")).otherwise(F.lit("")),
-        F.lit(")"),
+        F.when(F.col("word"), F.lit(f"(?!{JVM_WORD}))(?<!{JVM_WORD})")).otherwise(F.lit(")")),
     )
-    cut = pairs.withColumn("parts", F.split(F.regexp_replace(text, pattern, F.lit(_MARK)), _MARK, -1)).filter(F.size("parts") > 1)
+    parts = F.split(F.regexp_replace(text, pattern, F.lit(_MARK)), _MARK, -1)
+    cut = pairs.withColumn("parts", F.when(F.contains(text, F.col("term")), parts))
     none = F.array().cast("array<struct<s:bigint,c:bigint>>")
     found = F.aggregate(
         F.slice("parts", 1, F.size("parts") - 1),
