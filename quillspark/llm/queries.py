@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import licenses, line_dedup
+from quillspark.llm import licenses, line_dedup, url_filter
 from quillspark.llm.byte_bpe import encode_decode
 from quillspark.llm.digest import edited_fingerprints
 from quillspark.llm.embed_forest import embedding_near_duplicates
@@ -136,4 +136,63 @@ FROM fits
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op2_license_scan": _op2_sql()}
+def _op5_sql() -> str:
+    u = url_filter
+    rule = verdict = "NULL"
+    for v, h, p in sorted(u.RULES, key=lambda r: (len(r[1] + r[2]), r[0] == "block")):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule, verdict = (f"CASE WHEN {fits} THEN '{x}' ELSE {y} END" for x, y in ((h + p, rule), (v, verdict)))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    levels = []
+    for d in range(1, u.DEPTH + 1):
+        levels.append(f"""
+at{d} AS (SELECT *, array_to_string(tmpl[1:{d - 1}], '/') AS node, tmpl[{d}] AS child FROM tree{d - 1}),
+child{d} AS (SELECT host, node, child, sum(lab) AS lab, sum(bad) AS bad FROM at{d} WHERE child IS NOT NULL GROUP BY host, node, child),
+node{d} AS (SELECT host, node, coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS p, count(*) AS children FROM child{d} GROUP BY host, node),
+merged{d} AS (
+  SELECT host, node, child FROM child{d} JOIN node{d} USING (host, node)
+  WHERE children > 1 AND (children > {u.MAX_CHILDREN} OR lab < {u.MIN_LABELS} OR abs(bad - lab * p) <= {u.Z}::DOUBLE * sqrt(lab * p * (1 - p)))
+),
+tree{d} AS (
+  SELECT a.host, segs, lab, bad, CASE WHEN m.child IS NULL THEN tmpl ELSE list_concat(list_concat(tmpl[1:{d - 1}], ['*']), tmpl[{d + 1}:]) END AS tmpl
+  FROM at{d} a LEFT JOIN merged{d} m ON m.host = a.host AND m.node = a.node AND m.child = a.child
+)""")
+    return f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+base AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+),
+general AS (
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+    lambda x: regexp_replace(regexp_replace(x, '[0-9a-f]{{12,}}|[0-9A-F]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS parts FROM base
+),
+keyed AS (
+  SELECT page_id, host, path, CASE WHEN len(parts) > {u.DEPTH} THEN list_concat(parts[1:{u.DEPTH}], ['**']) ELSE parts END AS segs,
+    try_cast(nullif(regexp_extract(path, '([0-9]+)[.a-z]*/?$', 1), '') AS BIGINT) AS number FROM general
+),
+known AS (
+  SELECT doc_id AS number, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+tree0 AS (
+  SELECT host, segs, count(k.number) AS lab, coalesce(sum(k.bad), 0) AS bad, segs AS tmpl
+  FROM keyed LEFT JOIN known k USING (number) GROUP BY host, segs
+),{",".join(levels)},
+prior AS (SELECT 1 - coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS good FROM tree{u.DEPTH}),
+rejected AS (
+  SELECT host, tmpl FROM tree{u.DEPTH}, prior GROUP BY host, tmpl, good
+  HAVING (sum(lab) - sum(bad) + {u.PRIOR_LABELS}::DOUBLE * good) / (sum(lab) + {u.PRIOR_LABELS}) < {u.MIN_PURITY}
+),
+gone AS (SELECT DISTINCT t.host, segs, TRUE AS gone FROM tree{u.DEPTH} t JOIN rejected r ON r.host = t.host AND r.tmpl = t.tmpl)
+SELECT page_id, k.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN gone THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT * FROM keyed) k LEFT JOIN gone g ON g.host = k.host AND g.segs = k.segs
+""".replace("host = '", "k.host = '").replace("ends_with(host,", "ends_with(k.host,")
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": _OP1_SQL,
+    "op2_license_scan": _op2_sql(),
+    "op5_url_filter": _op5_sql(),
+}

@@ -82,7 +82,7 @@ def rejected_templates(keyed: DataFrame, labelled: DataFrame) -> DataFrame:
         node = child.groupBy("host", "node").agg(
             F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"), F.count("*").alias("children")
         )
-        p = F.col("all_bad") / F.col("all_lab")
+        p = F.coalesce(F.try_divide("all_bad", "all_lab"), F.lit(0.0))
         err = F.sqrt(F.col("lab") * p * (1 - p))
         similar = (F.col("lab") < MIN_LABELS) | (F.abs(F.col("bad") - F.col("lab") * p) <= Z * err)
         merged = (
