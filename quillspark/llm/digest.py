@@ -106,7 +106,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     documents. A partition's last document meets the next partition's first in
     a second, small pass over one row a partition.
 
-    Null texts are empty. Equal ids are ordered by text; a null id comes last.
+    Null texts are empty. Equal ids are ordered by a hash of the text; a null id
+    comes last.
     A table of one row has itself as next; an empty one gives no rows.
     """
     import pandas as pd
@@ -114,8 +115,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("t")]
-    ranged = two.repartitionByRange(*order).sortWithinPartitions(*order)
+    # small keys: the range sampler sends some of them to the driver
+    keyed = two.withColumn("h", F.xxhash64("t")).withColumn("n", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("n")]
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
