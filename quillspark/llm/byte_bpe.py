@@ -6,14 +6,13 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.memo import Memo
+from quillspark.llm.memo import Memo, slices, tool
 from quillspark.llm.pretokenize import splitter
 from quillspark.llm.transducer import MergeTransducer
 
@@ -63,10 +62,9 @@ class ByteBPE:
             yield out
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> ByteBPE:
     """One codec a worker process."""
-    return ByteBPE(path, pattern)
+    return tool(("bytes", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode_decode(
@@ -82,7 +80,7 @@ def encode_decode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         names = {i: str(i) for i in bpe.token}
-        for b in batches:
+        for b in slices(batches):
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1).to_pylist():
                 ids = bpe.encode(text or "")

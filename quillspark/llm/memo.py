@@ -1,8 +1,9 @@
-"""A bounded memo for worker processes."""
+"""What worker processes keep between tasks, and how little of it at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 
 class Memo:
@@ -32,3 +33,30 @@ class Memo:
     def __call__(self, key):
         value = self.young.get(key)
         return self.miss(key) if value is None else value
+
+
+_tool: tuple | None = None
+
+
+def tool(key: Hashable, make: Callable):
+    """The one large tool that this worker process keeps; another key replaces it."""
+    global _tool
+    if _tool is None or _tool[0] != key:
+        release()
+        _tool = (key, make())
+    return _tool[1]
+
+
+def release() -> None:
+    """Let go of the tool that another operator's tasks have left in this process."""
+    global _tool
+    if _tool is not None:
+        _tool = None
+        gc.collect()
+
+
+def slices(batches, rows: int = 512) -> Iterator:
+    """Record batches cut small, so that few texts are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

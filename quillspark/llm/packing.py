@@ -6,7 +6,6 @@ import random
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
-from quillspark.llm.memo import Memo
+from quillspark.llm.memo import Memo, release, slices, tool
 
 CAPACITY = 2048
 MEMO = 200_000  #: entries in each generation of a worker's memos
@@ -75,10 +74,9 @@ class WordIds:
         return b"".join(found)
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One tokenizer a worker process."""
-    return WordIds(path)
+    return tool(("words", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +85,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path).ids
         step = 4 * CAPACITY
-        for b in batches:
+        for b in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = ids_of(text or "") + b"\0\0\0\0"
@@ -254,6 +252,7 @@ def pack(
     rows = parts.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
     def first(key, pdf):
+        release()
         pdf = pdf.sort_values("row", ignore_index=True)
         bins = evolve(pdf["length"].tolist(), capacity, seed + 31 * int(key[0]) + int(key[1]))
         return pdf.assign(bin=_to_column(bins, len(pdf)))

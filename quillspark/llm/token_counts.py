@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.memo import Memo
+from quillspark.llm.memo import Memo, slices, tool
 from quillspark.llm.transducer import MergeTransducer, compose, prefix_scan
 
 MEMO = 150_000  #: entries in each generation of a worker's memos
@@ -87,10 +86,9 @@ class PieceCounter:
         return sum(self.chunk_counts(text))
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> PieceCounter:
     """One counter a worker process."""
-    return PieceCounter(path)
+    return tool(("pieces", path), lambda: PieceCounter(path))
 
 
 def token_counts(
@@ -106,7 +104,7 @@ def token_counts(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([count(t or "") for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], names=["doc_id", "n_bytes", "n_tokens"])
 

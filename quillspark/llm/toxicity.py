@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
-from quillspark.llm.memo import Memo
+from quillspark.llm.memo import Memo, release, slices
 
 FIT_ROWS = 50_000  #: labelled rows that terms are selected from, at most
 EXAMPLES = 4_096  #: examples of each label in the index, at most
@@ -36,7 +36,7 @@ MIN_CHI2 = 40.0
 MIN_ODDS = 8.0
 PRIOR_WEIGHT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 150_000
+_MEMO = 120_000
 
 
 def stems(text: str) -> list[str]:
@@ -153,6 +153,7 @@ def select_terms(docs: DataFrame, fit: DataFrame) -> list[str]:
     rows = docs.join(F.broadcast(fit), "doc_id").select("text", "toxic")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: tuple[dict, dict] = ({}, {})
 
         def flush():
@@ -164,7 +165,7 @@ def select_terms(docs: DataFrame, fit: DataFrame) -> list[str]:
                 [pa.array(names, pa.string()), *(pa.array(o, pa.int64()) for o in out)], names=["term", "pos", "neg"]
             )
 
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 into = seen[y]
                 into[""] = into.get("", 0) + 1
@@ -172,7 +173,7 @@ def select_terms(docs: DataFrame, fit: DataFrame) -> list[str]:
                 for stem, n in Counter(stems(text or "")).items():
                     for t in levels(stem, n, chunks):
                         into[t] = into.get(t, 0) + 1
-            if len(seen[0]) + len(seen[1]) > 400_000:
+            if len(seen[0]) + len(seen[1]) > 250_000:
                 yield flush()
         yield flush()
 
@@ -227,8 +228,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms = select_terms(two, fit)
 
     def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         vec = Vectorizer(terms)
-        for b in batches:
+        for b in slices(batches, 2048):
             got = [sorted(vec.counts(t or "").items()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
