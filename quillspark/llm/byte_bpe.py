@@ -16,7 +16,7 @@ from quillspark.llm.memo import Memo, slices, tool
 from quillspark.llm.pretokenize import splitter
 from quillspark.llm.transducer import MergeTransducer
 
-MEMO = 150_000  #: pieces in each generation of a worker's memo
+MEMO = 400_000  #: pieces in each generation of a worker's memo
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 INF = float("inf")
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_PAIRS = 1_000_000
 
 
