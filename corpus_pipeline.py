@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_if_small, written
+from quillspark.llm.jaccard import jaccard_near_duplicates
 from quillspark.llm.line_dedup import drop_boilerplate
 from quillspark.llm.packing import pack_documents
-from quillspark.llm.simhash import simhash_near_duplicates
 from quillspark.llm.toxicity import toxicity_scores
 
 #: Ids that may be broadcast: 2 million longs are 16 MB.
@@ -42,10 +42,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest id stays, once.
 
-    Rows with a null id stay. Rows that share an id are told apart only where
+    Near are texts whose five-word shingles have a Jaccard similarity of at
+    least 0.8; op3's three words and three bits are that query's alone. Rows with a null id stay. Rows that share an id are told apart only where
     there are any.
     """
-    classes = simhash_near_duplicates(docs)
+    classes = jaccard_near_duplicates(docs)
     kept = _without(docs, classes.filter("doc_id <> component_id"), "near")
     twice = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "twice")
     if twice.isEmpty():
