@@ -77,8 +77,13 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("All-Rights-Reserved", "proprietary", ["all-rights"]),
 ]
 
-#: Sentences end at a line's end, or at one of these before white space.
-SPLIT = r"[.!?;:]*\n|[.!?;:]+[ \t]"
+#: Sentences end at a blank line (a bare comment mark is blank too), or at one of
+#: ``.!?`` before white space. A mark that begins a line is a comment's.
+SPLIT = r"\n(?:[^a-zA-Z0-9\n]*+\n)++|(?<![.!?;:])(?<!\n[ \t]{0,8})[;:]*+[.!?][.!?;:]*+(?:[ \t]|\r?\n)"
+
+#: Inside of these, a known sentence begins and ends at a line's end or a clause's;
+#: it may run over them, as wrapped lines do.
+BREAK = r"[.!?;:]++[ \t]|\n"
 
 #: Words of which every known sentence has one.
 NEEDED = "(?i)licen[sc]|free|copyright|permi|redistrib|software|reserved|warrant"
@@ -89,12 +94,28 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _known_pattern() -> str:
+    """The known sentences between two breaks (``/``), shortest first, so that a notice of one line is one."""
+    each = sorted(SENTENCES, key=lambda s: (len(s), s))
+    return "(?<=/)(?:" + "|".join(s.replace(" ", "[ /]") for s in each) + ")(?=/)"
+
+
+def _broken(piece: Column) -> Column:
+    """``piece`` normalised, with one ``/`` for each of its breaks and at both ends."""
+    low = F.regexp_replace(F.translate(F.lower(piece), "/", " "), BREAK, "/")
+    plain = F.regexp_replace(low, "[^a-z0-9/]+", " ")
+    return F.regexp_replace(F.concat(F.lit("/"), plain, F.lit("/")), " ?(?:/ ?)+", "/")
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of ``text``, in order."""
+    """The identifiers of the known sentences of ``text``, in order, wrapped and commented ones too."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     # each known sentence has one of these words; the others are not normalised
     maybe = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT, -1), lambda s: s.rlike(NEEDED))
-    return F.filter(F.transform(maybe, lambda s: F.element_at(known, normalise(s))), lambda i: i.isNotNull())
+    found = F.flatten(
+        F.transform(maybe, lambda s: F.regexp_extract_all(_broken(s), F.lit(_known_pattern()), F.lit(0)))
+    )
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "/", " ")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
