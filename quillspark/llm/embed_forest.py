@@ -25,23 +25,21 @@ class Tree:
     """One tree over one label's vectors: random directions, split at the fitting sample's median.
 
     Where the sample is down to a few vectors but the leaf must be smaller
-    still, splitting goes on by random directions through the leaf's own mean.
+    still, splitting goes on by random directions through their mean.
     """
 
     def __init__(self, sample: np.ndarray, depth: int, seed: int):
         self.rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.nodes: list[tuple] = []  # (direction, low, high, left, right), or None for a leaf
-        self.middle: dict[int, tuple[np.ndarray, float]] = {}  # a leaf's mean, and half the width of a spill there
         self._grow(sample, depth)
 
     def _grow(self, sample: np.ndarray, depth: int) -> int:
         at = len(self.nodes)
         self.nodes.append(None)
-        if depth <= 0 or len(sample) < 4:
-            mean = sample.mean(axis=0) if len(sample) else np.zeros(self.dim)
-            # SPILL either side of a normal distribution's median
-            self.middle[at] = mean, 2.5 * SPILL * math.sqrt(((sample - mean) ** 2).mean()) if len(sample) else 0.0
+        if depth <= 0:
+            return at
+        if len(sample) < 4:
             return at
         d = self.rng.standard_normal(self.dim)
         p = sample @ (d / np.linalg.norm(d))
@@ -68,7 +66,7 @@ class Tree:
 
 
 def _deeper(x: np.ndarray, levels: int, mean: np.ndarray, spread: float, seed: int) -> list[tuple[int, np.ndarray]]:
-    """Splits below the fitted part: random directions through the leaf's own mean, with spill."""
+    """Splits below the fitted part: random directions through the leaf's mean, with spill."""
     out = [(1, np.arange(len(x)))]
     rng = np.random.default_rng(seed)
     for _ in range(levels):
@@ -101,12 +99,10 @@ def forest_links(groups: DataFrame, trees: int = TREES, seed: int = 11) -> DataF
 
     ``groups(gid, label, vec)`` holds each vector once. Splits are fitted on a
     bounded sample, dealt to the labels as the hash of the vectors falls; every
-    vector is then sent down every tree. Labels are their text throughout; one
-    that is not in the sample is one leaf, compared whole. A leaf beyond ``MAX_BLOCK`` vectors is
+    vector is then sent down every tree. A leaf beyond ``MAX_BLOCK`` vectors is
     compared block by block, so no task holds more than two blocks and no pair
     of a leaf is left out. Only verified pairs are put out.
     """
-    groups = groups.select("gid", F.col("label").cast("string").alias("label"), "vec")
     sizes = {(r.label, r.dim): r.n for r in groups.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
              .orderBy(F.desc("n")).limit(FIT_VECTORS).collect()}
     sample: dict[tuple, list] = {}
@@ -118,7 +114,7 @@ def forest_links(groups: DataFrame, trees: int = TREES, seed: int = 11) -> DataF
         depth = max(0, math.ceil(math.log2(max(1, sizes.get(key, len(x))) / LEAF)))
         most = max(0, int(math.log2(max(1, len(x) / 8))))
         fitted[key] = [
-            (Tree(x, min(depth, most), seed * 1000 + t), depth - min(depth, most)) for t in range(trees)
+            (Tree(x, min(depth, most), seed * 1000 + t), depth - min(depth, most), x.mean(axis=0)) for t in range(trees)
         ]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +129,12 @@ def forest_links(groups: DataFrame, trees: int = TREES, seed: int = 11) -> DataF
             for key, members in by.items():
                 m = np.array(members)
                 x = _unit(flat[starts[m][:, None] + np.arange(key[1])])
-                for t, (tree, levels) in enumerate(fitted.get(key, [(None, 0)])):
+                for t, (tree, levels, mean) in enumerate(fitted.get(key, [(None, 0, None)] * trees)):
                     found = tree.leaves(x) if tree is not None else [(0, np.arange(len(x)))]
                     for leaf, rows in found:
                         deep = [(1, np.arange(len(rows)))]
                         if levels > 0:
-                            deep = _deeper(x[rows], levels, *tree.middle[leaf], seed * 77 + t)
+                            deep = _deeper(x[rows], levels, mean, 0.02, seed * 77 + t)
                         for code, sub in deep:
                             at = m[rows[sub]]
                             yield pa.RecordBatch.from_arrays(
@@ -150,7 +146,7 @@ def forest_links(groups: DataFrame, trees: int = TREES, seed: int = 11) -> DataF
                                 names=["leaf", "gid", "vec"],
                             )
 
-    routed = groups.mapInArrow(
+    routed = groups.select("gid", F.col("label").cast("string"), "vec").mapInArrow(
         route, "leaf string, gid long, vec array<double>"
     )
     routed = written(routed, "leaves")
