@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import forget, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -51,6 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
         after = written(_star(_star(now, True), False), "links")
         new = _mark(after)
+        forget(now)
         now, settled, mark = after, new == mark, new
         if settled:
             break
