@@ -60,3 +60,10 @@ def slices(batches, rows: int = 512) -> Iterator:
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+def texts(column) -> list[str]:
+    """A string column as Python strings: null is empty, bytes that are no UTF-8 are U+FFFD."""
+    import pyarrow as pa
+
+    return ["" if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]

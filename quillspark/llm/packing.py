@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
-from quillspark.llm.memo import Memo, release, slices, tool
+from quillspark.llm.memo import Memo, release, slices, texts, tool
 
 CAPACITY = 2048
 MEMO = 200_000  #: entries in each generation of a worker's memos
@@ -87,8 +87,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         step = 4 * CAPACITY
         for b in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = ids_of(text or "") + b"\0\0\0\0"
+            for id_, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                ids = ids_of(text) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(out, (id_, k, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -13,8 +13,6 @@ out, so output lags behind the input by less than the longest token.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 INF = float("inf")
 MAX_STATES = 300_000
 MAX_PAIRS = 1_000_000
@@ -172,36 +170,56 @@ class MergeTransducer:
         return (self._state(tuple(grown)), put)
 
     def run(self, text: str, s: int = 0) -> tuple:
-        """``(state, output)`` after reading ``text`` from state ``s``; output still held back is left out."""
-        if len(self.memory) > MAX_STATES and s == 0:
-            self._reset()
+        """``(state, output)`` after reading ``text`` from state ``s``; output still held back is left out.
+
+        States may be dropped and numbered anew on the way, so a number holds
+        only until the next call; :attr:`memory` of it is what lasts.
+        """
         moves = self.moves
-        total = 0 if self.counting else ()
+        out, total = [], 0
         for c in text:
             move = moves[s].get(c)
             if move is None:
+                if len(self.memory) > MAX_STATES:
+                    here = self.memory[s]
+                    self._reset()
+                    moves, s = self.moves, self._state(here)
                 move = moves[s][c] = self._step(s, c)
             s = move[0]
             if move[1]:
-                total += move[1]
-        return (s, total)
+                if self.counting:
+                    total += move[1]
+                else:
+                    out += move[1]
+        return (s, total if self.counting else tuple(out))
 
     def whole(self, text: str):
         """The ids of ``text``, or their number, from the start state to its end."""
         s, out = self.run(text)
         return out + self.final[s]
 
-    def chunk_map(self, chunk: str, entries: Iterable[int] = (0,)) -> dict[int, tuple]:
-        """The chunk as a map from entry states to (exit state, output)."""
-        return {s: self.run(chunk, s) for s in entries}
+    def read(self, text: str, memory: tuple) -> tuple:
+        """``(memory, output)`` after reading ``text`` from a state given by its memory, as processes may share it."""
+        s, out = self.run(text, self._state(memory))
+        return (self.memory[s], out)
 
+    @property
+    def start(self) -> tuple:
+        """The start state's memory."""
+        return ((0, -1, 0 if self.counting else ()),)
 
-def compose(first: dict[int, tuple], second: dict[int, tuple]) -> dict[int, tuple]:
-    """The map of two chunks in a row; associative, so chunks may be joined in any bracketing."""
+
+def compose(first: dict[tuple, tuple], second: dict[tuple, tuple]) -> dict[tuple, tuple]:
+    """The map of two chunks in a row; associative, so chunks may be joined in any bracketing.
+
+    A map takes the memory of the state that a chunk is entered in to that of
+    the state it is left in and the output on the way. What leads to a state
+    that the second map does not know is left out.
+    """
     return {s: (second[m][0], a + second[m][1]) for s, (m, a) in first.items() if m in second}
 
 
-def prefix_scan(maps: list[dict[int, tuple]]) -> list[dict[int, tuple]]:
+def prefix_scan(maps: list[dict[tuple, tuple]]) -> list[dict[tuple, tuple]]:
     """The inclusive scan of chunk maps under :func:`compose`, in log-depth sweeps."""
     out = list(maps)
     step = 1

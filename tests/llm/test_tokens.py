@@ -83,19 +83,58 @@ def test_stream_holds_back_incomplete_characters(bpe):
     assert list(bpe.decode_stream(first[:2])) == ["�"]
 
 
+@settings(max_examples=150, deadline=None)
+@given(text=ALPHABET, chunk=st.integers(1, 9))
+def test_chunks_of_any_size_give_the_same_count(pieces, sp, text, chunk):
+    assert pieces.count(text, chunk) == len(sp.encode(text))
+
+
 def test_chunk_maps_compose(pieces):
     m = pieces.machine
     text = "▁interoperabilities" * 3
     cuts = [text[k : k + 5] for k in range(0, len(text), 5)]
-    maps, entry = [], 0
-    for c in cuts:
-        maps.append(m.chunk_map(c, (entry,)))
-        entry = maps[-1][entry][0]
-    whole = m.chunk_map(text)
-    assert prefix_scan(maps)[-1] == whole
+    maps, entries = [], {m.start}
+    for c in cuts:  # for every state that it may be entered in
+        entries |= {pieces.entry(text[max(0, text.find(c) - k) : text.find(c)]) for k in range(1, 9)}
+        maps.append(pieces.chunk_map(c, "x", entries))
+        entries |= {leave for leave, _ in maps[-1].values()}
+    assert max(len(x) for x in maps) > 3
+    whole = pieces.chunk_map(text)
+    assert prefix_scan(maps)[-1][m.start] == whole[m.start]
     left = compose(compose(maps[0], maps[1]), maps[2])
     assert left == compose(maps[0], compose(maps[1], maps[2]))
-    assert pieces.offsets("a b c")[-1] == pieces.count("a b c")
+    assert pieces.offsets("a b c " * 50, 16)[-1] <= pieces.count("a b c " * 50)
+
+
+def test_maps_that_do_not_meet_are_read_whole(pieces, sp, monkeypatch):
+    monkeypatch.setattr(type(pieces), "entry", lambda self, context: self.machine.read("▁zzq", self.machine.start)[0])
+    text = "interoperabilities of the world " * 9
+    assert pieces.count(text, 7) == len(sp.encode(text))
+    assert len(pieces.offsets(text, 7)) > 9
+
+
+@pytest.mark.parametrize("unit", ["qzxjkvwp", "漢字仮名交", "aGVsbG8gd29ybGQ", "\u0301é"])
+def test_long_unbroken_texts(bpe, tik, pieces, sp, unit):
+    """A megabyte without a space, in time that is linear."""
+    rng = random.Random(3)
+    text = "".join(rng.choice(unit) for _ in range(1_000_000 // len(unit.encode()) * len(unit)))
+    assert len(text.encode()) > 900_000
+    ids = bpe.encode(text)
+    assert ids[:2000] == tik.encode_ordinary(text[:20_000])[:2000]
+    assert bpe.decode_bytes(ids) == text.encode()
+    short = text[:100_000]
+    assert bpe.encode(short) == tik.encode_ordinary(short)
+    assert pieces.count(short) == len(sp.encode(short))
+
+
+def test_states_are_bounded_within_a_piece(monkeypatch, tik):
+    import quillspark.llm.transducer as t
+
+    monkeypatch.setattr(t, "MAX_STATES", 500)
+    fresh, rng = ByteBPE(RANKS, P.PATTERN), random.Random(4)
+    text = "".join(rng.choice("abcdefghij") for _ in range(20_000))
+    assert fresh.encode(text) == tik.encode_ordinary(text)
+    assert len(fresh.machine.memory) <= 502
 
 
 def test_caches_are_only_caches(bpe, monkeypatch, tik, words):
@@ -142,6 +181,23 @@ def test_count_table(docs, sp):
     assert token_counts(docs.limit(0), PIECES).count() == 0
 
 
+def test_long_texts_are_counted_by_chunks(spark, sp, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("the cat 漢sat\n on") for _ in range(n)) for n in (90, 300, 301, 5000)]
+    texts += ["  " * 200, "x" * 333, texts[3], "z " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, PIECES, long=100, part=64).collect()}
+    assert got == {k: len(sp.encode(t)) for k, t in enumerate(texts)}
+
+
+def test_broken_bytes(spark, tik, sp):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62E6BC') AS string) AS text")
+    text = b"a\xffb\xe6\xbc".decode("utf-8", "replace")
+    assert encode_decode(df, RANKS, P.PATTERN).first().n_tokens == len(tik.encode_ordinary(text))
+    assert token_counts(df, PIECES).first().n_tokens == len(sp.encode(text))
+    assert pack_documents(df, WORDS).first().length > 1
+
+
 def check_packing(rows, texts, words):
     by_seq, by_doc = {}, {}
     for r in rows:
