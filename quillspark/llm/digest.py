@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import forget, written
+from quillspark.llm.memo import release, slices, texts
+
+SHARED_BITS = 26  #: 8 MB of bits tell which digests several rows have
 
 
 def canonical(text: str | None) -> str:
@@ -34,33 +38,74 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> float:
     return float(a[0] == b[0] and a[1] == b[1])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bits(docs: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value that the first ``bits`` bits of a ``fingerprint`` may have, as 64-bit words."""
+    at = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long")
+    at = F.shiftright(at, 32 - bits)
+    place = docs.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.pmod("at", F.lit(64)).cast("int").alias("b"))
+    words = place.select("w", F.expr("shiftleft(1L, b)").alias("v"))
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # 2**(bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64)
+    return out
+
+
+def exact_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    prints: DataFrame | None = None,
+    bits: int = SHARED_BITS,
+    of: Callable[[str], str] = digest,
+) -> DataFrame:
     """``(doc_id, fingerprint, group_id)``: the smallest id with the same canonical bytes.
 
-    Digests are grouped, and the bytes of a bucket are compared by its smallest
-    and largest canonical form, which partial aggregation keeps one a digest
-    and task; only if they differ are a bucket's forms told apart by the form
-    itself. Null and empty texts are one group. Null ids take their group's id.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            canon = [canonical(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(digest, canon), pa.string()), pa.array(canon, pa.string())],
-                names=["doc_id", "fingerprint", "canon"],
-            )
+    Rows are grouped by digest. Inside buckets of more than one row the bytes
+    are compared: by the smallest and the largest canonical form of each, that
+    partial aggregation keeps one a digest and task. Other rows' forms do not
+    move: a map of ``2**bits`` bits, whatever the table's size, tells most of
+    them. Only if a bucket's forms differ are its rows grouped by the form.
 
+    ``prints(doc_id, fingerprint)``, if given, is what ``of`` makes of the rows.
+    Null and empty texts are one group. Null ids take their group's id.
+    """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    rows = two.mapInArrow(work, "doc_id long, fingerprint string, canon string")
-    buckets = rows.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-    mixed = buckets.filter("lo <> hi").select("fingerprint", F.lit(True).alias("mixed"))
-    keyed = rows.join(mixed, "fingerprint", "left").select(
-        "doc_id", "fingerprint", F.when(F.col("mixed"), F.col("canon")).alias("form")
+
+    def forms(shared: np.ndarray | None, whole: bool) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for b in slices(batches):
+                canon = [canonical(t) for t in texts(b.column(1))]
+                names = list(map(of, canon))
+                keep = np.ones(len(names), dtype=bool)
+                if shared is not None:
+                    at = np.array([int(n[:8], 16) for n in names], dtype=np.int64) >> (32 - bits)
+                    keep = (shared[at >> 6] >> (at & 63)) & 1 == 1
+                columns = [b.column(0), pa.array(names, pa.string()), pa.array(canon if whole else [None] * len(canon), pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [c.filter(pa.array(keep)) for c in columns], names=["doc_id", "fingerprint", "canon"]
+                )
+
+        return two.mapInArrow(work, "doc_id long, fingerprint string, canon string")
+
+    if prints is None:
+        prints = written(forms(None, False).select("doc_id", "fingerprint"), "prints")
+    buckets = written(
+        prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id")), "buckets"
     )
-    least = keyed.groupBy(F.col("fingerprint").alias("f"), F.col("form").alias("c")).agg(F.min("doc_id").alias("group_id"))
-    return keyed.join(least, (keyed.fingerprint == least.f) & keyed.form.eqNullSafe(least.c), "left").select(
-        "doc_id", "fingerprint", "group_id"
+    shared = _bits(buckets.filter("n > 1"), bits)
+    bucketed = forms(shared, True)
+    edges = bucketed.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    mixed = written(edges.filter("lo <> hi").select(F.col("fingerprint").alias("mixed")), "mixed")
+    one = buckets.select(F.col("fingerprint").alias("f"), "group_id")
+    if mixed.isEmpty():
+        return prints.join(one, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "group_id")
+    clear = prints.join(mixed, F.col("fingerprint") == F.col("mixed"), "left_anti")
+    apart = bucketed.join(mixed, F.col("fingerprint") == F.col("mixed"), "left_semi")
+    least = apart.groupBy(F.col("fingerprint").alias("f"), F.col("canon").alias("c")).agg(F.min("doc_id").alias("group_id"))
+    split = apart.join(least, (F.col("fingerprint") == F.col("f")) & (F.col("canon") == F.col("c")))
+    return clear.join(one, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "group_id").unionByName(
+        split.select("doc_id", "fingerprint", "group_id")
     )
 
 
@@ -104,7 +149,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     give way to as many of the next, or all it has. One range shuffle brings
     neighbours together; each partition streams through a worker that holds two
     documents. A partition's last document meets the next partition's first in
-    a second, small pass over one row a partition.
+    a second, small pass over one row a partition. ``group_id`` is the smallest
+    id with the same canonical bytes, by :func:`exact_groups`.
 
     Null texts are empty. Equal ids are ordered by a hash of the text; a null id
     comes last.
@@ -126,9 +172,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pid = TaskContext.get().partitionId()
         last: _Doc | None = None
         head_at: dict | None = None
-        for b in batches:
+        release()
+        for b in slices(batches):
             rows = []
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for id_, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 doc = _Doc(id_, text)
                 if last is None:
                     head_at = {"kind": 1, "pid": pid, "doc_id": id_, "text": doc.text}
@@ -147,7 +194,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # partition numbers only: one long a partition, however large the table is
     pids = [r.pid for r in heads.select("pid").orderBy("pid").collect()]
     if not pids:
-        return inner
+        return inner.withColumn("group_id", F.col("doc_id"))
     follow = tails.sparkSession.createDataFrame(
         pd.DataFrame({"pid": pids, "next_pid": pids[1:] + pids[:1]}), "pid int, next_pid int"
     )
@@ -155,11 +202,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_compare(_Doc(i, t), _Doc(None, n)) for i, t, n in zip(*(c.to_pylist() for c in b.columns))]
+            got = [_compare(_Doc(i, t), _Doc(None, n)) for i, t, n in zip(b.column(0).to_pylist(), texts(b.column(1)), texts(b.column(2)))]
             yield _batch([(0, 0, None, *r) for r in got])
 
     closed = meet.select("doc_id", "text", "next_text").mapInArrow(close, schema)
-    return inner.unionByName(closed.select(*inner.columns))
+    found = written(inner.unionByName(closed.select(*inner.columns)), "compared")
+    forget(rows)
+    # an id that stands for several texts may be in several groups: each row takes its own digest's
+    groups = exact_groups(two, "doc_id", "t", found.select("doc_id", "fingerprint"))
+    least = groups.groupBy(F.col("doc_id").alias("gd"), F.col("fingerprint").alias("gf")).agg(F.min("group_id").alias("group_id"))
+    return found.join(least, F.col("doc_id").eqNullSafe(F.col("gd")) & (F.col("fingerprint") == F.col("gf"))).select(
+        *inner.columns, "group_id"
+    )
 
 
 _FIELDS = pa.schema(

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
@@ -17,6 +17,7 @@ from quillspark.llm.memo import Memo, release, slices, texts, tool
 
 CAPACITY = 2048
 MEMO = 200_000  #: entries in each generation of a worker's memos
+MEMO_CHARS = 64  #: longer words are not kept
 
 
 # --- tokens -----------------------------------------------------------------
@@ -48,11 +49,12 @@ class WordIds:
         self.part = Memo(MEMO, self._word)
 
     def _chunk(self, chunk: str) -> bytes:
+        part = self.part if len(chunk) <= MEMO_CHARS else self._word
         if chunk.isalpha():
-            return self.part(chunk)
+            return part(chunk)
         if chunk[-1] in ",." and chunk[:-1].isalpha():
-            return self.part(chunk[:-1]) + self.part(chunk[-1])
-        return b"".join(map(self.part, self.parts.findall(chunk)))
+            return part(chunk[:-1]) + part(chunk[-1])
+        return b"".join(map(part, self.parts.findall(chunk)))
 
     def _word(self, word: str) -> bytes:
         """One part's ids by the library's model alone; it takes bytes as the characters that stand for them."""
@@ -69,8 +71,8 @@ class WordIds:
         chunks = text.lower().split()
         found = list(map(self.chunk.young.get, chunks))
         if None in found:
-            miss = self.chunk.miss
-            found = [miss(c) if f is None else f for c, f in zip(chunks, found)]
+            miss, make = self.chunk.miss, self._chunk
+            found = [(miss(c) if len(c) <= MEMO_CHARS else make(c)) if f is None else f for c, f in zip(chunks, found)]
         return b"".join(found)
 
 
@@ -215,6 +217,10 @@ def evolve(
 
 _ROW = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, block long"
 _KEYS = [c.split()[0] for c in _ROW.split(", ")]
+_PLACED = f"{_ROW}, bin long, done boolean"
+LOOSE = 32  #: of a block's bins, the emptiest one in so many meet other blocks' in the next round,
+LOOSE_MOST = 3  #: and of all that have room for ``ROOM`` of a bin, up to one in so many
+ROOM = 1 / 64
 
 
 def _to_bins(assigned) -> list[list[int]]:
@@ -231,61 +237,114 @@ def _to_column(bins: list[list[int]], n: int) -> np.ndarray:
     return out
 
 
-def pack(
-    parts: DataFrame,
-    capacity: int = CAPACITY,
-    block_items: int = 4096,
-    islands: int = 2,
-    migrations: int = 1,
-    seed: int = 7,
-) -> DataFrame:
-    """Pack the rows of ``pieces`` into sequences: adds ``sequence_id`` and ``offset``.
+def _evolved(rows: DataFrame, capacity: int, islands: int, migrations: int, seed: int) -> DataFrame:
+    """``rows`` of ``_ROW`` with the ``bin`` of their block that each goes to.
 
-    Rows are dealt by a hash of their place in the written table into blocks of
-    about ``block_items``; a block is one problem. Several islands evolve each
-    block apart, then each island's best moves to the next island of the ring
-    and all evolve on; at last the best island of a block gives the result. A
-    task holds one block's lengths, never more, and every row is packed.
+    Each block is first packed by best fit, longest first. Where that meets the
+    block's lower bound it cannot be bettered; elsewhere ``islands`` populations
+    evolve, each island's best moves to the next island of the ring and all
+    evolve on; at last the best island of a block gives the result. A task holds
+    one block's lengths, never more.
     """
-    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    blocks = max(1, -(-parts.count() // block_items))
-    rows = parts.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+
+    def bound(sizes: list[int]) -> int:
+        return -(-sum(sizes) // capacity)
 
     def first(key, pdf):
         release()
-        pdf = pdf.sort_values("row", ignore_index=True)
-        bins = evolve(pdf["length"].tolist(), capacity, seed + 31 * int(key[0]) + int(key[1]))
-        return pdf.assign(bin=_to_column(bins, len(pdf)))
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
+        sizes = pdf["length"].tolist()
+        bins = best_fit(range(len(sizes)), sizes, capacity)
+        return pdf.assign(bin=_to_column(bins, len(pdf)), done=len(bins) <= bound(sizes))
 
     def again(key, pdf):
         pdf = pdf.sort_values(["guest", "row"], ignore_index=True)
         own, guest = (pdf[pdf["guest"] == g] for g in (0, 1))
         sizes = own["length"].tolist()
         elite = [_to_bins(x["bin"].reset_index(drop=True)) for x in (own, guest) if len(x)]
-        bins = evolve(sizes, capacity, seed + 1009 + 31 * int(key[0]) + int(key[1]), elite=elite)
-        return own.drop(columns="guest").assign(bin=_to_column(bins, len(own)))
+        bins = evolve(sizes, capacity, seed + 1009 * int(key[2]) + 31 * int(key[0]) + int(key[1]), elite=elite)
+        return own.drop(columns=["guest", "round"]).assign(bin=_to_column(bins, len(own)))
 
     def best(key, pdf):
-        pdf = pdf.sort_values(["island", "row"], ignore_index=True)
         found = []
-        for _, one in pdf.groupby("island", sort=True):
+        for _, one in pdf.sort_values(["island", "row"]).groupby("island", sort=True):
             one = one.reset_index(drop=True)
-            bins = _to_bins(one["bin"])
-            found.append((fitness(bins, one["length"].tolist(), capacity), one))
-        one = max(found, key=lambda f: f[0])[1].sort_values(["bin", "row"], ignore_index=True)
-        one["offset"] = one.groupby("bin")["length"].cumsum() - one["length"]
-        one["sequence_id"] = int(key[0]) * (1 << 20) + one["bin"]
-        return one[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    spread = rows.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-    now = spread.groupBy("block", "island").applyInPandas(first, f"{_ROW}, island int, bin long")
-    for _ in range(migrations if islands > 1 else 0):
-        both = now.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-            "island", F.when(F.col("guest") == 0, F.col("island")).otherwise(F.pmod(F.col("island") + 1, F.lit(islands)))
+            found.append((fitness(_to_bins(one["bin"]), one["length"].tolist(), capacity), one))
+        return max(found, key=lambda f: f[0])[1].drop(columns="island")
+
+    placed = written(rows.select(*_KEYS).groupBy("block").applyInPandas(first, _PLACED), "placed")
+    hard = placed.filter("not done")
+    if hard.isEmpty():
+        return placed.drop("done")
+    island = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
+    now = hard.select(*_KEYS, "bin", island, F.lit(0).alias("guest"), F.lit(0).alias("round"))
+    for step in range(1 + (migrations if islands > 1 else 0)):
+        if step:
+            now = now.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("round", F.lit(step)).withColumn(
+                "island", F.when(F.col("guest") == 0, F.col("island")).otherwise(F.pmod(F.col("island") + 1, F.lit(islands)))
+            )
+        now = now.groupBy("block", "island", "round").applyInPandas(again, f"{_ROW}, bin long, island int")
+    evolved = now.groupBy("block").applyInPandas(best, f"{_ROW}, bin long")
+    return placed.filter("done").drop("done").unionByName(written(evolved, "evolved"))
+
+
+def pack(
+    parts: DataFrame,
+    capacity: int = CAPACITY,
+    block_items: int = 4096,
+    islands: int = 2,
+    migrations: int = 1,
+    seed: int = 7,
+) -> DataFrame:
+    """Pack the rows of ``pieces`` into sequences: adds ``sequence_id`` and ``offset``.
+
+    Rows are dealt by a hash of their place in the written table into blocks of
+    about ``block_items``; a block is one problem. What space blocks leave is in
+    their emptiest bins: those bins' rows are dealt into fewer blocks and packed
+    anew, and so on until one block is left, so the surplus over the lower bound
+    hardly grows with the number of blocks. Every row is packed.
+    """
+    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    count = parts.count()
+    rows = parts.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-count // block_items)))))
+    full, step = [], 0
+    while True:
+        blocks = max(1, -(-count // block_items))
+        placed = _evolved(rows, capacity, islands, migrations, seed + 7919 * step)
+        binned = placed.groupBy("block", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("k"))
+        if blocks > 1:
+            w = Window.partitionBy("block").orderBy("fill", "bin")
+            n = F.count("*").over(Window.partitionBy("block"))
+            place, roomy = F.row_number().over(w), F.col("fill") <= capacity * (1 - ROOM)
+            binned = binned.withColumn(
+                "loose", (place <= F.greatest(n / LOOSE, F.lit(1))) | (roomy & (place <= n / LOOSE_MOST))
+            )
+        else:
+            binned = binned.withColumn("loose", F.lit(False))
+        marked = written(
+            placed.join(binned.select("block", "bin", "loose"), ["block", "bin"]).withColumn("step", F.lit(step)), "binned"
+        )
+        full.append(marked.filter("not loose"))
+        if blocks == 1:
+            break
+        loose = marked.filter("loose")
+        count, step = loose.count(), step + 1
+        # the bins of a block stay together
+        rows = loose.drop("bin", "loose", "step").withColumn(
+            "block", F.pmod(F.xxhash64("block", F.lit(step)), F.lit(max(1, -(-count // block_items))))
         )
-        now = both.groupBy("block", "island").applyInPandas(again, f"{_ROW}, island int, bin long")
-    return now.groupBy("block").applyInPandas(
-        best,
+    kept = full[0]
+    for f in full[1:]:
+        kept = kept.unionByName(f)
+
+    def offsets(key, pdf):
+        pdf = pdf.sort_values(["bin", "row"], ignore_index=True)
+        pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
+        pdf["sequence_id"] = (int(key[0]) << 52) + (int(key[1]) << 20) + pdf["bin"]
+        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+
+    return kept.groupBy("step", "block").applyInPandas(
+        offsets,
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )
 
@@ -293,8 +352,9 @@ def pack(
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of every piece of every document.
 
-    A null text is empty: its one piece is the closing id. Repeated rows are
-    packed as often as they come, a null id is carried along, other columns are
-    not read, and an empty table gives none.
+    A null text is empty: its one piece is the closing id. Bytes that are no
+    UTF-8 count as U+FFFD. Repeated rows are packed as often as they come, a null
+    id is carried along, other columns are not read, and an empty table gives
+    none.
     """
     return pack(pieces(docs, path, id_col, text_col))

@@ -117,6 +117,7 @@ def test_edited_fingerprints(spark):
         assert (r.fingerprint, r.edited_fingerprint) == (digest(canonical(t)), digest(canonical(edited)))
         assert (r.near_edited, r.near_next) == (float(canonical(t) == canonical(edited)), float(canonical(t) == canonical(nxt)))
     assert got[31].near_next == 1.0
+    assert {k: r.group_id for k, r in got.items()} == {5: 5, 9: 9, 2: 2, 7: 7, 30: 5, 31: 5, 12: 12}
     assert edited_fingerprints(df.limit(0)).count() == 0
     assert edited_fingerprints(df.filter("doc_id = 5")).first().near_next == 1.0
     ids = [(None, "x"), (1, "b"), (1, "a")]
@@ -131,6 +132,24 @@ def test_exact_groups(spark):
     )
 
 
+@pytest.mark.parametrize("bits", [6, 12, 26])
+def test_bytes_are_compared_where_digests_are_equal(spark, bits):
+    """A digest of one hex digit that tells: buckets hold several texts and must be split by their bytes."""
+    rows = [(k, f"Text  {k % 60}".upper() if k % 3 else f"text {k % 60}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weak = exact_groups(df, bits=bits, of=lambda canon: ("0" if len(canon) < 7 else digest(canon)[0]) * 32).collect()
+    assert sorted((r.doc_id, r.group_id) for r in weak) == [(k, k % 60) for k in range(400)]
+
+
+def test_long_texts_and_broken_bytes_have_fingerprints(spark):
+    long = "Ab  C" * 200_000
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF') AS string) AS text").union(
+        spark.createDataFrame([(2, long), (3, long.lower())], "doc_id long, text string")
+    )
+    got = {r.doc_id: r for r in edited_fingerprints(df).collect()}
+    assert got[1].n_chars == 2 and got[2].fingerprint == got[3].fingerprint and got[3].group_id == 2
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     rows, k = [], 0

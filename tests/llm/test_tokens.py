@@ -240,6 +240,47 @@ def test_packing_in_blocks_and_islands(spark, words):
     assert len(used) <= len(whole) * 1.03  # blocks this small cost some
 
 
+def test_what_blocks_leave_is_packed_together(spark):
+    rng = random.Random(11)
+    sizes = [min(CAPACITY, 1 + int(rng.lognormvariate(5, 1.2))) for _ in range(6000)]
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(df, block_items=200).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(sizes)))
+    used = {}
+    for r in out:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= CAPACITY
+    assert len(used) <= -(-sum(sizes) // CAPACITY) + 2  # 30 blocks alone leave a bin each, or so
+
+
+def test_crossover_betters_best_fit_on_a_block_of_the_registered_size(spark):
+    """Three pieces fill each sequence: best fit misses many of these triples."""
+    rng, sizes = random.Random(8), []
+    while len(sizes) < 4095:
+        a = rng.randint(600, 760)
+        b = rng.randint(600, CAPACITY - a - 560)
+        sizes += [a, b, CAPACITY - a - b]
+    first = best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, CAPACITY)
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(df, islands=3, migrations=2).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(sizes)))
+    used = {}
+    for r in out:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= CAPACITY
+    print("triples: bound", len(sizes) // 3, "best fit", len(first), "evolved", len(used))
+    assert len(used) < len(first)
+
+
+def test_very_long_texts_are_cut(spark, words):
+    text = "x" * 300_000 + " word" * 40_000
+    rows = pack_documents(spark.createDataFrame([(4, text)], "doc_id long, text string"), WORDS).collect()
+    check_packing(rows, {4: text}, words)
+    assert len(rows) == -(-(len(words._whole(text)) // 4 + 1) // CAPACITY)
+
+
 def test_genetic_operators_keep_every_item():
     rng = random.Random(5)
     sizes = [rng.randint(1, 100) for _ in range(200)]
