@@ -1,142 +1,207 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are word stems: the first 4, 5 and 6 letters of each word, once as such and
-once for each share of the text's words that they reach, so that a stem used
-often is another term than one used in passing. Those that mark labelled toxic
-texts are selected, texts become TF-IDF vectors over them, and a
-text's score is the vote of its nearest examples, weighted by cosine. A
-block-max inverted index finds them exactly: blocks of examples are visited in
-the order of an upper bound of their cosine until none can enter the result.
+Terms are whole words and their first 4 and 5 letters. A term of a text weighs
+1 + the logarithm of its count, times its inverse document frequency, times how
+far its share of toxic texts among learning rows is from that of all of them (in
+logarithms), so that words which tell nothing hardly count. No term is left out
+that any example has; terms without an example meet nothing. A text's vote is
+that of its nearest examples, by the square of their cosine, and a score is the
+vote calibrated on learning rows that are no examples. A block-max inverted
+index finds the nearest exactly: blocks of examples are visited in the order of
+an upper bound of their cosine until none can enter the result.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
-from quillspark.llm.memo import Memo, release, slices
+from quillspark.llm.common import forget, written
+from quillspark.llm.memo import Memo, release, slices, texts, tool
 
-FIT_ROWS = 50_000  #: labelled rows that terms are selected from, at most
-EXAMPLES = 4_096  #: examples of each label in the index, at most
-TERMS = 512
+FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
+CALIBRATION = 5  #: one in so many of them calibrates and is no example
+EXAMPLES = 1_024  #: examples of each label in the index, at most
 NEIGHBOURS = 15
 BLOCK = 64
+STEMS = (4, 5)
+SMOOTH = 2.0  #: expected toxic texts that are added to both sides of a term's ratio
 THRESHOLD = 0.7
-STEMS = (4, 5, 6)
-SHARES = (0.0, 1 / 256, 1 / 128, 1 / 64)  #: of a text's white-space chunks; each is a term of its own
-MIN_TOXIC = 5  #: labelled toxic texts that have a selected term, at least
-MIN_CHI2 = 40.0
-MIN_ODDS = 8.0
-PRIOR_WEIGHT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 120_000
+_MEMO_CHARS = 64
 
 
-def stems(text: str) -> list[str]:
-    """The stems of every word of ``text``, in order, repeats included."""
-    return [w[:k] for w in _WORD.findall(text.lower()) for k in STEMS if len(w) >= k]
+def word_terms(word: str) -> list[int]:
+    """The terms of one lower-case word, as signed 64-bit hashes: the word and its stems."""
+    names = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+    return [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) - (1 << 63) for n in names]
 
 
-def levels(stem: str, count: int, chunks: int) -> list[str]:
-    """The terms that ``count`` uses of a stem in a text of so many chunks make."""
-    return [f"{stem}|{k}" for k, share in enumerate(SHARES) if count >= share * chunks]
+class Terms:
+    """Finds and counts the terms of texts: those of a sorted vocabulary as places in it, or all as hashes."""
 
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.place = None if vocabulary is None else {h: i for i, h in enumerate(vocabulary.tolist())}
+        self._memo = Memo(_MEMO, self._known)
 
-class Vectorizer:
-    """Counts selected terms; what stems each white-space chunk has is memoised up to a bound."""
+    def _known(self, word: str) -> tuple:
+        found = word_terms(word)
+        if self.place is None:
+            return tuple(found)
+        return tuple([self.place[h] for h in found if h in self.place])
 
-    def __init__(self, terms: list[str]):
-        self.levels: dict[str, list[tuple[float, int]]] = {}
-        for i, t in enumerate(terms):
-            stem, k = t.rsplit("|", 1)
-            self.levels.setdefault(stem, []).append((SHARES[int(k)], i))
-        self._memo = Memo(_MEMO, lambda chunk: tuple(s for s in stems(chunk) if s in self.levels))
+    def _miss(self, word: str) -> tuple:
+        return self._memo.miss(word) if len(word) <= _MEMO_CHARS else self._known(word)
 
-    def counts(self, text: str) -> dict[int, int]:
-        """How often each selected term is in ``text``, by its number; terms of a share count once."""
-        get, miss, found = self._memo.young.get, self._memo.miss, {}
-        chunks = text.lower().split()
-        for chunk in chunks:
-            got = get(chunk)
-            if got is None:
-                got = miss(chunk)
-            for s in got:
-                found[s] = found.get(s, 0) + 1
-        out = {}
-        for s, n in found.items():
-            for share, i in self.levels[s]:
-                if n >= share * len(chunks):
-                    out[i] = n if share == 0 else 1
-        return out
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in ascending order, how often each is in ``text``)."""
+        words = Counter(_WORD.findall(text.lower()))
+        get, miss = self._memo.young.get, self._miss
+        found = [miss(w) if (f := get(w)) is None else f for w in words]
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64)
+        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(f) for f in found])
+        terms, at = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(at, weights=times, minlength=len(terms)).astype(np.int64)
+
+
+def unit(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The TF-IDF vector of unit length for counts of terms that weigh ``weights``."""
+    w = (1 + np.log(counts)) * weights
+    size = np.sqrt((w * w).sum())
+    return w / size if size > 0 else w
 
 
 class BlockMaxIndex:
     """Labelled examples by term, in blocks of ``BLOCK`` with each term's largest weight.
 
-    ``rows`` are (id, label, term numbers, weights of unit length). ``nearest``
-    returns exactly the examples of the ``k`` largest positive cosines, equal
-    ones by their place in the index.
+    Examples are given flat: example k has ``terms[ptr[k]:ptr[k + 1]]`` with those
+    ``weights``. ``nearest`` returns exactly the examples of the ``k`` largest
+    positive cosines, equal ones by their place in the index.
     """
 
-    def __init__(self, rows: list[tuple], n_terms: int):
-        # similar examples side by side make a block's bound tight
-        rows = sorted(rows, key=lambda r: (sorted(zip(r[3], r[2]), reverse=True)[:1], r[0]))
-        self.ids = np.array([r[0] for r in rows], dtype=np.int64)
-        self.labels = np.array([r[1] for r in rows], dtype=np.float64)
-        n_blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((n_terms, n_blocks))
-        lists: list[tuple[list, list]] = [([], []) for _ in range(n_terms)]
-        for d, (_, _, terms, weights) in enumerate(rows):
-            for t, w in zip(terms, weights):
-                lists[t][0].append(d)
-                lists[t][1].append(w)
-                self.most[t, d // BLOCK] = max(self.most[t, d // BLOCK], w)
-        self.docs = [np.array(a, dtype=np.int64) for a, _ in lists]
-        self.weights = [np.array(b) for _, b in lists]
-        edges = np.arange(n_blocks + 1) * BLOCK
-        self.starts = [np.searchsorted(d, edges).tolist() for d in self.docs]
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, ids, labels, ptr, terms, weights, n_terms: int):
+        n = len(ids)
+        # similar examples side by side make a block's bound tight: by their heaviest term
+        heavy = np.array([terms[s + weights[s:e].argmax()] if e > s else -1 for s, e in zip(ptr[:-1], ptr[1:])], dtype=np.int64)
+        order = np.lexsort((ids, heavy))
+        self.ids, self.labels = np.asarray(ids)[order], np.asarray(labels, dtype=np.float64)[order]
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        docs = np.repeat(place, np.diff(ptr))
+        by = np.lexsort((docs, terms))
+        self.docs, self.weights = docs[by].astype(np.int32), np.asarray(weights)[by]
+        self.blocks = -(-n // BLOCK)
+        key = np.asarray(terms, dtype=np.int64)[by] * self.blocks + self.docs // BLOCK
+        #: where the entries of (term, block) begin
+        self.starts = np.searchsorted(key, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(n_terms * self.blocks)
+        np.maximum.at(self.most, key, self.weights)
+        self.most = self.most.reshape(n_terms, self.blocks)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the nearest examples of one unit vector."""
-        none = np.empty(0, dtype=np.int64), np.empty(0)
-        if not terms or not len(self.ids):
-            return none
+        places, cosines = np.empty(0, dtype=np.int64), np.empty(0)
+        if not len(terms) or not self.blocks:
+            return places, cosines
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        places, cosines, worst = none[0], none[1], 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(places) == k and bound[b] < worst - 1e-12):
+        done, step, worst = 0, 2, 0.0
+        while done < len(order):
+            blocks = order[done : done + step]
+            blocks = blocks[(bound[blocks] > 0) & ((len(places) < k) | (bound[blocks] >= worst - 1e-12))]
+            if not len(blocks):
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                s, e = self.starts[t][b], self.starts[t][b + 1]
-                if s < e:
-                    acc[self.docs[t][s:e] - b * BLOCK] += w * self.weights[t][s:e]
-            hit = np.flatnonzero(acc > 0)
-            places = np.concatenate([places, hit + b * BLOCK])
-            cosines = np.concatenate([cosines, acc[hit]])
+            at, found = self._score(terms, weights, blocks)
+            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, found])
             keep = np.lexsort((places, -cosines))[:k]
             places, cosines = places[keep], cosines[keep]
-            if len(places) == k:
-                worst = cosines[-1]
+            worst = cosines[-1] if len(places) == k else 0.0
+            done, step = done + step, 2 * step
         return places, cosines
 
-    def score(self, places: np.ndarray, cosines: np.ndarray, prior: float) -> float:
-        """The examples' vote by cosine, shrunk towards the prior."""
-        total = float(cosines.sum())
-        return (float(cosines @ self.labels[places]) + PRIOR_WEIGHT * prior) / (total + PRIOR_WEIGHT)
+    def _score(self, terms, weights, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """The positive cosines of the blocks' examples."""
+        cell = (terms[:, None] * self.blocks + blocks[None]).ravel()
+        first = self.starts[cell]
+        size = self.starts[cell + 1] - first
+        some = size > 0
+        first, size = first[some].astype(np.int64), size[some]
+        ends = np.cumsum(size)
+        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+        mine = np.repeat(np.repeat(weights, len(blocks))[some], size)
+        total = np.bincount(self.docs[flat], weights=mine * self.weights[flat], minlength=len(self.ids))
+        at = (total > 0).nonzero()[0]
+        return at, total[at]
+
+
+class Classifier:
+    """The fitted classifier; a plain value that is sent to the workers."""
+
+    def __init__(self, vocabulary, weights, ids, labels, ptr, terms, counts, prior):
+        self.key = uuid.uuid4().hex
+        self.vocabulary, self.weights = vocabulary, weights
+        self.ids, self.labels, self.ptr, self.terms = ids, np.asarray(labels, dtype=np.float64), ptr, terms
+        self.units = np.concatenate(
+            [np.empty(0), *(unit(counts[s:e], weights[terms[s:e]]) for s, e in zip(ptr[:-1], ptr[1:]))]
+        )
+        self.prior = prior  #: the toxic share of learning rows: the vote of a text that meets no example
+        self.slope, self.offset = 1.0, 0.0
+
+    def fitted(self) -> tuple[Terms, BlockMaxIndex]:
+        """The tools made from it, once a worker process."""
+        return tool(
+            ("toxicity", self.key),
+            lambda: (
+                Terms(self.vocabulary),
+                BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary)),
+            ),
+        )
+
+    def vote(self, labels: np.ndarray, cosines: np.ndarray) -> float:
+        """The share of toxic among the nearest, by squared cosine, as if both labels had as many examples."""
+        toxic = self.labels.sum()
+        each = cosines**2 * np.where(labels > 0, (len(self.labels) - toxic) / max(1.0, toxic), 1.0)
+        total = each.sum()
+        return float(each @ labels / total) if total > 0 else self.prior
+
+    def score(self, vote):
+        """The calibrated probability of label 1."""
+        return 1 / (1 + np.exp(-(self.slope * _logit(vote) + self.offset)))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fit slope and offset of the votes' log odds by logistic regression, held near 1 and 0 by a weak prior."""
+        x, (a, b) = _logit(votes), (1.0, 0.0)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-(a * x + b)))
+            w = p * (1 - p)
+            slope = np.array([((p - labels) * x).sum() + 0.1 * (a - 1), (p - labels).sum() + 0.1 * b])
+            bend = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
+            step = np.linalg.solve(bend, slope)
+            a, b = a - step[0], b - step[1]
+            if abs(step).max() < 1e-10:
+                break
+        self.slope, self.offset = float(max(a, 0.0)), float(b)
+
+
+def _logit(vote):
+    return np.log((vote + 0.02) / (1.02 - vote))
 
 
-def _unit(terms: list[int], counts: list[int], idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(np.array(counts, dtype=np.float64))) * idf[terms]
-    return w / np.sqrt((w * w).sum()) if len(w) else w
+def term_weights(n: int, df: np.ndarray, toxic: np.ndarray, all_: np.ndarray, rows: int, toxic_rows: int) -> np.ndarray:
+    """Each term's weight: inverse document frequency over ``n`` texts, times the log ratio of its toxic texts
+    among the learning rows to those expected of its ``all_`` learning rows."""
+    expected = all_ * (toxic_rows / max(1, rows))
+    return (np.log((n + 1) / (df + 1)) + 1) * np.abs(np.log((toxic + SMOOTH) / (expected + SMOOTH)))
 
 
 def held_out(id_col):
@@ -144,139 +209,151 @@ def held_out(id_col):
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def select_terms(docs: DataFrame, fit: DataFrame) -> list[str]:
-    """The stems that mark toxic texts, strongest first (at most ``TERMS``).
+def _spread(id_col, salt: int):
+    """A number from 0 to 2**31 - 1 that an id's value alone fixes."""
+    return F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 31))
 
-    ``fit(doc_id, toxic)`` is a bounded table and is broadcast. Document counts
-    by label are summed in each task before they are shuffled.
-    """
-    rows = docs.join(F.broadcast(fit), "doc_id").select("text", "toxic")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        seen: tuple[dict, dict] = ({}, {})
+def _first(table: DataFrame, n: int, salt: int) -> DataFrame:
+    """The ``n`` rows of least :func:`_spread` of ``doc_id``; a filter leaves little more than these to be sorted."""
+    rows = table.count()
+    order = _spread(F.col("doc_id"), salt)
+    if rows > n:
+        table = table.filter(order < int((1 << 31) * min(1.0, (n + 6 * n**0.5 + 50) / rows)))
+    return table.orderBy(order, "doc_id").limit(n)
 
-        def flush():
-            names = list(seen[0].keys() | seen[1].keys())
-            out = [[seen[y].get(t, 0) for t in names] for y in (1, 0)]
-            for s in seen:
-                s.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array(o, pa.int64()) for o in out)], names=["term", "pos", "neg"]
-            )
 
-        for b in slices(batches):
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                into = seen[y]
-                into[""] = into.get("", 0) + 1
-                chunks = len((text or "").split())
-                for stem, n in Counter(stems(text or "")).items():
-                    for t in levels(stem, n, chunks):
-                        into[t] = into.get(t, 0) + 1
-            if len(seen[0]) + len(seen[1]) > 250_000:
-                yield flush()
-        yield flush()
-
-    counts = rows.mapInArrow(work, "term string, pos long, neg long").groupBy("term").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    counts = written(counts.filter(f"pos >= {MIN_TOXIC} or term = ''"), "terms")
-    total = counts.filter("term = ''").first()
-    if total is None:
-        return []
-    p, n = float(total.pos), float(total.neg)
-    chi2 = F.expr(
-        f"({p + n}) * pow(pos * ({n} - neg) - neg * ({p} - pos), 2)"
-        f" / nullif({p} * {n} * (pos + neg) * ({p + n} - pos - neg), 0)"
+def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    """The classifier learned from ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``; None without any label.
+
+    At most ``FIT_ROWS`` labelled rows (least hash of the id) are read. Four in
+    five teach the terms' toxic shares and up to ``EXAMPLES`` of each label are
+    examples; the others calibrate. Document frequencies are those of all
+    documents.
+    """
+    taught = (
+        labels.filter("doc_id is not null and toxic is not null")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+        .filter(~held_out(F.col("doc_id")))
     )
-    odds = F.expr(f"((pos + 0.5D) / ({p} + 1)) / ((neg + 0.5D) / ({n} + 1))")
-    best = (
-        counts.filter("term <> ''")
-        .withColumn("chi2", F.coalesce(chi2, F.lit(0.0)))
-        .filter((F.col("chi2") >= MIN_CHI2) & (odds >= MIN_ODDS))
-        .orderBy(F.desc("chi2"), "term")
-        .limit(TERMS)
+    taught = written(taught, "taught")
+    some = _first(taught, FIT_ROWS, 5).withColumn("calibrates", _spread(F.col("doc_id"), 6) % CALIBRATION == 0)
+    some = written(some, "fit")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        terms = Terms()
+        for b in slices(batches, 64):
+            got = [terms.counts(t) for t in texts(b.column(3))]
+            ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in got])]).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([g[k] for g in got]).astype(np.int64)))
+                for k in (0, 1)
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["doc_id", "toxic", "calibrates", "terms", "counts"])
+
+    kind = "doc_id long, toxic int, calibrates boolean, terms array<long>, counts array<long>"
+    # a repeated id is one row, its least text
+    rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
+    vectors = written(rows.mapInArrow(read, kind), "fit-vectors")
+    teach = vectors.filter("not calibrates")
+    sums = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    if not sums.n:
+        return None
+    examples = []
+    for y in (0, 1):
+        chosen = _first(some.filter(f"toxic = {y} and not calibrates").select("doc_id"), EXAMPLES, 7)
+        one = teach.filter(f"toxic = {y}").join(F.broadcast(chosen), "doc_id").select("doc_id", "terms", "counts").toPandas()
+        examples += [(i, y, t, c) for i, t, c in zip(one["doc_id"], one["terms"], one["counts"])]
+    examples.sort(key=lambda r: r[0])
+    vocabulary = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(r[2] for r in examples)]).astype(np.int64))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, all_ = (np.zeros(len(vocabulary), dtype=np.int64) for _ in range(2))
+        for b in slices(batches, 64):
+            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
+                _, at, _ = np.intersect1d(vocabulary, t.values.to_numpy(), assume_unique=True, return_indices=True)
+                all_[at] += 1
+                toxic[at] += y
+        at = all_.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at]), pa.array(all_[at])], names=["t", "toxic", "n"])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df = Terms(vocabulary), np.zeros(len(vocabulary), dtype=np.int64)
+        release()
+        for b in slices(batches):
+            for t in texts(b.column(0)):
+                df[terms.counts(t)[0]] += 1
+        at = df.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
+
+    size = len(vocabulary)  # bounded by the examples, and so is what comes to the driver here
+    sums_of = {c: np.zeros(size) for c in ("toxic", "n", "df")}
+    got = teach.select("toxic", "terms").mapInArrow(shares, "t long, toxic long, n long").groupBy("t").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n")
+    ).toPandas()
+    for c in ("toxic", "n"):
+        sums_of[c][got["t"].to_numpy(dtype=np.int64)] = got[c]
+    got = docs.select("text").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    sums_of["df"][got["t"].to_numpy(dtype=np.int64)] = got["n"]
+    weights = term_weights(docs.count(), sums_of["df"], sums_of["toxic"], sums_of["n"], sums.n, sums.toxic)
+    ptr = np.concatenate([[0], np.cumsum([len(r[2]) for r in examples])]).astype(np.int64)
+    flat = [np.concatenate([np.empty(0, dtype=np.int64), *(r[k] for r in examples)]).astype(np.int64) for k in (2, 3)]
+    made = Classifier(
+        vocabulary, weights, np.array([r[0] for r in examples], dtype=np.int64), [r[1] for r in examples], ptr,
+        np.searchsorted(vocabulary, flat[0]), flat[1], sums.toxic / sums.n,
     )
-    return [r.term for r in best.collect()]
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, index = made.fitted()
+        for b in slices(batches, 64):
+            out = []
+            for t, c in zip(b.column(1), b.column(2)):
+                _, at, mine = np.intersect1d(vocabulary, t.values.to_numpy(), assume_unique=True, return_indices=True)
+                places, cosines = index.nearest(at, unit(c.values.to_numpy()[mine], weights[at]))
+                out.append(made.vote(index.labels[places], cosines))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["toxic", "vote"])
+
+    calibration = vectors.filter("calibrates").select("toxic", "terms", "counts").mapInArrow(votes, "toxic int, vote double").toPandas()
+    made.calibrate(calibration["vote"].to_numpy(dtype=float), calibration["toxic"].to_numpy(dtype=float))
+    forget(taught, some, vectors)
+    return made
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted, examples)`` of every whole text.
 
     ``docs(doc_id, text)``; ``labels(doc_id, toxic)`` teach only where
-    :func:`held_out` is false. The classifier is fitted on at most ``FIT_ROWS``
-    labelled rows (smallest hash of the id) and votes with at most ``EXAMPLES``
-    of each label that have a selected term; document frequencies are those of
-    all documents. ``score`` is the cosine-weighted vote of the ``NEIGHBOURS``
-    nearest, shrunk towards the toxic share of the fitting rows, which is also
-    the score of a text without any selected term (null and empty ones too).
-    ``predicted`` is 1 from ``THRESHOLD`` on; ``examples`` are the ids voted.
+    :func:`held_out` is false (:func:`fit`). ``score`` is the calibrated vote of
+    the ``NEIGHBOURS`` nearest examples; a text that meets none (null and empty
+    ones too) has that of the toxic share of learning rows. ``predicted`` is 1
+    from ``THRESHOLD`` on; ``examples`` are the ids that voted, nearest first.
 
     If a document has several labels, the largest counts; null labels do not.
     Null ids are scored and never learned from. Repeated rows are scored
-    alike. An empty table gives none; without labels every score is 0.
+    alike. Bytes that are no UTF-8 count as U+FFFD. An empty table gives none;
+    without labels every score is 0.
     """
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    taught = (
-        labels.filter("doc_id is not null and toxic is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-        .filter(~held_out(F.col("doc_id")))
-    )
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    fit = written(taught.orderBy(*order).limit(FIT_ROWS), "fit")
-    terms = select_terms(two, fit)
-
-    def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        vec = Vectorizer(terms)
-        for b in slices(batches, 2048):
-            got = [sorted(vec.counts(t or "").items()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int32())),
-                    pa.array([[c for _, c in g] for g in got], pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "terms", "counts"],
-            )
-
-    vectors = written(two.mapInArrow(vectorize, "doc_id long, terms array<int>, counts array<int>"), "vectors")
-    n = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS rows at most
-        df[r.t] = r["count"]
-    idf = np.log((n + 1) / (df + 1)) + 1
-    shares = fit.agg(F.avg("toxic")).first()[0]
-    prior = float(shares or 0.0)
-
-    rows, seen = [], set()
-    have = vectors.filter(F.size("terms") > 0).join(F.broadcast(fit), "doc_id")
-    for y in (0, 1):
-        for r in have.filter(F.col("toxic") == y).orderBy(*order, "terms", "counts").limit(EXAMPLES).collect():
-            if r.doc_id not in seen:
-                seen.add(r.doc_id)
-                rows.append((r.doc_id, y, r.terms, _unit(r.terms, r.counts, idf).tolist()))
-    n_terms = len(terms)
+    made = fit(two, labels)
+    flags = held_out(F.col("doc_id")).alias("held_out")
+    if made is None:
+        none = F.array().cast("array<bigint>").alias("examples")
+        return two.select("doc_id", flags, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), none)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockMaxIndex(rows, n_terms)
-        for b in batches:
+        terms, index = made.fitted()
+        for b in slices(batches):
             scores, examples = [], []
-            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                places, cosines = index.nearest(t, _unit(t, c, idf))
-                scores.append(index.score(places, cosines, prior))
-                examples.append(index.ids[places].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(scores, pa.float64()), pa.array(examples, pa.list_(pa.int64()))],
-                names=["doc_id", "score", "examples"],
-            )
-
-    out = vectors.mapInArrow(score, "doc_id long, score double, examples array<long>")
-    return out.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        "examples",
-    )
+            for text in texts(b.column(1)):
+                at, counts = terms.counts(text)
+                places, cosines = index.nearest(at, unit(counts, made.weights[at]))
+                scores.append(made.score(made.vote(index.labels[places], cosines)))
+                examples.append(index.ids[places])
+            ptr = np.concatenate([[0], np.cumsum([len(e) for e in examples])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *examples])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), lists], names=["doc_id", "score", "examples"])
+
+    out = two.mapInArrow(score, "doc_id long, score double, examples array<long>")
+    return out.select("doc_id", flags, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "examples")

@@ -151,24 +151,29 @@ def test_bad_templates_are_rejected(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
-    rows = []
-    for d in range(700):
-        t = sorted(rng.choice(40, size=int(rng.integers(1, 8)), replace=False).tolist())
-        w = rng.random(len(t)) + 0.05
-        rows.append((d, int(d % 3 == 0), t, (w / np.linalg.norm(w)).tolist()))
-    index = BlockMaxIndex(rows, 40)
     dense = np.zeros((700, 40))
-    for d, _, t, w in rows:
-        dense[d, t] = w
+    for d in range(700):
+        t = rng.choice(40, size=int(rng.integers(1, 8)), replace=False)
+        dense[d, t] = rng.random(len(t)) + 0.05
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    ptr = np.concatenate([[0], np.cumsum((dense > 0).sum(axis=1))])
+    terms = np.concatenate([row.nonzero()[0] for row in dense])
+    index = BlockMaxIndex(np.arange(700), np.arange(700) % 3 == 0, ptr, terms, dense[dense > 0], 41)
+    assert index.blocks == 11 and (index.labels == (index.ids % 3 == 0)).all()
+    scored = []
+    whole = index._score
+    index._score = lambda t, w, blocks: (scored.append(len(blocks)), whole(t, w, blocks))[1]
     by_id = {int(d): p for p, d in enumerate(index.ids)}
     for q in range(0, 700, 7):
-        _, _, t, w = rows[q]
-        places, cosines = index.nearest(t, np.array(w), 15)
+        t = dense[q].nonzero()[0]
+        places, cosines = index.nearest(t, dense[q][t], 15)
         every = dense @ dense[q]
         order = sorted(range(700), key=lambda d: (-every[d], by_id[d]))[:15]
         assert np.allclose(cosines, every[order])
         assert set(np.round(cosines, 9)) == set(np.round(every[order], 9))
-    assert len(index.nearest([], np.empty(0))[0]) == 0
+    assert sum(scored) < 100 * index.blocks  # bounds keep some blocks unread
+    none = np.empty(0, dtype=np.int64)
+    assert len(index.nearest(none, np.empty(0))[0]) == 0 and len(index.nearest(np.array([40]), np.ones(1))[0]) == 0
 
 
 @pytest.fixture(scope="module")
@@ -187,8 +192,75 @@ def test_toxicity_held_out(labelled):
     test = [(truth[i], r.predicted) for i, r in got.items() if r.held_out and i in truth]
     assert sum(y == p for y, p in test) / len(test) > 0.97
     # some texts that the labels call toxic are junk without any such word
-    assert sum(p for y, p in test if y) / sum(y for y, _ in test) > 0.85
+    assert sum(p for y, p in test if y) / sum(y for y, _ in test) >= 0.9
     assert sum(p for y, p in test if not y) / sum(1 - y for y, _ in test) < 0.01
+    # calibrated: of the texts of a score, about that share is toxic
+    truth_of, score_of = np.array([(truth[i], r.score) for i, r in got.items() if r.held_out and i in truth]).T
+    error = 0
+    for k in range(10):
+        here = (score_of >= k / 10) & (score_of < (k + 1) / 10 + (k == 9))
+        if here.any():
+            error += here.mean() * abs(score_of[here].mean() - truth_of[here].mean())
+    print("held out: recall", sum(p for y, p in test if y) / sum(y for y, _ in test), "calibration error", error)
+    assert error < 0.03
+
+
+def test_toxicity_equals_a_dense_version(spark):
+    """The whole query over sf0.001, by words and dense matrices."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels).collect()}
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def terms(t):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        return Counter(x for w in words for x in (w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)))
+
+    counts = {i: terms(t) for i, t in text.items()}
+    rows = [
+        (r.doc_id, r.toxic, r.calibrates)
+        for r in labels.withColumn("calibrates", toxicity._spread(F.col("doc_id"), 6) % 5 == 0).collect()
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1
+    ]
+    teach = [(i, y) for i, y, c in rows if not c]
+    names = sorted({x for i, _ in teach for x in counts[i]})
+    at = {x: k for k, x in enumerate(names)}
+    tf = np.zeros((len(text), len(names)))
+    order = sorted(text)
+    for d, i in enumerate(order):
+        for x, n in counts[i].items():
+            if x in at:
+                tf[d, at[x]] = 1 + math.log(n)
+    place = {i: d for d, i in enumerate(order)}
+    has = tf[[place[i] for i, _ in teach]] > 0
+    y = np.array([y for _, y in teach])
+    ratio = (has[y == 1].sum(axis=0) + 2) / (has.sum(axis=0) * y.mean() + 2)
+    w = tf * (np.log((len(text) + 1) / ((tf > 0).sum(axis=0) + 1)) + 1) * np.abs(np.log(ratio))
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    cos = w @ w[[place[i] for i, _ in teach]].T
+
+    def vote(d):
+        near = np.argsort(-cos[d], kind="stable")[:15]
+        near = near[cos[d][near] > 0]
+        each = cos[d][near] ** 2 * np.where(y[near], (y == 0).sum() / y.sum(), 1)
+        return (each @ y[near] / each.sum() if len(near) else y.mean()), {teach[k][0] for k in near}
+
+    def logit(v):
+        return math.log((v + 0.02) / (1.02 - v))
+
+    xs = [(logit(vote(place[i])[0]), y_) for i, y_, c in rows if c]
+
+    def loss(a, b):
+        return sum(math.log1p(math.exp(-(a * x + b) * (2 * y_ - 1))) for x, y_ in xs) + 0.05 * ((a - 1) ** 2 + b * b)
+
+    a, b, step = 1.0, 0.0, 1.0
+    while step > 1e-9:  # pattern search
+        best = min([(loss(a, b), a, b), *((loss(a + i, b + j), a + i, b + j) for i, j in ((step, 0), (-step, 0), (0, step), (0, -step), (step, -step), (-step, step)))])
+        step, a, b = (step / 2, a, b) if best[1:] == (a, b) else (step, best[1], best[2])
+    assert a > 0
+    for i, r in got.items():
+        v, near = vote(place[i])
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(a * logit(v) + b))), abs_tol=1e-4), i
+        assert len(near ^ set(r.examples)) <= 2  # equal cosines at the end of the list
 
 
 def test_toxicity_edges(spark):
@@ -201,15 +273,19 @@ def test_toxicity_edges(spark):
     assert toxicity_scores(docs.limit(0), some).count() == 0
 
 
-def test_toxicity_formula():
-    index = BlockMaxIndex([(1, 1, [0], [1.0]), (2, 0, [1], [1.0])], 2)
-    p, c = index.nearest([0, 1], np.array([0.6, 0.8]))
-    assert math.isclose(index.score(p, c, 0.1), (0.6 + 0.5 * 0.1) / (1.4 + 0.5))
-    assert toxicity.stems("Ab abcd ABCDEFG") == ["abcd", "abcd", "abcde", "abcdef"]
-    vec = toxicity.Vectorizer(["abcd|0", "abcd|2", "wxyz|1"])
-    assert vec.counts("abcde ABCD, z") == {0: 2, 1: 1}
-    assert vec.counts("abcd " + "q " * 500) == {0: 1}
-    assert vec.counts("") == {}
+def test_toxicity_terms_and_calibration():
+    assert len(toxicity.word_terms("abc")) == 1 and len(toxicity.word_terms("abcde")) == 2 and len(toxicity.word_terms("abcdef")) == 3
+    t, n = toxicity.Terms().counts("Abcdef abcdef, abcdex\n_z9z" + " long" * 7 + "x" * 999)
+    assert n.sum() == 3 * 3 + 6 + 2 + 3 and len(t) == len(set(t.tolist()))  # z twice, long six times, one long word
+    some = toxicity.Terms(t[:2])
+    assert some.counts("abcdef abcdef")[0].tolist() == [k for k in range(2) if t[k] in toxicity.word_terms("abcdef")]
+    assert [len(x) for x in some.counts("")] == [0, 0]
+    rng = np.random.default_rng(2)
+    c = toxicity.Classifier(np.arange(2), np.ones(2), np.array([1, 2]), [1, 0], np.array([0, 1, 2]), np.array([0, 1]), np.array([1, 1]), 0.1)
+    votes = rng.random(20_000)
+    c.calibrate(votes, (rng.random(20_000) < votes**2).astype(float))
+    assert abs(c.score(0.5) - 0.25) < 0.03 and c.score(0.9) > c.score(0.1)
+    assert c.vote(np.empty(0), np.empty(0)) == 0.1
 
 
 def test_pipeline_stages(spark):
