@@ -72,13 +72,21 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int, size=None, max_bytes: int = 16_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``max_rows``.
 
-    Beyond that no hint is given and the join shuffles, where adaptive
-    execution splits skewed keys. ``df`` should be a written table, so that
-    counting is cheap.
+    Rows whose size varies need ``size``, a column of each row's bytes, of which
+    there may be ``max_bytes`` in all. Beyond that no hint is given and the join
+    shuffles, where adaptive execution splits skewed keys. ``df`` should be a
+    written table, so that counting is cheap.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    if size is not None and (df.agg(F.sum(size)).first()[0] or 0) > max_bytes:
+        return df
+    return F.broadcast(df)
+
+
+def column_name(df: DataFrame, name: str) -> str:
+    """The name that a column has in ``df``, which Spark finds whatever its case; an exact match comes first."""
+    return name if name in df.columns else next(c for c in df.columns if c.lower() == name.lower())

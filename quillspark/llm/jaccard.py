@@ -1,9 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by prefixes.
+"""Near-duplicates of a given similarity: SimHash links, exact verification, and what SimHash cannot reach.
 
-Sets with a similarity of at least 4/5 have an element in common among the
-first fifth of each, whatever one order all sets are sorted by. Shingles that
-a sample finds in many documents are sorted last, so few sets meet by them;
-the sample changes what is compared, never what is found.
+Texts whose SimHash over five-word shingles differs in at most three bits are
+found by deletion-variant signatures (:mod:`quillspark.llm.simhash`) and kept
+linked if their shingle sets have a Jaccard similarity of at least 4/5. That
+misses similar texts: at 4/5 some ten of 64 bits differ, and no cut of 64 bits
+makes segments that then differ by at most one and still tell texts apart. So
+sets that are not connected yet are compared too, where they can be similar:
+sets with a similarity of at least 4/5 have an element in common among the first
+fifth of each, whatever one order all sets are sorted by. Shingles that many
+sets have are sorted last, so few sets meet by them; the order changes what is
+compared, never what is found.
 """
 
 from __future__ import annotations
@@ -16,15 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, written
+from quillspark.llm.common import broadcast_if_small, forget, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices
+from quillspark.llm.simhash import simhash_links
 
 SEED = 42
 SHINGLE_WORDS = 5
 SAMPLE_ROWS = 5_000  #: documents whose shingles are counted for the order
 SAMPLE_COUNT = 3  #: a shingle in so many of them is frequent
-MAX_FREQUENT = 200_000
+STARS = 4  #: rounds in which a set meets one other for each element, at most,
+WORTH = 0.2  #: and only while this share of those that met were similar
+HOT = 32  #: a shingle in more prefixes than this is frequent too
+MAX_FREQUENT = 200_000  #: frequent shingles that are told apart from rare ones, at most
 MAX_BROADCAST = 1_000_000
 
 
@@ -43,52 +53,92 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64, count=n).view(np.int64))
 
 
-def _frequent(two: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sample's frequent shingles, sorted, and their counts."""
-    rows = two.count()
-    sample = two.sample(min(1.0, SAMPLE_ROWS / max(1, rows)), seed=SEED)
+def set_fingerprint(x: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes, as a signed long: a bit is set if over half of them have it."""
+    votes = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(x), 1 << 16):
+        part = x[k : k + (1 << 16)].astype("<i8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(x), bitorder="little").view("<i8")[0])
+
+
+def parities(x: np.ndarray) -> list[int]:
+    """For each of 256 classes of hashes, whether the set has an odd number of them: four longs.
+
+    Two sets differ in at least as many elements as these bits.
+    """
+    odd = np.bincount(x & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``(id, a, b, node, fp, n, par, toks)``: each row's shingles, their number, the set's hash, fingerprint and parities."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in slices(batches):
-            for t in b.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t))], names=["tok"])
+            sets = [shingle_set(t) for t in b.column(3).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns[:3],
+                    pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array([set_fingerprint(x) for x in sets], pa.int64()),
+                    pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array([parities(x) for x in sets], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets]))),
+                ],
+                names=["id", "a", "b", "node", "fp", "n", "par", "toks"],
+            )
 
-    top = (
-        sample.mapInArrow(work, "tok long").groupBy("tok").count().filter(F.col("count") >= SAMPLE_COUNT)
-        .orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).toPandas().sort_values("tok")
-    )
-    return top["tok"].to_numpy(dtype=np.int64), top["count"].to_numpy(dtype=np.int64)
+    return docs.mapInArrow(work, "id long, a long, b long, node long, fp long, n int, par array<long>, toks array<long>")
 
 
-def _sets(two: DataFrame) -> DataFrame:
-    """``(id, node, n, toks)``: each row's shingles in the common order, and the 64-bit hash of the set."""
-    frequent, count = _frequent(two)
+def _prefixes(rows: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataFrame:
+    """``(node, n, pos, tok)``: the first fifth of each set, those of ``frequent`` (ascending) sorted last by ``count``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in slices(batches):
-            nodes, sizes, toks = [], [], []
-            for t in b.column(1).to_pylist():
-                x = shingle_set(t)
-                nodes.append(xxhash.xxh3_64_intdigest(x.tobytes()))
+            out = []
+            for node, x in zip(b.column(0).to_pylist(), b.column(1)):
+                x = x.values.to_numpy()
+                n = len(x)
+                most = n - (4 * n + 4) // 5 + 1
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
                     x = x[np.argsort(np.where(frequent[at] == x, count[at], 0), kind="stable")]
-                sizes.append(len(x))
-                toks.append(x)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
-                    pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(toks))),
-                ],
-                names=["id", "node", "n", "toks"],
-            )
+                out.append((np.full(most, node), np.full(most, n, dtype=np.int32), np.arange(most, dtype=np.int32), x[:most]))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], names=["node", "n", "pos", "tok"]
+                )
+
+    return rows.filter("n > 0").select("node", "toks").mapInArrow(work, "node long, n int, pos int, tok long")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """The prefixes under an order by frequency: a sample's, mended by how often shingles are in the prefixes it gives."""
+    total = rows.count()
+    sample = rows.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
+    scale = max(1.0, total / SAMPLE_ROWS)
+    seen = (
+        sample.select(F.explode("toks").alias("tok")).groupBy("tok").count().filter(F.col("count") >= SAMPLE_COUNT)
+        .orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).toPandas()
+    )
+    known = dict(zip(seen["tok"].tolist(), (seen["count"] * scale).tolist()))
+
+    def order() -> tuple[np.ndarray, np.ndarray]:
+        toks = np.array(sorted(known), dtype=np.int64)
+        return toks, np.array([known[t] for t in toks.tolist()], dtype=np.float64)
 
-    return two.mapInArrow(work, "id long, node long, n int, toks array<long>")
+    hot = (
+        _prefixes(rows, *order()).groupBy("tok").count().filter(F.col("count") > HOT)
+        .orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).toPandas()
+    )
+    for t, k in zip(hot["tok"].tolist(), hot["count"].tolist()):
+        known[t] = max(known.get(t, 0.0), float(k))
+    return _prefixes(rows, *order()).distinct()
 
 
 def _similar(common: Column, n: Column, m: Column) -> Column:
@@ -97,9 +147,12 @@ def _similar(common: Column, n: Column, m: Column) -> Column:
 
 
 def _may_be(a: str, b: str) -> Column:
-    """Whether two sets whose first common element is at these places can be similar."""
+    """Whether two sets whose first common element is at these places, and with these parities, can be similar."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return _similar(F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")), na, nb)
+    differ = sum(
+        (F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(4)), start=F.lit(0)
+    )
+    return _similar(F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")), na, nb) & (differ * 9 <= na + nb)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -119,59 +172,94 @@ def _verified(pairs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame
     return written(both.filter(_similar(same, F.size("us"), F.size("vs"))).select("u", "v"), "similar")
 
 
-def jaccard_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` for each row of ``docs``.
+def _simhash_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of sets whose fingerprints are equal or differ in at most three bits, fewer than all.
 
-    Rows whose sets of five-word shingles have a Jaccard similarity of at least
-    0.8 are linked; ``component_id`` is the smallest id reachable, the row's own
-    included. Equal sets are one entry. First each set is compared with one
-    other of each prefix element it has, then with all of them that are not in
-    its component yet, so a large group costs links in proportion to its size
-    and every similar pair ends in one component.
+    Sets of one fingerprint are each paired with the least of them, and the
+    least ones of two near fingerprints with each other.
+    """
+    reps = written(groups.filter("n > 0").groupBy("fp").agg(F.min("node").alias("rep")), "set-fingerprints")
+    near = simhash_links(reps.select("fp")).toDF("fu", "fv").distinct()
+    ends = near.join(reps.toDF("fu", "u"), "fu").join(reps.toDF("fv", "v"), "fv").select("u", "v")
+    equal = groups.filter("n > 0").join(reps.toDF("rf", "rep"), F.col("fp") == F.col("rf")).filter("node <> rep")
+    both = ends.union(equal.select("rep", "node"))
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    Null and empty texts have the empty set and are alike. Repeated rows give
-    repeated rows. A null id takes its component's smallest id (null if there
-    is none). Other columns are not read. An empty table gives none.
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, a, b, class)`` for each row: two hashes of its text, and its near-duplicate class.
+
+    Rows are of one class if they are connected by links of texts whose sets of
+    five-word shingles have a Jaccard similarity of at least 0.8. Equal sets are
+    one entry. SimHash pairs are verified first. Then sets of different classes
+    that share an element of their prefixes are compared: each with one other
+    for each element, and with all others only where classes still differ, so a
+    large group costs links in proportion to its size and every similar pair
+    ends in one class.
+
+    Null and empty texts have the empty set and are of one class. Repeated rows
+    give repeated rows, and other columns are not read. An empty table gives
+    none.
     """
-    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    rows = written(_sets(two).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    groups = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row")), "sets")
-    length = F.expr("n - (4 * n + 4) div 5 + 1").cast("int")
-    prefix = written(
-        rows.filter("n > 0").select("node", "n", F.posexplode(F.slice("toks", F.lit(1), length)).alias("pos", "tok"))
-        .distinct(),
-        "prefixes",
-    )
-    met = written(
-        prefix.groupBy("tok").agg(F.min(F.struct("node", "n", "pos")).alias("b"), F.count("*").alias("k"))
-        .filter("k > 1").select("tok", "b.*"),
-        "met",
-    )
-    a, b = prefix.alias("a"), met.alias("b")
-    ahead = _pairs(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.node") != F.col("b.node")) & _may_be("a", "b")))
-    ahead = written(ahead, "ahead")
-    links = _verified(ahead, rows, groups)
-    known = connected_components(links).toDF("known", "class")
-    placed = written(
-        prefix.join(met.select("tok"), "tok", "left_semi").join(known, F.col("node") == F.col("known"), "left")
-        .select("tok", "node", "n", "pos", F.coalesce("class", "node").alias("class")),
-        "placed",
-    )
-    # of two sets in different classes, one at least is not in the element's commonest class
-    mixed = placed.groupBy("tok").agg(
-        F.mode("class").alias("most"), F.min("class").alias("lo"), F.max("class").alias("hi")
-    ).filter("lo < hi").select("tok", "most")
-    mixed = written(mixed, "mixed")
-    apart = placed.join(mixed, "tok").filter("class <> most")
-    a, b = apart.alias("a"), placed.alias("b")
-    rest = _pairs(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b")))
-    rest = written(rest.join(ahead, ["u", "v"], "left_anti"), "rest")
-    linked = connected_components(links.union(_verified(rest, rows, groups)))
-    with_class = groups.join(linked.toDF("end", "component"), F.col("node") == F.col("end"), "left").select(
-        F.col("node").alias("rep"), "least", F.coalesce("component", "node").alias("class")
-    )
-    class_least = with_class.groupBy("class").agg(F.min("least").alias("component_id"))
-    reps = with_class.join(class_least, "class").select("rep", "component_id")
-    return rows.select("id", "node").join(reps, F.col("node") == F.col("rep"), "left").select(
-        F.col("id").alias("doc_id"), "component_id"
+    text = F.col(text_col).cast("string")
+    four = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.cast("binary").alias("t"))
+    rows = written(_sets(four).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    groups = rows.groupBy("node", "fp", "n").agg(F.min("row").alias("row"), F.first("par").alias("par"))
+    groups = written(groups.select("node", "fp", "n", "row", *(F.col("par")[k].alias(f"p{k}") for k in range(4))), "sets")
+    tried = written(_simhash_pairs(groups), "ahead")
+    links = _verified(tried, rows, groups)
+    prefix = written(_ordered(rows), "prefixes")
+    met = prefix.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1").select("tok")
+    signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
+    shared = prefix.join(met, "tok", "left_semi").join(signs, F.col("node") == F.col("of")).drop("of")
+    prefix, whole = written(shared, "met"), prefix
+    forget(whole)
+    # every set meets one set of each element, another each time while that joins many; then those of other classes
+    stars, joined = 0, None
+    while True:
+        first = stars < STARS and (joined is None or joined[1] > joined[0] * WORTH)
+        known = connected_components(links).toDF("known", "class")
+        placed = written(
+            prefix.join(known, F.col("node") == F.col("known"), "left")
+            .select("tok", "node", "n", "pos", "p0", "p1", "p2", "p3", F.coalesce("class", "node").alias("class")),
+            "placed",
+        )
+        if first:
+            turn = F.xxhash64(F.lit(stars), "node")
+            one = placed.groupBy("tok").agg(F.min(F.struct(turn.alias("h"), "node", "n", "pos", "class", "p0", "p1", "p2", "p3")).alias("b")).select("tok", "b.*")
+            a, b = placed.alias("a"), one.alias("b")
+        else:
+            # of two sets in different classes, one at least is not in the element's commonest class
+            mixed = placed.groupBy("tok").agg(
+                F.mode("class").alias("most"), F.min("class").alias("lo"), F.max("class").alias("hi")
+            ).filter("lo < hi").select("tok", "most")
+            a, b = placed.join(written(mixed, "mixed"), "tok").filter("class <> most").alias("a"), placed.alias("b")
+        meet = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
+        new = written(_pairs(meet).join(tried, ["u", "v"], "left_anti"), "untried")
+        found = _verified(new, rows, groups)
+        links = links.union(found)
+        forget(placed)
+        if not first:
+            break
+        tried, stars, joined = tried.union(new), stars + 1, (new.count(), found.count())
+    linked = connected_components(links)
+    forget(prefix)
+    return rows.select("id", "a", "b", "node").join(linked.toDF("end", "component"), F.col("node") == F.col("end"), "left").select(
+        F.col("id").alias("doc_id"), "a", "b", F.coalesce("component", "node").alias("class")
     )
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart; a null text is an empty one."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` for each row: the smallest id of its class of :func:`near_duplicate_rows`.
+
+    A null id takes its class's smallest id (null if there is none).
+    """
+    rows = written(near_duplicate_rows(docs, id_col, text_col), "classes")
+    least = rows.groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, F.col("class") == F.col("c")).select("doc_id", "component_id")

@@ -46,6 +46,26 @@ SENTENCES: dict[str, str] = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
     "all rights reserved": "all-rights",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-or-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-or-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-or-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-or-later",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which accompanies this distribution": "epl2-notice",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
+    "this software is distributed without any warranty": "cc0-warranty",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "bsl1-notice",
+    "licensed under the boost software license version 1 0": "bsl1-notice",
+    "licensed under the artistic license 2 0": "artistic2-notice",
+    "licensed under the bsd 3 clause license": "bsd3-notice",
+    "licensed under the bsd 2 clause license": "bsd2-notice",
+    "licensed under the isc license": "isc-notice",
 }
 
 #: Ordered rules: name, category, the identifiers in order. A text fits a rule if
@@ -59,6 +79,11 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("BSD-2-Clause-text", "permissive", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later-header", "copyleft", ["gpl3-or-later", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0-or-later-header", "copyleft", ["gpl2-or-later", "gpl-warranty", "gpl-see"]),
+    ("LGPL-2.1-or-later-header", "copyleft", ["lgpl21-or-later", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0-or-later-header", "copyleft", ["lgpl3-or-later", "gpl-warranty", "lgpl-see"]),
+    ("AGPL-3.0-or-later-header", "copyleft", ["agpl3-or-later", "gpl-warranty", "agpl-see"]),
+    ("Zlib-text", "permissive", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("CC0-1.0-header", "permissive", ["cc0-dedication", "cc0-warranty"]),
     ("Apache-2.0", "permissive", ["apache2-notice-comply"]),
     ("Apache-2.0", "permissive", ["apache2-notice"]),
     ("MIT", "permissive", ["mit-notice"]),
@@ -66,6 +91,16 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("GPL-3.0", "copyleft", ["gpl3-notice"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl3-or-later"]),
     ("GPL-2.0-or-later", "copyleft", ["gpl2-or-later"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-or-later"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-or-later"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl3-or-later"]),
+    ("EPL-2.0", "copyleft", ["epl2-notice"]),
+    ("CC0-1.0", "permissive", ["cc0-dedication"]),
+    ("BSL-1.0", "permissive", ["bsl1-notice"]),
+    ("Artistic-2.0", "permissive", ["artistic2-notice"]),
+    ("BSD-3-Clause", "permissive", ["bsd3-notice"]),
+    ("BSD-2-Clause", "permissive", ["bsd2-notice"]),
+    ("ISC", "permissive", ["isc-notice"]),
     ("MPL-2.0", "copyleft", ["mpl2-notice"]),
     ("CC-BY-4.0", "permissive", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa-notice"]),

@@ -99,6 +99,7 @@ FROM kept
 
 def _op2_sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    pattern = "|".join(s.replace(" ", "(?: |//)") for s in sorted(licenses.SENTENCES, key=lambda s: (len(s), s)))
     steps, fits = [], []
     for k, (name, category, ids) in enumerate(licenses.RULES):
         needle = "".join(f",{i}," for i in ids)
@@ -114,17 +115,24 @@ def _op2_sql() -> str:
     )
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-parts AS (
-  SELECT row_id, k, trim(regexp_replace(lower(list_extract(parts, k)), '[^a-z0-9]+', ' ', 'g')) AS sentence
-  FROM (SELECT row_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (
-    SELECT rowid AS row_id, string_split_regex(coalesce(text, ''), '[.!?;:]*\n|[.!?;:]+[ \t]') AS parts
-    FROM (SELECT row_number() OVER () AS rowid, text FROM documents)))
+rows_ AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_replace(coalesce(text, ''), '(\n[ \t]{{0,8}})[.!?;:]+', '\\1', 'g') AS text FROM documents),
+pieces AS (
+  SELECT row_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS k FROM (
+    SELECT row_id, string_split_regex(text, '\n(?:[^a-zA-Z0-9\n]*\n)+|[.!?;:]*[.!?][.!?;:]*(?:[ \t]|\r?\n)') AS parts FROM rows_)
+), broken AS (
+  SELECT row_id, k, replace(regexp_replace('/' || regexp_replace(regexp_replace(translate(lower(piece), '/', ' '), '[.!?;:]+[ \t]|\n', '/', 'g'),
+    '[^a-z0-9/]+', ' ', 'g') || '/', ' ?(?:/ ?)+', '/', 'g'), '/', '//') AS body
+  FROM pieces WHERE regexp_matches(piece, '{licenses.NEEDED}')
+), matched AS (
+  SELECT row_id, k, unnest(hits) AS hit, unnest(range(0, len(hits))) AS j
+  FROM (SELECT row_id, k, regexp_extract_all(body, '/({pattern})/', 1) AS hits FROM broken)
 ), found AS (
-  SELECT row_id, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM parts JOIN known USING (sentence) GROUP BY row_id
+  SELECT row_id, string_agg(id, ',' ORDER BY k, j) AS ids, count(*) AS n
+  FROM (SELECT row_id, k, j, replace(hit, '//', ' ') AS sentence FROM matched) JOIN known USING (sentence) GROUP BY row_id
 ), s0 AS (
   SELECT d.doc_id, coalesce(f.n, 0) AS n_sentences, coalesce(f.ids, '') AS sentence_ids,
     ',' || replace(coalesce(f.ids, ''), ',', ',,') || ',' AS rest
-  FROM (SELECT row_number() OVER () AS row_id, doc_id FROM documents) d LEFT JOIN found f USING (row_id)
+  FROM rows_ d LEFT JOIN found f USING (row_id)
 ), {", ".join(steps)},
 fits AS (
   SELECT doc_id, n_sentences, sentence_ids, list_filter([{fit}], lambda x: x IS NOT NULL) AS fits FROM s{len(steps)}
@@ -136,6 +144,10 @@ FROM fits
 """
 
 
+#: Levels of the tree that the SQL has; the operator's go as deep as paths branch.
+SQL_DEPTH = 8
+
+
 def _op5_sql() -> str:
     u = url_filter
     rule = verdict = "NULL"
@@ -143,15 +155,15 @@ def _op5_sql() -> str:
         fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         rule, verdict = (f"CASE WHEN {fits} THEN '{x}' ELSE {y} END" for x, y in ((h + p, rule), (v, verdict)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    levels = []
-    for d in range(1, u.DEPTH + 1):
+    levels, depth = [], SQL_DEPTH
+    for d in range(1, depth + 1):
         levels.append(f"""
 at{d} AS (SELECT *, array_to_string(tmpl[1:{d - 1}], '/') AS node, tmpl[{d}] AS child FROM tree{d - 1}),
 child{d} AS (SELECT host, node, child, sum(lab) AS lab, sum(bad) AS bad FROM at{d} WHERE child IS NOT NULL GROUP BY host, node, child),
 node{d} AS (SELECT host, node, coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS p, count(*) AS children FROM child{d} GROUP BY host, node),
 merged{d} AS (
   SELECT host, node, child FROM child{d} JOIN node{d} USING (host, node)
-  WHERE children > 1 AND (children > {u.MAX_CHILDREN} OR lab < {u.MIN_LABELS} OR abs(bad - lab * p) <= {u.Z}::DOUBLE * sqrt(lab * p * (1 - p)))
+  WHERE children > 1 AND (lab < {u.MIN_LABELS} OR abs(bad - lab * p) <= {u.Z}::DOUBLE * sqrt(lab * p * (1 - p)))
 ),
 tree{d} AS (
   SELECT a.host, segs, lab, bad, CASE WHEN m.child IS NULL THEN tmpl ELSE list_concat(list_concat(tmpl[1:{d - 1}], ['*']), tmpl[{d + 1}:]) END AS tmpl
@@ -170,7 +182,7 @@ general AS (
     lambda x: regexp_replace(regexp_replace(x, '[0-9a-f]{{12,}}|[0-9A-F]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS parts FROM base
 ),
 keyed AS (
-  SELECT page_id, host, path, CASE WHEN len(parts) > {u.DEPTH} THEN list_concat(parts[1:{u.DEPTH}], ['**']) ELSE parts END AS segs,
+  SELECT page_id, host, path, parts AS segs,
     try_cast(nullif(regexp_extract(path, '([0-9]+)[.a-z]*/?$', 1), '') AS BIGINT) AS number FROM general
 ),
 known AS (
@@ -180,12 +192,12 @@ tree0 AS (
   SELECT host, segs, count(k.number) AS lab, coalesce(sum(k.bad), 0) AS bad, segs AS tmpl
   FROM keyed LEFT JOIN known k USING (number) GROUP BY host, segs
 ),{",".join(levels)},
-prior AS (SELECT 1 - coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS good FROM tree{u.DEPTH}),
+prior AS (SELECT 1 - coalesce(sum(bad)::DOUBLE / nullif(sum(lab), 0), 0) AS good FROM tree{depth}),
 rejected AS (
-  SELECT host, tmpl FROM tree{u.DEPTH}, prior GROUP BY host, tmpl, good
+  SELECT host, tmpl FROM tree{depth}, prior GROUP BY host, tmpl, good
   HAVING (sum(lab) - sum(bad) + {u.PRIOR_LABELS}::DOUBLE * good) / (sum(lab) + {u.PRIOR_LABELS}) < {u.MIN_PURITY}
 ),
-gone AS (SELECT DISTINCT t.host, segs, TRUE AS gone FROM tree{u.DEPTH} t JOIN rejected r ON r.host = t.host AND r.tmpl = t.tmpl)
+gone AS (SELECT DISTINCT t.host, segs, TRUE AS gone FROM tree{depth} t JOIN rejected r ON r.host = t.host AND r.tmpl = t.tmpl)
 SELECT page_id, k.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN gone THEN 'block' ELSE 'allow' END) AS verdict
 FROM (SELECT * FROM keyed) k LEFT JOIN gone g ON g.host = k.host AND g.segs = k.segs
 """.replace("host = '", "k.host = '").replace("ends_with(host,", "ends_with(k.host,")

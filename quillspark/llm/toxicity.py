@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, written
+from quillspark.llm.common import column_name, forget, written
 from quillspark.llm.memo import Memo, release, slices, texts, tool
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
@@ -357,3 +357,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     out = two.mapInArrow(score, "doc_id long, score double, examples array<long>")
     return out.select("doc_id", flags, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "examples")
+
+
+def drop_toxic_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, every column as it is, without the rows whose text the classifier of :func:`fit` predicts toxic.
+
+    Each row is judged by its own text alone, in one narrow stage: null and
+    repeated ids and columns of any name are carried along. Edges as in
+    :func:`toxicity_scores`; without labels every row stays.
+    """
+    text_at = docs.columns.index(column_name(docs, "text"))
+    made = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+    if made is None:
+        return docs
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, index = made.fitted()
+        for b in slices(batches):
+            keep = []
+            for text in texts(b.column(text_at)):
+                at, counts = terms.counts(text)
+                places, cosines = index.nearest(at, unit(counts, made.weights[at]))
+                keep.append(made.score(made.vote(index.labels[places], cosines)) < THRESHOLD)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, written
+from quillspark.llm.common import broadcast_if_small, forget, written
 
 #: (verdict, host, path): the fixed rules of the query.
 RULES = [
@@ -15,8 +15,6 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-DEPTH = 4  #: levels of the tree; what is deeper is one wildcard tail
-MAX_CHILDREN = 64  #: a node with more children has a variable segment below it
 Z = 1.96  #: branches whose label share differs less than this many standard errors are similar
 MIN_LABELS = 5  #: with fewer labels a branch is similar to any
 PRIOR_LABELS = 5.0
@@ -47,12 +45,11 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def segments(path: Column) -> Column:
-    """The path's segments with digits and long hex runs generalised, ``DEPTH`` of them and a wildcard tail."""
+    """The path's segments with digits and long hex runs generalised."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    general = F.transform(
+    return F.transform(
         parts, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{12,}|[0-9A-F]{12,}", "{h}"), "[0-9]+", "{n}")
     )
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
 
 
 def rejected_templates(keyed: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -61,45 +58,56 @@ def rejected_templates(keyed: DataFrame, labelled: DataFrame) -> DataFrame:
     ``keyed(host, segs)`` are all pages, ``labelled(host, segs, bad)`` those
     with a label. Pages are first summed by generalised path; each level of the
     tree is then one aggregation and a join of those sums: below a node,
-    segments become a wildcard if they are many or if their share of bad labels
-    is like that of the node. A template is rejected if its share of good
-    labels, smoothed towards that of all labels, is under ``MIN_PURITY``.
+    segments become a wildcard if their share of bad labels is like that of the
+    node (or has too few labels to tell). Levels go on as deep as paths branch:
+    a path that is alone below its node is finished. A template is rejected if
+    its share of good labels, smoothed towards that of all labels, is under
+    ``MIN_PURITY``.
     """
     sums = (
-        keyed.select("host", "segs", F.lit(1).alias("n"), F.lit(0).alias("lab"), F.lit(0).alias("bad"))
-        .union(labelled.select("host", "segs", F.lit(0), F.lit(1), F.col("bad").cast("int")))
+        keyed.select("host", "segs", F.lit(0).alias("lab"), F.lit(0).alias("bad"))
+        .union(labelled.select("host", "segs", F.lit(1), F.col("bad").cast("int")))
         .groupBy("host", "segs")
-        .agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        .agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     )
     tree = written(sums.withColumn("tmpl", F.col("segs")), "templates")
-    for d in range(1, DEPTH + 1):
-        at = tree.withColumn("node", F.array_join(F.slice("tmpl", 1, d - 1), "/")).withColumn(
-            "child", F.get("tmpl", F.lit(d - 1))
-        )
+    finished, d = [], 0
+    while True:
+        d += 1
+        at = tree.withColumn("node", F.slice("tmpl", 1, d - 1)).withColumn("child", F.get("tmpl", F.lit(d - 1)))
         child = at.filter("child is not null").groupBy("host", "node", "child").agg(
-            F.sum("lab").alias("lab"), F.sum("bad").alias("bad")
+            F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.count("*").alias("paths")
         )
+        child = written(child, "children")
         node = child.groupBy("host", "node").agg(
-            F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"), F.count("*").alias("children")
-        )
+            F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"), F.count("*").alias("children"), F.sum("paths").alias("below")
+        ).filter("below > 1")
         p = F.coalesce(F.try_divide("all_bad", "all_lab"), F.lit(0.0))
         err = F.sqrt(F.col("lab") * p * (1 - p))
         similar = (F.col("lab") < MIN_LABELS) | (F.abs(F.col("bad") - F.col("lab") * p) <= Z * err)
-        merged = (
-            child.join(node, ["host", "node"])
-            .filter((F.col("children") > 1) & ((F.col("children") > MAX_CHILDREN) | similar))
-            .select("host", "node", "child", F.lit(True).alias("merge"))
+        judged = child.join(node, ["host", "node"]).select(
+            "host", "node", "child", ((F.col("children") > 1) & similar).alias("merge")
         )
-        tree = written(
-            at.join(merged, ["host", "node", "child"], "left").select(
-                "host", "segs", "n", "lab", "bad",
+        after = written(
+            at.join(judged, ["host", "node", "child"], "left").select(
+                "host", "segs", "lab", "bad",
                 F.when(
                     F.col("merge"),
-                    F.concat(F.slice("tmpl", 1, d - 1), F.array(F.lit("*")), F.expr(f"slice(tmpl, {d + 1}, {DEPTH + 1})")),
+                    F.concat(F.slice("tmpl", 1, d - 1), F.array(F.lit("*")), F.expr(f"slice(tmpl, {d + 1}, greatest(size(tmpl) - {d}, 0))")),
                 ).otherwise(F.col("tmpl")).alias("tmpl"),
+                F.col("merge").isNotNull().alias("going"),
             ),
             "templates",
         )
+        forget(child)
+        finished.append(after.filter("not going").drop("going"))
+        tree = after.filter("going").drop("going")
+        if tree.isEmpty():
+            break
+    tree = finished[0]
+    for f in finished[1:]:
+        tree = tree.union(f)
+    tree = written(tree, "templates")
     total = tree.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
     prior = 1 - (total.bad / total.lab if total and total.lab else 0.0)
     bad_templates = (
@@ -137,7 +145,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str =
         "host", "segs", "bad"
     )
     gone = written(rejected_templates(keyed.select("host", "segs"), labelled), "rejected")
-    gone = broadcast_if_small(gone.select(F.col("host").alias("gh"), F.col("segs").alias("gs"), F.lit(True).alias("gone")), MAX_BROADCAST)
+    gone = gone.select(F.col("host").alias("gh"), F.col("segs").alias("gs"), F.lit(True).alias("gone"))
+    gone = broadcast_if_small(gone, MAX_BROADCAST, F.length("gh") + F.length(F.array_join("gs", "/")) + F.size("gs") * 8 + 64)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return keyed.join(gone, (F.col("host") == F.col("gh")) & (F.col("segs") == F.col("gs")), "left").select(
         "page_id", "host", "path", rule.alias("rule"),

@@ -38,6 +38,28 @@ def test_query_equals_its_sql(spark, name):
     )
 
 
+def test_columns_are_found_whatever_their_case(spark):
+    rows = [(k, "s", f"own {k}\nshared line" + "\nlong " * (20_000 * (k == 0))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, TEXT string")
+    got = line_dedup.drop_boilerplate(df)
+    assert got.columns == ["doc_id", "source", "TEXT", "n_lines", "n_dropped"]
+    for r in got.collect():
+        assert r.TEXT == rows[r.doc_id][2].replace("\nshared line", "") and r.n_dropped == 1
+
+
+def test_lines_that_every_host_repeats_go_from_all(spark):
+    """A line on a twelfth of each host's pages, and one on a fortieth, by chance more on some hosts."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(6000):
+        lines = [f"line {k}", *(["menu and footer"] if k % 12 == 0 else []), *(["by chance"] if rng.random() < 1 / 40 else [])]
+        rows.append((k, f"host{k // 12 % 12}", "\n".join(lines)))
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    left = [r.text.split("\n") for r in got.collect()]
+    assert not any("menu and footer" in x for x in left)
+    assert sum("by chance" in x for x in left) == sum("by chance" in r[2] for r in rows)
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(3)
     rows = []
@@ -135,6 +157,21 @@ def test_urls(spark):
     assert filter_urls(df.limit(0), none).count() == 0
 
 
+def test_templates_of_many_and_deep_branches(spark):
+    """One bad section among 300 good ones, and one that differs in the seventh segment."""
+    urls, labels = [], []
+    for k in range(300 * 8):
+        urls.append((k, f"http://h.test/s{'abcdefghij'[k % 10]}{'abcdefghijklmnopqrstuvwxyzabcd'[k // 10 % 30]}/{k}.html"))
+        labels.append((k, 1, int(k % 10 == 3 and k // 10 % 30 == 7)))
+    for k in range(3000, 3100):
+        urls.append((k, f"http://h.test/a/b/c/d/e/f/{'bad' if k % 2 else 'good'}/{k}"))
+        labels.append((k, 1, k % 2))
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = filter_urls(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    truth = {i: t for i, _, t in labels}
+    assert all(r.verdict == ("block" if truth[r.page_id] else "allow") for r in got)
+
+
 def test_bad_templates_are_rejected(spark):
     urls, labels = [], []
     for k in range(400):
@@ -301,16 +338,46 @@ def test_pipeline_stages(spark):
     assert b.columns == columns and b.count() == a.count()
     assert b.filter("n_chars <> length(text)").count() == 0
     twice = b.union(b.filter("doc_id < 5")).union(b.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    from quillspark.llm.simhash import simhash_near_duplicates
+    from quillspark.llm.jaccard import similar_documents
 
-    classes = {r.component_id for r in simhash_near_duplicates(b).collect()}
+    classes = {r.component_id for r in similar_documents(b).collect()}
     c = corpus_pipeline.drop_near_duplicates(spark, twice, SF)
     assert c.columns == columns
-    got = [r.doc_id for r in c.collect()]
-    assert sorted(i for i in got if i is not None) == sorted(classes) and got.count(None) == 1
+    assert sorted(r.doc_id for r in c.collect()) == sorted(classes)
     assert corpus_pipeline.pack(spark, c, SF).count() >= c.count()
 
 
+def test_rows_that_share_an_id_are_judged_each_for_itself(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, words, 1), (5, "a text of its own that nothing else is like at all", 2), (3, words + " ", 3), (None, words, 4), (7, None, 5), (None, "", 6),
+            (None, "alone and without an id but kept for all that", 7), (3, words, 8), (3, words, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class int")
+    got = sorted((r["class"] for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()))
+    assert len(got) == 4 and {2, 7, 5} < set(got) and len(set(got) & {1, 3, 4, 8}) == 1
+    toxic = [(1, "idiot", 1), (1, "a fine day", 2), (None, "a fine day", 3)]
+    labels = [(k, int(k % 2)) for k in range(10, 400)]
+    texts = toxic + [(k, "stupid idiot clown scum" if k % 2 else "the weather is good today", 9) for k in range(10, 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, score int")
+    kept = toxicity.drop_toxic_rows(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == df.columns
+    assert sorted(r.score for r in kept.collect() if r.score < 9) == [2, 3] and kept.count() == 2 + 195
+
+
+@pytest.mark.parametrize("kind", ["empty", "edges"])
+def test_pipeline_edges(spark, tmp_path, kind):
+    rows = [(1, None, "en", None, 0), (1, "", None, "s", 0), (None, "x y z", "en", "s", 3), (2, "same text here", "en", "s", 14), (2, "same text here", "en", "s", 14),
+            (4, "w " * 50_000, "de", "t", 1), (9, "ﬁ漢\n\n\u0001", None, None, None)]
+    extra = [(*r, k, 0.5, "z") for k, r in enumerate(rows)] if kind == "edges" else []
+    df = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, `row` int, score double, n_lines string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 1, None), (None, 0, 1), (2, None, 0)] if kind == "edges" else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in got}
+    assert ids == (set() if kind == "empty" else {1, None, 2, 4, 9})
+    assert sum(r.doc_id == 2 for r in got) == (kind == "edges")
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)

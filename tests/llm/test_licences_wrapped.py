@@ -2,8 +2,10 @@
 
 import textwrap
 
+import duckdb
 import pytest
 
+from quillspark.llm import queries
 from quillspark.llm.licenses import scan_licenses
 
 MIT = [
@@ -25,12 +27,29 @@ BSD = [
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 ]
+LGPL = [
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.",
+]
+AGPL = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Affero General Public License for more details.",
+]
+ZLIB = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+]
+CC0 = [
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+]
+EPL = ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "https://www.eclipse.org/legal/epl-2.0/"]
 ISC = ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]
 
 
 @pytest.mark.parametrize("width", [50, 72, 78, 5000])
 def test_wrapped_and_commented(spark, width):
     texts = {"MIT-text": MIT, "Apache-2.0-header": APACHE, "GPL-3.0-or-later-header": GPL, "BSD-2-Clause-text": BSD, "ISC": ISC}
+    texts |= {"LGPL-2.1-or-later-header": LGPL, "AGPL-3.0-or-later-header": AGPL, "Zlib-text": ZLIB, "CC0-1.0-header": CC0, "EPL-2.0": EPL}
     rows = []
     for name, paragraphs in texts.items():
         lines = ["Copyright (c) 2020 A. Body", ""]
@@ -40,6 +59,16 @@ def test_wrapped_and_commented(spark, width):
             rows += [(name, end.join(f"{mark}{x}" for x in lines)) for end in ("\n", "\r\n")]
     got = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [(r.doc_id, r.licenses) for r in got] == [(n, n) for n, _ in rows]
+    assert sorted(map(tuple, got)) == sql(rows)
+
+
+def sql(rows):
+    """The query's SQL over the same rows."""
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(str(i), t) for i, t in rows])
+    names = "doc_id, n_sentences, sentence_ids, licenses, categories"
+    return sorted(con.sql(f"select {names} from ({queries.ORACLE_SQL['op2_license_scan']})").fetchall())
 
 
 def test_lines_stay_lines(spark):
@@ -53,3 +82,4 @@ def test_lines_stay_lines(spark):
     ]
     got = scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.sentence_ids) for r in got] == [(a, c) for a, _, c in rows]
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sql([r[:2] for r in rows])
