@@ -7,52 +7,65 @@ group stays, and what is left is packed into training sequences.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_if_small, written
-from quillspark.llm.jaccard import jaccard_near_duplicates
+from quillspark.llm.jaccard import near_duplicate_rows, text_hashes
 from quillspark.llm.line_dedup import drop_boilerplate
 from quillspark.llm.packing import pack_documents
-from quillspark.llm.toxicity import toxicity_scores
+from quillspark.llm.toxicity import drop_toxic_rows
 
-#: Ids that may be broadcast: 2 million longs are 16 MB.
-MAX_IDS = 2_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows of these ids; their texts are shuffled only if the ids are too many to broadcast."""
-    gone = written(ids.filter("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), name)
-    return docs.join(broadcast_if_small(gone, MAX_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+#: Rows that may be broadcast: a million of three longs are 24 MB.
+MAX_ROWS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts toxic go; rows with a null id stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = toxicity_scores(docs, labels)
-    return _without(docs, scores.filter("predicted = 1"), "toxic")
+    """Rows whose text the toxicity operator predicts toxic go, each judged by its own text."""
+    return drop_toxic_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go; ``n_chars`` counts what is left."""
+    """Lines that are boilerplate of their source go; ``n_chars`` counts what is left.
+
+    A table that has columns named like the operator's counts (``n_lines``,
+    ``n_dropped``) gets the counts in them.
+    """
     out = drop_boilerplate(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays, once.
+    """Of each near-duplicate group the row with the smallest id stays (then the smallest hash of the text), once.
 
     Near are texts whose five-word shingles have a Jaccard similarity of at
-    least 0.8; op3's three words and three bits are that query's alone. Rows with a null id stay. Rows that share an id are told apart only where
-    there are any.
+    least 0.8, found by the SimHash operator and completed exactly; op3's three
+    words and three bits are that query's alone. A row is known by its id and
+    two hashes of its text, so rows that share an id or have none are judged
+    each for itself; a null id counts as the largest. Of rows that are equal in
+    all three any one stays.
     """
-    classes = jaccard_near_duplicates(docs)
-    kept = _without(docs, classes.filter("doc_id <> component_id"), "near")
-    twice = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1"), "twice")
+    key = ("doc_id", "a", "b")
+    rows = near_duplicate_rows(docs)
+    counted = written(rows.groupBy("class", *key).agg(F.count("*").alias("n")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *key)
+    least = counted.groupBy(F.col("class").alias("of")).agg(F.min(order).alias("least"))
+    judged = counted.join(least, F.col("class") == F.col("of")).withColumn("goes", order != F.col("least"))
+    judged = written(judged.filter("goes or n > 1").select(*(F.col(k).alias(f"_{k}") for k in key), "goes"), "judged")
+
+    def same(table: DataFrame) -> Column:
+        return F.col("doc_id").eqNullSafe(table["_doc_id"]) & (F.col("a") == table["_a"]) & (F.col("b") == table["_b"])
+
+    # the row travels as one column, so no name of it can clash
+    text = F.col("text").cast("string")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(text), F.struct("*").alias("row"))
+    gone, twice = judged.filter("goes"), judged.filter("not goes")
+    kept = whole.join(broadcast_if_small(gone, MAX_ROWS), same(gone), "left_anti")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, twice, "repeated").unionByName(again)
+        return kept.select("row.*")
+    few = broadcast_if_small(twice, MAX_ROWS)
+    once = kept.join(few, same(twice), "left_semi").dropDuplicates(list(key))
+    return kept.join(few, same(twice), "left_anti").unionByName(once).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
