@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterator
 
@@ -53,6 +54,10 @@ def release() -> None:
     if _tool is not None:
         _tool = None
         gc.collect()
+        try:  # what the C library keeps of it goes back too
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
 
 def slices(batches, rows: int = 512) -> Iterator:

@@ -7,8 +7,8 @@ logarithms), so that words which tell nothing hardly count. No term is left out
 that any example has; terms without an example meet nothing. A text's vote is
 that of its nearest examples, by the square of their cosine, and a score is the
 vote calibrated on learning rows that are no examples. A block-max inverted
-index finds the nearest exactly: blocks of examples are visited in the order of
-an upper bound of their cosine until none can enter the result.
+index finds the nearest exactly: only blocks of examples are read whose largest
+possible cosine reaches what some of the examples have for certain.
 """
 
 from __future__ import annotations
@@ -17,61 +17,82 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import column_name, forget, written
-from quillspark.llm.memo import Memo, release, slices, texts, tool
+from quillspark.llm.memo import release, slices, texts, tool
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
 CALIBRATION = 5  #: one in so many of them calibrates and is no example
 EXAMPLES = 1_024  #: examples of each label in the index, at most
 NEIGHBOURS = 15
 BLOCK = 64
+COMMON = 1_024  #: terms of the longest lists, that are kept as a matrix
 STEMS = (4, 5)
 SMOOTH = 2.0  #: expected toxic texts that are added to both sides of a term's ratio
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 120_000
-_MEMO_CHARS = 64
 
 
-def word_terms(word: str) -> list[int]:
-    """The terms of one lower-case word, as signed 64-bit hashes: the word and its stems."""
-    names = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
-    return [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) - (1 << 63) for n in names]
+def text_terms(text: str) -> Counter:
+    """How often each term is in a text: its lower-cased words, and longer words' stems with a ``*``."""
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        out[word] += n
+        for k in STEMS:
+            if len(word) > k:
+                out[word[:k] + "*"] += n
+    return out
 
 
 class Terms:
-    """Finds and counts the terms of texts: those of a sorted vocabulary as places in it, or all as hashes."""
-
-    def __init__(self, vocabulary: np.ndarray | None = None):
-        self.place = None if vocabulary is None else {h: i for i, h in enumerate(vocabulary.tolist())}
-        self._memo = Memo(_MEMO, self._known)
-
-    def _known(self, word: str) -> tuple:
-        found = word_terms(word)
-        if self.place is None:
-            return tuple(found)
-        return tuple([self.place[h] for h in found if h in self.place])
-
-    def _miss(self, word: str) -> tuple:
-        return self._memo.miss(word) if len(word) <= _MEMO_CHARS else self._known(word)
+    """Finds and counts the terms of a sorted vocabulary in texts, as places in it."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.words = {t: i for i, t in enumerate(vocabulary) if not t.endswith("*")}
+        self.stems = {k: {t[:-1]: i for i, t in enumerate(vocabulary) if t.endswith("*") and len(t) == k + 1} for k in STEMS}
+        self._at = np.zeros(len(vocabulary), dtype=np.int64)
+
+    def _places(self, words: list[str]) -> list[np.ndarray]:
+        """For each word the place of it and of each of its stems, -1 for one that is not known."""
+        n, size = len(words), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        out = [np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=n)]
+        for k, known in self.stems.items():
+            at = np.fromiter(map(known.get, [w[:k] for w in words], repeat(-1)), dtype=np.int64, count=n)
+            at[size <= k] = -1
+            out.append(at)
+        return out
+
+    def _last(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``flat`` where its term comes last in it, and the numbers of its places."""
+        every = np.arange(len(flat))
+        self._at[flat] = every
+        return self._at[flat], every
+
+    def present(self, text: str) -> np.ndarray:
+        """The terms that ``text`` has."""
+        flat = np.concatenate(self._places(list(set(_WORD.findall(text.lower())))))
+        flat = flat[flat >= 0]
+        last, every = self._last(flat)
+        return flat[last == every]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in ascending order, how often each is in ``text``)."""
+        """(terms, how often each is in ``text``)."""
         words = Counter(_WORD.findall(text.lower()))
-        get, miss = self._memo.young.get, self._miss
-        found = [miss(w) if (f := get(w)) is None else f for w in words]
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64)
-        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(f) for f in found])
-        terms, at = np.unique(flat, return_inverse=True)
-        return terms, np.bincount(at, weights=times, minlength=len(terms)).astype(np.int64)
+        times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+        found = self._places(list(words))
+        flat = np.concatenate(found)
+        some = flat >= 0
+        flat, times = flat[some], np.concatenate([times] * len(found))[some]
+        last, every = self._last(flat)
+        total = np.bincount(last, weights=times, minlength=len(flat))
+        mine = last == every
+        return flat[mine], total[mine].astype(np.int64)
 
 
 def unit(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -86,11 +107,14 @@ class BlockMaxIndex:
 
     Examples are given flat: example k has ``terms[ptr[k]:ptr[k + 1]]`` with those
     ``weights``. ``nearest`` returns exactly the examples of the ``k`` largest
-    positive cosines, equal ones by their place in the index.
+    positive cosines, equal ones by their place in the index. The ``common``
+    terms of the longest lists are a dense matrix, so many texts' part of the
+    cosines is one product; it enters the bounds of the blocks as it is.
     """
 
-    def __init__(self, ids, labels, ptr, terms, weights, n_terms: int):
+    def __init__(self, ids, labels, ptr, terms, weights, n_terms: int, common: int = COMMON):
         n = len(ids)
+        terms, weights = np.asarray(terms, dtype=np.int64), np.asarray(weights, dtype=np.float64)
         # similar examples side by side make a block's bound tight: by their heaviest term
         heavy = np.array([terms[s + weights[s:e].argmax()] if e > s else -1 for s, e in zip(ptr[:-1], ptr[1:])], dtype=np.int64)
         order = np.lexsort((ids, heavy))
@@ -98,49 +122,62 @@ class BlockMaxIndex:
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
         docs = np.repeat(place, np.diff(ptr))
+        longest = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:common]
+        self.slot = np.full(n_terms, -1, dtype=np.int64)
+        self.slot[longest] = np.arange(len(longest))
+        self.dense = np.zeros((len(longest), n))
+        rare = self.slot[terms] < 0
+        self.dense[self.slot[terms[~rare]], docs[~rare]] = weights[~rare]
+        terms, docs, weights = terms[rare], docs[rare], weights[rare]
         by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by].astype(np.int32), np.asarray(weights)[by]
+        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
+        self.starts = np.searchsorted(terms[by], np.arange(n_terms + 1))
         self.blocks = -(-n // BLOCK)
-        key = np.asarray(terms, dtype=np.int64)[by] * self.blocks + self.docs // BLOCK
-        #: where the entries of (term, block) begin
-        self.starts = np.searchsorted(key, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, key, self.weights)
-        self.most = self.most.reshape(n_terms, self.blocks)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the nearest examples of one unit vector."""
+        self.edges = np.arange(self.blocks) * BLOCK
+        most = np.zeros(n_terms * self.blocks, dtype=np.float32)
+        np.maximum.at(most, terms[by] * self.blocks + self.docs // BLOCK, np.nextafter(self.weights.astype(np.float32), np.float32(2)))
+        self.most = most.reshape(n_terms, self.blocks)
+
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms give to the cosine of each of some (terms, weights) with each example."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for row, (terms, weights) in zip(q, vectors):
+            slot = self.slot[terms]
+            row[slot[slot >= 0]] = weights[slot >= 0]
+        return q @ self.dense
+
+    def nearest(self, terms, weights, k: int = NEIGHBOURS, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the nearest examples of one unit vector; ``part`` is its :meth:`common_part`."""
         places, cosines = np.empty(0, dtype=np.int64), np.empty(0)
         if not len(terms) or not self.blocks:
             return places, cosines
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        done, step, worst = 0, 2, 0.0
-        while done < len(order):
-            blocks = order[done : done + step]
-            blocks = blocks[(bound[blocks] > 0) & ((len(places) < k) | (bound[blocks] >= worst - 1e-12))]
-            if not len(blocks):
-                break
-            at, found = self._score(terms, weights, blocks)
-            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, found])
-            keep = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[keep], cosines[keep]
-            worst = cosines[-1] if len(places) == k else 0.0
-            done, step = done + step, 2 * step
-        return places, cosines
-
-    def _score(self, terms, weights, blocks) -> tuple[np.ndarray, np.ndarray]:
-        """The positive cosines of the blocks' examples."""
-        cell = (terms[:, None] * self.blocks + blocks[None]).ravel()
-        first = self.starts[cell]
-        size = self.starts[cell + 1] - first
-        some = size > 0
-        first, size = first[some].astype(np.int64), size[some]
+        if part is None:
+            part = self.common_part([(terms, weights)])[0]
+        rare = self.slot[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        bound = np.maximum.reduceat(part, self.edges) + weights.astype(np.float32) @ self.most[terms] * np.float32(1 + 1e-5)
+        # no cosine is less than its common part, so the k-th largest of these is reached for certain
+        sure = np.partition(part, len(part) - k)[len(part) - k] if len(part) > k else 0.0
+        blocks = (bound > 0) & (bound >= sure - 1e-9)
+        places, cosines = self._read(terms, weights, part, blocks)
+        if len(places) > k:
+            some = cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+            places, cosines = places[some], cosines[some]
+        keep = np.lexsort((places, -cosines))[:k]
+        return places[keep], cosines[keep]
+
+    def _read(self, terms, weights, part, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """The examples with positive cosines, of the blocks that are flagged."""
+        first = self.starts[terms]
+        size = self.starts[terms + 1] - first
         ends = np.cumsum(size)
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
-        mine = np.repeat(np.repeat(weights, len(blocks))[some], size)
-        total = np.bincount(self.docs[flat], weights=mine * self.weights[flat], minlength=len(self.ids))
-        at = (total > 0).nonzero()[0]
+        docs, mine = self.docs[flat], np.repeat(weights, size)
+        if not blocks.all():
+            some = blocks[docs // BLOCK]
+            flat, docs, mine = flat[some], docs[some], mine[some]
+        total = part + np.bincount(docs, weights=mine * self.weights[flat], minlength=len(self.ids))
+        at = ((total > 0) & np.repeat(blocks, BLOCK)[: len(total)]).nonzero()[0]
         return at, total[at]
 
 
@@ -157,16 +194,19 @@ class Classifier:
         self.prior = prior  #: the toxic share of learning rows: the vote of a text that meets no example
         self.slope, self.offset = 1.0, 0.0
 
-    def fitted(self) -> tuple[Terms, BlockMaxIndex]:
-        """The tools made from it, once a worker process."""
+    def fitted(self) -> BlockMaxIndex:
+        """The index of the examples, once a worker process."""
         return tool(
             ("toxicity", self.key),
-            lambda: (
-                Terms(self.vocabulary),
-                BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary)),
-            ),
+            lambda: BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary)),
         )
 
+    def nearest(self, index: BlockMaxIndex, counted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each text, given by (terms, counts)."""
+        vectors = [(at, unit(counts, self.weights[at])) for at, counts in counted]
+        for (at, weights), part in zip(vectors, index.common_part(vectors)):
+            yield index.nearest(at, weights, part=part)
+
     def vote(self, labels: np.ndarray, cosines: np.ndarray) -> float:
         """The share of toxic among the nearest, by squared cosine, as if both labels had as many examples."""
         toxic = self.labels.sum()
@@ -204,6 +244,12 @@ def term_weights(n: int, df: np.ndarray, toxic: np.ndarray, all_: np.ndarray, ro
     return (np.log((n + 1) / (df + 1)) + 1) * np.abs(np.log((toxic + SMOOTH) / (expected + SMOOTH)))
 
 
+def _parts(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The rows of a list column as arrays."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return (values[s:e] for s, e in zip(ends[:-1], ends[1:]))
+
+
 def held_out(id_col):
     """Whether a row's label may not be learned from: crc32 of its id's text is 1 modulo 3."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -223,9 +269,29 @@ def _first(table: DataFrame, n: int, salt: int) -> DataFrame:
     return table.orderBy(order, "doc_id").limit(n)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+def vectorised(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``(doc_id, terms, counts)`` of each text: its terms as places in the vocabulary, and how often each is there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        terms = Terms(vocabulary)
+        for b in slices(batches):
+            got = [terms.counts(t) for t in texts(b.column(1))]
+            ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in got])]).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([g[k] for g in got]).astype(np.int32)))
+                for k in (0, 1)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "terms", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, terms array<int>, counts array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classifier | None, DataFrame | None]:
     """The classifier learned from ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``; None without any label.
 
+    With ``keep`` also the written table of :func:`vectorised` documents.
+
     At most ``FIT_ROWS`` labelled rows (least hash of the id) are read. Four in
     five teach the terms' toxic shares and up to ``EXAMPLES`` of each label are
     examples; the others calibrate. Document frequencies are those of all
@@ -243,82 +309,87 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        terms = Terms()
         for b in slices(batches, 64):
-            got = [terms.counts(t) for t in texts(b.column(3))]
-            ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in got])]).astype(np.int32)
-            lists = [
-                pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([g[k] for g in got]).astype(np.int64)))
-                for k in (0, 1)
-            ]
+            got = [text_terms(t) for t in texts(b.column(3))]
+            lists = [pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["doc_id", "toxic", "calibrates", "terms", "counts"])
 
-    kind = "doc_id long, toxic int, calibrates boolean, terms array<long>, counts array<long>"
+    kind = "doc_id long, toxic int, calibrates boolean, terms array<string>, counts array<long>"
     # a repeated id is one row, its least text
     rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
     vectors = written(rows.mapInArrow(read, kind), "fit-vectors")
     teach = vectors.filter("not calibrates")
     sums = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not sums.n:
-        return None
+        return None, None
     examples = []
     for y in (0, 1):
         chosen = _first(some.filter(f"toxic = {y} and not calibrates").select("doc_id"), EXAMPLES, 7)
         one = teach.filter(f"toxic = {y}").join(F.broadcast(chosen), "doc_id").select("doc_id", "terms", "counts").toPandas()
         examples += [(i, y, t, c) for i, t, c in zip(one["doc_id"], one["terms"], one["counts"])]
     examples.sort(key=lambda r: r[0])
-    vocabulary = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(r[2] for r in examples)]).astype(np.int64))
+    vocabulary = sorted({t for r in examples for t in r[2]})
+    place = {t: i for i, t in enumerate(vocabulary)}
+
+    def known(b: pa.RecordBatch, terms: int, counts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for t, c in zip(b.column(terms).to_pylist(), b.column(counts)):
+            at = np.fromiter(map(place.get, t, repeat(-1)), dtype=np.int64, count=len(t))
+            yield at[at >= 0], c.values.to_numpy()[at >= 0]
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, all_ = (np.zeros(len(vocabulary), dtype=np.int64) for _ in range(2))
+        toxic, all_ = (np.zeros(len(place), dtype=np.int64) for _ in range(2))
         for b in slices(batches, 64):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
-                _, at, _ = np.intersect1d(vocabulary, t.values.to_numpy(), assume_unique=True, return_indices=True)
+            for y, (at, _) in zip(b.column(0).to_pylist(), known(b, 1, 2)):
                 all_[at] += 1
                 toxic[at] += y
         at = all_.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at]), pa.array(all_[at])], names=["t", "toxic", "n"])
 
+    vectors_ = written(vectorised(docs, vocabulary), "vectors") if keep else None
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df = Terms(vocabulary), np.zeros(len(vocabulary), dtype=np.int64)
         release()
+        df = np.zeros(len(vocabulary), dtype=np.int64)
+        terms = None if keep else Terms(vocabulary)
         for b in slices(batches):
+            if keep:
+                df += np.bincount(b.column(0).flatten().to_numpy(), minlength=len(df))
+                continue
             for t in texts(b.column(0)):
-                df[terms.counts(t)[0]] += 1
+                df[terms.present(t)] += 1
         at = df.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
 
     size = len(vocabulary)  # bounded by the examples, and so is what comes to the driver here
     sums_of = {c: np.zeros(size) for c in ("toxic", "n", "df")}
-    got = teach.select("toxic", "terms").mapInArrow(shares, "t long, toxic long, n long").groupBy("t").agg(
+    got = teach.select("toxic", "terms", "counts").mapInArrow(shares, "t long, toxic long, n long").groupBy("t").agg(
         F.sum("toxic").alias("toxic"), F.sum("n").alias("n")
     ).toPandas()
     for c in ("toxic", "n"):
         sums_of[c][got["t"].to_numpy(dtype=np.int64)] = got[c]
-    got = docs.select("text").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    got = (vectors_.select("terms") if keep else docs.select("text")).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
     sums_of["df"][got["t"].to_numpy(dtype=np.int64)] = got["n"]
     weights = term_weights(docs.count(), sums_of["df"], sums_of["toxic"], sums_of["n"], sums.n, sums.toxic)
     ptr = np.concatenate([[0], np.cumsum([len(r[2]) for r in examples])]).astype(np.int64)
-    flat = [np.concatenate([np.empty(0, dtype=np.int64), *(r[k] for r in examples)]).astype(np.int64) for k in (2, 3)]
+    flat = np.array([place[t] for r in examples for t in r[2]], dtype=np.int64)
+    counts = np.concatenate([np.empty(0, dtype=np.int64), *(r[3] for r in examples)]).astype(np.int64)
     made = Classifier(
         vocabulary, weights, np.array([r[0] for r in examples], dtype=np.int64), [r[1] for r in examples], ptr,
-        np.searchsorted(vocabulary, flat[0]), flat[1], sums.toxic / sums.n,
+        flat, counts, sums.toxic / sums.n,
     )
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, index = made.fitted()
+        index = made.fitted()
         for b in slices(batches, 64):
             out = []
-            for t, c in zip(b.column(1), b.column(2)):
-                _, at, mine = np.intersect1d(vocabulary, t.values.to_numpy(), assume_unique=True, return_indices=True)
-                places, cosines = index.nearest(at, unit(c.values.to_numpy()[mine], weights[at]))
+            for places, cosines in made.nearest(index, known(b, 1, 2)):
                 out.append(made.vote(index.labels[places], cosines))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["toxic", "vote"])
 
     calibration = vectors.filter("calibrates").select("toxic", "terms", "counts").mapInArrow(votes, "toxic int, vote double").toPandas()
     made.calibrate(calibration["vote"].to_numpy(dtype=float), calibration["toxic"].to_numpy(dtype=float))
     forget(taught, some, vectors)
-    return made
+    return made, vectors_
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -336,26 +407,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without labels every score is 0.
     """
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = fit(two, labels)
+    made, vectors = fit(two, labels, keep=True)
     flags = held_out(F.col("doc_id")).alias("held_out")
     if made is None:
         none = F.array().cast("array<bigint>").alias("examples")
         return two.select("doc_id", flags, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), none)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = made.fitted()
+        index = made.fitted()
         for b in slices(batches):
             scores, examples = [], []
-            for text in texts(b.column(1)):
-                at, counts = terms.counts(text)
-                places, cosines = index.nearest(at, unit(counts, made.weights[at]))
+            for places, cosines in made.nearest(index, zip(_parts(b.column(1)), _parts(b.column(2)))):
                 scores.append(made.score(made.vote(index.labels[places], cosines)))
                 examples.append(index.ids[places])
             ptr = np.concatenate([[0], np.cumsum([len(e) for e in examples])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *examples])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), lists], names=["doc_id", "score", "examples"])
 
-    out = two.mapInArrow(score, "doc_id long, score double, examples array<long>")
+    out = vectors.mapInArrow(score, "doc_id long, score double, examples array<long>")
     return out.select("doc_id", flags, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "examples")
 
 
@@ -367,17 +436,15 @@ def drop_toxic_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     :func:`toxicity_scores`; without labels every row stays.
     """
     text_at = docs.columns.index(column_name(docs, "text"))
-    made = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+    made, _ = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
     if made is None:
         return docs
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = made.fitted()
+        index, terms = made.fitted(), Terms(made.vocabulary)
         for b in slices(batches):
             keep = []
-            for text in texts(b.column(text_at)):
-                at, counts = terms.counts(text)
-                places, cosines = index.nearest(at, unit(counts, made.weights[at]))
+            for places, cosines in made.nearest(index, map(terms.counts, texts(b.column(text_at)))):
                 keep.append(made.score(made.vote(index.labels[places], cosines)) < THRESHOLD)
             yield b.filter(pa.array(keep, pa.bool_()))
 
