@@ -31,10 +31,10 @@ SEED = 42
 SHINGLE_WORDS = 5
 SAMPLE_ROWS = 5_000  #: documents whose shingles are counted for the order
 SAMPLE_COUNT = 3  #: a shingle in so many of them is frequent
-STARS = 4  #: rounds in which a set meets one other for each element, at most,
+STARS = 2  #: rounds in which a set meets one other for each element, at most,
 WORTH = 0.2  #: and only while this share of those that met were similar
 HOT = 32  #: a shingle in more prefixes than this is frequent too
-MAX_FREQUENT = 200_000  #: frequent shingles that are told apart from rare ones, at most
+MAX_FREQUENT = 100_000  #: frequent shingles that are told apart from rare ones, at most
 MAX_BROADCAST = 1_000_000
 
 
@@ -122,23 +122,22 @@ def _ordered(rows: DataFrame) -> DataFrame:
     total = rows.count()
     sample = rows.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
     scale = max(1.0, total / SAMPLE_ROWS)
-    seen = (
-        sample.select(F.explode("toks").alias("tok")).groupBy("tok").count().filter(F.col("count") >= SAMPLE_COUNT)
-        .orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).toPandas()
-    )
-    known = dict(zip(seen["tok"].tolist(), (seen["count"] * scale).tolist()))
-
-    def order() -> tuple[np.ndarray, np.ndarray]:
-        toks = np.array(sorted(known), dtype=np.int64)
-        return toks, np.array([known[t] for t in toks.tolist()], dtype=np.float64)
 
-    hot = (
-        _prefixes(rows, *order()).groupBy("tok").count().filter(F.col("count") > HOT)
-        .orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).toPandas()
-    )
-    for t, k in zip(hot["tok"].tolist(), hot["count"].tolist()):
-        known[t] = max(known.get(t, 0.0), float(k))
-    return _prefixes(rows, *order()).distinct()
+    def most(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+        got = (
+            table.groupBy("tok").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT)
+            .toArrow()
+        )
+        return got.column("tok").to_numpy(), got.column("count").to_numpy().astype(np.float64)
+
+    toks, count = most(sample.select(F.explode("toks").alias("tok")), SAMPLE_COUNT)
+    by = np.argsort(toks)
+    first = toks[by], count[by] * scale
+    hot, often = most(_prefixes(rows, *first), HOT + 1)
+    toks, at = np.unique(np.concatenate([first[0], hot]), return_inverse=True)
+    count = np.zeros(len(toks))
+    np.maximum.at(count, at, np.concatenate([first[1], often]))
+    return _prefixes(rows, toks, count).distinct()
 
 
 def _similar(common: Column, n: Column, m: Column) -> Column:

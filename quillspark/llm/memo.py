@@ -6,6 +6,8 @@ import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
+
 
 class Memo:
     """Values by key in two generations of at most ``size`` entries each.
@@ -53,11 +55,17 @@ def release() -> None:
     global _tool
     if _tool is not None:
         _tool = None
-        gc.collect()
-        try:  # what the C library keeps of it goes back too
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Collect what is not used any more, and let the C library give it back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches, rows: int = 512) -> Iterator:
@@ -69,6 +77,4 @@ def slices(batches, rows: int = 512) -> Iterator:
 
 def texts(column) -> list[str]:
     """A string column as Python strings: null is empty, bytes that are no UTF-8 are U+FFFD."""
-    import pyarrow as pa
-
     return ["" if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import column_name, forget, written
-from quillspark.llm.memo import release, slices, texts, tool
+from quillspark.llm.memo import release, slices, texts, tool, trim
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
 CALIBRATION = 5  #: one in so many of them calibrates and is no example
@@ -322,13 +322,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classif
     sums = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not sums.n:
         return None, None
-    examples = []
-    for y in (0, 1):
-        chosen = _first(some.filter(f"toxic = {y} and not calibrates").select("doc_id"), EXAMPLES, 7)
-        one = teach.filter(f"toxic = {y}").join(F.broadcast(chosen), "doc_id").select("doc_id", "terms", "counts").toPandas()
-        examples += [(i, y, t, c) for i, t, c in zip(one["doc_id"], one["terms"], one["counts"])]
-    examples.sort(key=lambda r: r[0])
-    vocabulary = sorted({t for r in examples for t in r[2]})
+    chosen = [
+        _first(some.filter(f"toxic = {y} and not calibrates").select("doc_id"), EXAMPLES, 7).withColumn("y", F.lit(y)) for y in (0, 1)
+    ]
+    examples = written(
+        teach.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "toxic", "terms", "counts"), "examples"
+    )
+    vocabulary = sorted(examples.select(F.explode("terms").alias("t")).distinct().toArrow().column("t").to_pylist())
     place = {t: i for i, t in enumerate(vocabulary)}
 
     def known(b: pa.RecordBatch, terms: int, counts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -370,12 +370,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classif
     got = (vectors_.select("terms") if keep else docs.select("text")).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
     sums_of["df"][got["t"].to_numpy(dtype=np.int64)] = got["n"]
     weights = term_weights(docs.count(), sums_of["df"], sums_of["toxic"], sums_of["n"], sums.n, sums.toxic)
-    ptr = np.concatenate([[0], np.cumsum([len(r[2]) for r in examples])]).astype(np.int64)
-    flat = np.array([place[t] for r in examples for t in r[2]], dtype=np.int64)
-    counts = np.concatenate([np.empty(0, dtype=np.int64), *(r[3] for r in examples)]).astype(np.int64)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            terms = pa.array([at for at, _ in known(b, 2, 3)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], terms, b.column(3)], names=["doc_id", "toxic", "terms", "counts"])
+
+    flat = examples.mapInArrow(numbered, "doc_id long, toxic int, terms array<int>, counts array<long>").toArrow()
+    flat = flat.sort_by("doc_id").combine_chunks()
+    lists = flat.column("terms").combine_chunks()
     made = Classifier(
-        vocabulary, weights, np.array([r[0] for r in examples], dtype=np.int64), [r[1] for r in examples], ptr,
-        flat, counts, sums.toxic / sums.n,
+        vocabulary, weights, flat.column("doc_id").to_numpy(), flat.column("toxic").to_numpy(),
+        np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
+        lists.flatten().to_numpy().astype(np.int64), flat.column("counts").combine_chunks().flatten().to_numpy(), sums.toxic / sums.n,
     )
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +395,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classif
 
     calibration = vectors.filter("calibrates").select("toxic", "terms", "counts").mapInArrow(votes, "toxic int, vote double").toPandas()
     made.calibrate(calibration["vote"].to_numpy(dtype=float), calibration["toxic"].to_numpy(dtype=float))
-    forget(taught, some, vectors)
+    forget(taught, some, vectors, examples)
+    trim()
     return made, vectors_
 
 
