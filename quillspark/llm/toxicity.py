@@ -14,7 +14,6 @@ possible cosine reaches what some of the examples have for certain.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import column_name, forget, written
-from quillspark.llm.memo import release, slices, texts, tool, trim
+from quillspark.llm.memo import release, slices, texts, trim
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
 CALIBRATION = 5  #: one in so many of them calibrates and is no example
@@ -185,7 +184,6 @@ class Classifier:
     """The fitted classifier; a plain value that is sent to the workers."""
 
     def __init__(self, vocabulary, weights, ids, labels, ptr, terms, counts, prior):
-        self.key = uuid.uuid4().hex
         self.vocabulary, self.weights = vocabulary, weights
         self.ids, self.labels, self.ptr, self.terms = ids, np.asarray(labels, dtype=np.float64), ptr, terms
         self.units = np.concatenate(
@@ -195,11 +193,13 @@ class Classifier:
         self.slope, self.offset = 1.0, 0.0
 
     def fitted(self) -> BlockMaxIndex:
-        """The index of the examples, once a worker process."""
-        return tool(
-            ("toxicity", self.key),
-            lambda: BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary)),
-        )
+        """The index of the examples; a task makes it and lets it go at its end, so idle workers hold none."""
+        return BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary))
+
+    def clear(self) -> None:
+        """Let go of everything, in a worker process whose task is done with its copy."""
+        self.__dict__.clear()
+        trim()
 
     def nearest(self, index: BlockMaxIndex, counted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The nearest examples of each text, given by (terms, counts)."""
@@ -422,6 +422,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return two.select("doc_id", flags, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), none)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index = made.fitted()
         for b in slices(batches):
             scores, examples = [], []
@@ -431,6 +432,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ptr = np.concatenate([[0], np.cumsum([len(e) for e in examples])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *examples])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), lists], names=["doc_id", "score", "examples"])
+        del index
+        made.clear()
 
     out = vectors.mapInArrow(score, "doc_id long, score double, examples array<long>")
     return out.select("doc_id", flags, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "examples")
@@ -449,11 +452,14 @@ def drop_toxic_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index, terms = made.fitted(), Terms(made.vocabulary)
         for b in slices(batches):
             keep = []
             for places, cosines in made.nearest(index, map(terms.counts, texts(b.column(text_at)))):
                 keep.append(made.score(made.vote(index.labels[places], cosines)) < THRESHOLD)
             yield b.filter(pa.array(keep, pa.bool_()))
+        del index, terms
+        made.clear()
 
     return docs.mapInArrow(judge, docs.schema)
