@@ -11,7 +11,7 @@ KINDS = ("fenced-code", "blockquote", "quoted", "heading")
 _WHITE = "".join(WHITE)
 
 # Words that may be lower-case in a title.
-_SMALL = frozenset("a an the and or of in on for to with at by vs".split())
+SMALL_WORDS = ("a", "an", "the", "and", "or", "of", "in", "on", "for", "to", "with", "at", "by", "vs")
 
 
 def lines(text: str) -> Iterator[tuple[int, str]]:
@@ -34,7 +34,7 @@ def is_title(line: str) -> bool:
         return is_upper(w[0]) or w[0] in "0123456789"
 
     words = _words(t)
-    return leads(words[0]) and all(leads(w) or ascii_lower(w) in _SMALL for w in words[1:])
+    return leads(words[0]) and all(leads(w) or ascii_lower(w) in SMALL_WORDS for w in words[1:])
 
 
 def _words(t: str) -> list[str]:

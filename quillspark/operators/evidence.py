@@ -14,6 +14,18 @@ from quillspark.functions import scan as kernel
 from quillspark.operators.schemas import FLAT, HIT, REPORT, SHARED
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt over as many tasks as there are cores, where its files split into fewer.
+
+    The kernel costs far more than moving a small table. A stream, and what
+    comes from a shuffle, is left as it is; so is a table of many splits.
+    """
+    if docs.isStreaming or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
+
+
 def _mapped(docs: DataFrame, text_col: str, name: str, kind: T.DataType, of) -> DataFrame:
     """``docs`` with a column ``name`` that ``of(text)`` gives; all else passes through unread."""
     rest = [c for c in docs.columns if c != name]
@@ -26,7 +38,7 @@ def _mapped(docs: DataFrame, text_col: str, name: str, kind: T.DataType, of) ->
             made = pa.array([of(t or "") for t in b.column(where).to_pylist()], type=arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*rest, name])
 
-    return docs.select(*rest).mapInArrow(work, schema)
+    return spread(docs.select(*rest)).mapInArrow(work, schema)
 
 
 def _span(r: dict) -> dict:
@@ -46,24 +58,27 @@ def analyze(docs: DataFrame, text_col: str = "text", allow_terms: Iterable[str]
     return _mapped(docs, text_col, report_col, REPORT, lambda t: _span(kernel.report(t, allow)))
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow_terms: Iterable[str] = ()) -> DataFrame:
-    """One row a finding: ``doc_id`` and the finding's fields, byte spans as two columns."""
-    allow = tuple(allow_terms)
+def findings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow_terms: Iterable[str] = (), rules: Iterable[str] | None = None
+) -> DataFrame:
+    """One row a finding: ``doc_id`` and the finding's fields, byte spans as two columns; of ``rules`` alone, if given."""
+    allow, some = tuple(allow_terms), None if rules is None else tuple(sorted(rules))
     names = FLAT.fieldNames()
 
     def of(text: str) -> list[dict]:
-        return [dict(zip(names, f)) for f in kernel.find(text, allow)]
+        return [dict(zip(names, f)) for f in kernel.find(text, allow, None if some is None else kernel.scanner_of(some))]
 
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made = _mapped(two, "text", "f", T.ArrayType(FLAT), of)
     return made.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, rule_id, s, e)``: the raw hits after merging, byte spans, without annotation."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Iterable[str] | None = None) -> DataFrame:
+    """``(doc_id, rule_id, s, e)``: the raw hits after merging, byte spans, without annotation; of ``rules`` alone, if given."""
+    some = None if rules is None else tuple(sorted(rules))
 
     def of(text: str) -> list[dict]:
-        s, at = kernel.scanner(), kernel.Bytes(text)
+        s, at = kernel.scanner() if some is None else kernel.scanner_of(some), kernel.Bytes(text)
         return [{"rule_id": s.rules[h.rule].id, "s": at(h.start), "e": at(h.end)} for h in s.scan(text)]
 
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.catalog import Rule, load_rules
 from quillspark.functions.chars import JVM_WORD
+from quillspark.functions.containers import SMALL_WORDS
 from quillspark.functions.scan import DENSITY_FLOOR_WORDS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,8 +34,9 @@ def byte_len(col: str | Column) -> Column:
     return F.octet_length(_text(col)).cast("long")
 
 
-#: Marks the places of a term while its spans are made; no text that has it is scanned here.
-_MARK = "\x01"
+#: Marks the places of a term while its spans are made; a text that has it is read as if it had the next one,
+#: which is as long, no word character and in no term either.
+_MARK, _NO_MARK = "\x01", "\x02"
 
 
 def term_table(docs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -55,10 +57,9 @@ def term_places(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 
     The term table is broadcast and joined by ``contains``; spans are made only
     of the pairs that this leaves, by marking each place with a zero-width
-    pattern and adding up the bytes between the marks. A text with U+0001 is
-    left to the kernel.
+    pattern and adding up the bytes between the marks.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t")).filter(~F.contains("t", F.lit(_MARK)))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.translate(_text(text_col), _MARK, _NO_MARK).alias("t"))
     base = base.withColumn("low", ascii_lower(F.col("t")))
     text = F.when(F.col("ignore_case"), F.col("low")).otherwise(F.col("t"))
     pairs = base.join(F.broadcast(terms), F.contains(text, F.col("term")))
@@ -116,8 +117,8 @@ def codepoint_hits(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
         F.octet_length("t") > F.length("t")
     )
     runs = F.regexp_extract_all("t", F.lit(f"[{chars}]+|[^{chars}]+"), F.lit(0))
-    pieces = base.select("doc_id", F.posexplode(runs).alias("k", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("k")
+    pieces = base.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(runs).alias("k", "piece"))
+    w = Window.partitionBy("row").orderBy("k")
     ends = pieces.withColumn("e", F.sum(F.octet_length("piece")).over(w))
     return ends.filter(F.col("piece").rlike(f"^[{chars}]")).select(
         "doc_id", F.lit(rule.id).alias("rule_id"), (F.col("e") - F.octet_length("piece")).alias("s"), "e"
@@ -141,23 +142,26 @@ def merge_contained(hits: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, k, line, s, e)``: each line without its end, and its byte range."""
-    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t"))
-    raw = base.select("doc_id", F.posexplode(F.split("t", "\n", -1)).alias("k", "raw"), F.octet_length("t").alias("size"))
-    w = Window.partitionBy("doc_id").orderBy("k")
+    """``(doc_id, row, k, line, s, e, size)``: each line without its end, and its byte range.
+
+    ``row`` tells the table's rows apart, so repeated and null ids are no matter.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    raw = base.select("doc_id", "row", F.posexplode(F.split("t", "\n", -1)).alias("k", "raw"), F.octet_length("t").alias("size"))
+    w = Window.partitionBy("row").orderBy("k")
     s = F.coalesce(F.sum(F.octet_length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     line = F.regexp_replace("raw", r"\r\z", "")
     return (
         raw.withColumn("s", s.cast("long"))
         .filter(F.col("s") < F.col("size"))
-        .select("doc_id", "k", line.alias("line"), "s", (F.col("s") + F.octet_length(line)).alias("e"), F.col("size").cast("long").alias("size"))
+        .select("doc_id", "row", "k", line.alias("line"), "s", (F.col("s") + F.octet_length(line)).alias("e"), F.col("size").cast("long").alias("size"))
     )
 
 
 def fenced_ranges(lines: DataFrame) -> DataFrame:
     """``(doc_id, s, e)`` of fenced code: marker lines toggle, an open fence runs to the end."""
     marks = lines.filter(F.col("line").rlike(r"^\p{IsWhite_Space}*```"))
-    w = Window.partitionBy("doc_id").orderBy("k")
+    w = Window.partitionBy("row").orderBy("k")
     n = marks.withColumn("n", F.row_number().over(w)).withColumn("close", F.lead("e").over(w))
     return n.filter("n % 2 = 1").select("doc_id", "s", F.coalesce("close", "size").alias("e"))
 
@@ -169,8 +173,6 @@ def blockquote_ranges(lines: DataFrame) -> DataFrame:
 
 def heading_ranges(lines: DataFrame) -> DataFrame:
     """``(doc_id, s, e)`` of lines that begin with ``#`` or are short and in title case."""
-    from quillspark.functions.containers import _SMALL
-
     body = F.regexp_replace("line", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
     words = F.split("body", r"\p{IsWhite_Space}+")
     leads = r"^[\p{IsUppercase}0-9]"
@@ -178,7 +180,7 @@ def heading_ranges(lines: DataFrame) -> DataFrame:
         (F.octet_length("body") <= 60)
         & F.col("body").rlike(leads)
         & ~F.col("body").rlike(r"[.!?,;:]\z")
-        & F.forall(words, lambda w: w.rlike(leads) | ascii_lower(w).isin(*sorted(_SMALL)))
+        & F.forall(words, lambda w: w.rlike(leads) | ascii_lower(w).isin(*SMALL_WORDS))
     )
     named = lines.withColumn("body", body).filter("body <> ''")
     return named.filter(~F.startswith("body", F.lit(">")) & (F.startswith("body", F.lit("#")) | title)).select("doc_id", "s", "e")
@@ -190,20 +192,23 @@ def quote_ranges(lines: DataFrame) -> DataFrame:
     Curly quotes nest by a rule that needs a fold; the kernel does them.
     """
     blank = F.col("line").rlike(r"^\p{IsWhite_Space}*$")
-    w = Window.partitionBy("doc_id").orderBy("k")
+    w = Window.partitionBy("row").orderBy("k")
     session = lines.withColumn("session", F.sum(blank.cast("int")).over(w)).filter(F.contains("line", F.lit('"')))
-    pieces = session.select("doc_id", "session", "k", "s", F.posexplode(F.split("line", '"', -1)).alias("j", "piece"))
-    wl = Window.partitionBy("doc_id", "k").orderBy("j")
+    pieces = session.select("doc_id", "row", "session", "k", "s", F.posexplode(F.split("line", '"', -1)).alias("j", "piece"))
+    wl = Window.partitionBy("row", "k").orderBy("j")
     at = F.col("s") + F.sum(F.octet_length("piece") + 1).over(wl) - 1
-    last = F.max("j").over(Window.partitionBy("doc_id", "k"))
+    last = F.max("j").over(Window.partitionBy("row", "k"))
     marks = pieces.withColumn("at", at).withColumn("last", last).filter("j < last")
-    ws = Window.partitionBy("doc_id", "session").orderBy("at")
+    ws = Window.partitionBy("row", "session").orderBy("at")
     pairs = marks.withColumn("n", F.row_number().over(ws)).withColumn("close", F.lead("at").over(ws))
     return pairs.filter("n % 2 = 1 AND close IS NOT NULL").select("doc_id", F.col("at").alias("s"), (F.col("close") + 1).alias("e"))
 
 
 def merge_intervals(ranges: DataFrame) -> DataFrame:
-    """``(doc_id, s, e)``: overlapping and touching ranges of a document as one."""
+    """``(doc_id, s, e)``: overlapping and touching ranges of a document as one.
+
+    Here, and where hits meet ranges, ``doc_id`` must tell documents apart.
+    """
     w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reached = ranges.withColumn("reached", F.max("e").over(w))
     island = F.sum(F.when(F.col("reached").isNull() | (F.col("s") > F.col("reached")), 1).otherwise(0)).over(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.catalog import Rule, load_rules, patterns_table, rules_table, terms_table
 from quillspark.operators import evidence, native
-from quillspark.plans.planted import planted, planted_sql
+from quillspark.functions.containers import SMALL_WORDS
+from quillspark.plans.planted import PASSAGE, planted, planted_sql
 
 _XID = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]"
 
@@ -21,9 +22,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as bundles of their turns; in every third one the turns share a planted passage."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.coalesce("text", F.lit(""))
     return turns.select(
-        F.col("conv_id").alias("bundle_id"), F.col("turn").alias("file_idx"), F.col("role").alias("path"), "text"
+        F.col("conv_id").alias("bundle_id"), F.col("turn").alias("file_idx"), F.col("role").alias("path"),
+        F.when(F.pmod("conv_id", F.lit(3)) == 0, F.concat(text, F.lit("\n" + PASSAGE))).otherwise(text).alias("text"),
     )
 
 
@@ -99,12 +103,12 @@ def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def participial_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.scan(_documents(spark, sf_dir)).filter("rule_id = 'SD-Q002'").select("doc_id", "s", "e")
+    return evidence.scan(_documents(spark, sf_dir), rules=["SD-Q002"]).select("doc_id", "s", "e")
 
 
 def kernel_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = [r.id for r in _rules("word-set") if not r.patterns]
-    return evidence.scan(planted(spark, sf_dir)).filter(F.col("rule_id").isin(ids))
+    return evidence.scan(planted(spark, sf_dir), rules=ids)
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,16 +129,15 @@ def reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = [r.id for r in load_rules() if r.patterns]
-    return evidence.scan(planted(spark, sf_dir)).filter(F.col("rule_id").isin(ids))
+    return evidence.scan(planted(spark, sf_dir), rules=[r.id for r in load_rules() if r.patterns])
 
 
 def self_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.findings(_documents(spark, sf_dir)).filter("rule_id = 'SD-Q005'")
+    return evidence.findings(_documents(spark, sf_dir), rules=["SD-Q005"])
 
 
 def contrastive_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.findings(planted(spark, sf_dir)).filter("rule_id = 'SD-Q004'")
+    return evidence.findings(planted(spark, sf_dir), rules=["SD-Q004"])
 
 
 def bundle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +255,7 @@ _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 
 
 def _containers_sql() -> str:
-    small = ", ".join(_q(w) for w in "a an the and or of in on for to with at by vs".split())
+    small = ", ".join(map(_q, SMALL_WORDS))
     upper = r"^[\p{Lu}0-9]"
     return f"""{_LINES_SQL},
 fences AS (
@@ -339,7 +342,7 @@ def _pairs_sql() -> str:
 WITH words AS (
   SELECT conv_id AS bundle_id, turn AS file_idx,
     list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}''’]+'), lambda w: translate(lower(w), '’ς', '''σ')) AS w
-  FROM conversations
+  FROM (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'THE_PASSAGE' ELSE '' END AS text FROM conversations)
 ),
 shingles AS (
   SELECT DISTINCT bundle_id, file_idx, array_to_string(w[i:i + 7], ' ') AS h
@@ -347,7 +350,7 @@ shingles AS (
 )
 SELECT a.bundle_id, a.file_idx AS a, b.file_idx AS b, count(*) AS n
 FROM shingles a JOIN shingles b ON a.bundle_id = b.bundle_id AND a.h = b.h AND a.file_idx < b.file_idx GROUP BY ALL
-"""
+""".replace("THE_PASSAGE", PASSAGE)
 
 
 def oracles() -> dict[str, str]:

@@ -27,8 +27,18 @@ LINES = [
     "The deep dive is a game-changer. On the one hand it works, on the other it fails.",
     "A drop-in replacement with api parity follows the original implementation.",
     "It was né delveé but delve, édelve and delve_ are not.",
+    "The data tells a compelling story, emphasizing what powerful and innovative tools significantly do.",
+    "It's important to note that rest assured, this serves as a marker and stands as a testament to it.",
+    "It is not a bug; it is a feature. The point is not speed. Yes, it is slow, but it works.",
+    "He came not to praise, but to bury. So, what does this mean? Why does it matter?",
+    "In this turn all three figures confirmed. Flagged for review, and whether fast, slow, or in between.",
+    "we walked all day along the old north road to town and then we walked all day along the old north road to town again",
+    "control\x01marks and delve\x01 tapestry",
 ]
 
+#: What the turns of some conversations have in common.
+PASSAGE = "the committee will meet again on the first monday of next month to look at every open question"
+
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` of the documents, each with its planted line at the end."""

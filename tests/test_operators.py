@@ -160,3 +160,42 @@ def test_entry(spark):
 
 def test_planted_lines_fire(spark):
     assert planted(spark, SF).count() == 200
+
+
+def test_every_rule_fires(spark):
+    found = {r.rule_id for r in plans.all_findings(spark, SF).select("rule_id").distinct().collect()}
+    assert found == {r.id for r in load_rules()}
+    assert plans.bundle_passages(spark, SF).count() > 0 and plans.bundle_shingle_pairs(spark, SF).count() > 0
+
+
+def test_some_rules_alone_give_the_same_hits(spark):
+    whole = {tuple(r) for r in evidence.scan(planted(spark, SF)).collect()}
+    for ids in (["SD-Q002"], ["SD-Q004", "SD-Q005"], [r.id for r in load_rules() if r.patterns]):
+        got = {tuple(r) for r in evidence.scan(planted(spark, SF), rules=ids).collect()}
+        assert got == {h for h in whole if h[1] in ids}
+
+
+def test_rows_that_share_an_id_keep_their_lines(spark):
+    rows = [(1, "a b\nc"), (1, "```\nd\n```"), (None, 'x "y" z'), (None, "# h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = native.line_table(df)
+    assert sorted((r.line, r.s, r.e) for r in lines.collect()) == sorted(
+        [("a b", 0, 3), ("c", 4, 5), ("```", 0, 3), ("d", 4, 5), ("```", 6, 9), ('x "y" z', 0, 7), ("# h", 0, 3)]
+    )
+    assert [tuple(r) for r in native.fenced_ranges(lines).collect()] == [(1, 0, 9)]
+    assert [tuple(r) for r in native.quote_ranges(lines).collect()] == [(None, 2, 5)]
+
+
+def test_control_characters_hide_nothing(spark):
+    df = spark.createDataFrame([(1, "a \x01delve\x02 and\x01 delve")], "doc_id long, text string")
+    got = sorted((r.s, r.e) for r in native.merge_contained(native.term_hits(df)).collect())
+    assert got == sorted((r.s, r.e) for r in evidence.scan(df).collect()) and len(got) == 2
+
+
+def test_table_function_takes_topic_terms(spark):
+    from quillspark.functions.sql import register
+
+    register(spark)
+    rows = spark.sql("SELECT f.topic_term FROM VALUES ('they delve on') d(t), LATERAL text_findings(d.t, array('Delve')) f").collect()
+    assert [r.topic_term for r in rows] == [True]
+    assert spark.sql("SELECT * FROM text_findings('they delve on')").count() == 1
