@@ -28,7 +28,7 @@ from quillspark.llm.memo import release, slices, texts, trim
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
 CALIBRATION = 5  #: one in so many of them calibrates and is no example
-EXAMPLES = 1_024  #: examples of each label in the index, at most
+EXAMPLES = 512  #: examples of each label in the index, at most
 NEIGHBOURS = 15
 BLOCK = 64
 COMMON = 1_024  #: terms of the longest lists, that are kept as a matrix
@@ -454,6 +454,7 @@ def drop_toxic_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         index, terms = made.fitted(), Terms(made.vocabulary)
+        made.vocabulary = made.terms = made.units = None  # this task's copy has made its tools of them
         for b in slices(batches):
             keep = []
             for places, cosines in made.nearest(index, map(terms.counts, texts(b.column(text_at)))):
