@@ -72,6 +72,21 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+BATCH_ROWS = 1_024  #: rows of texts that JVM and worker hold at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand rows to Python in batches of at most ``BATCH_ROWS``; results do not depend on it.
+
+    Texts of some kilobytes make the default of 10,000 rows tens of megabytes,
+    held several times in the JVM and the worker of every task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, size=None, max_bytes: int = 16_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``max_rows``.
 

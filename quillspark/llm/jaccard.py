@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, written
+from quillspark.llm.common import broadcast_if_small, forget, small_batches, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices
 from quillspark.llm.simhash import simhash_links
@@ -200,6 +200,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     give repeated rows, and other columns are not read. An empty table gives
     none.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     four = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.cast("binary").alias("t"))
     rows = written(_sets(four).withColumn("row", F.monotonically_increasing_id()), "shingles")

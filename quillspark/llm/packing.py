@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import small_batches, written
 from quillspark.llm.memo import Memo, release, slices, texts, tool
 
 CAPACITY = 2048
@@ -100,6 +100,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 [pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return two.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import column_name, forget, written
+from quillspark.llm.common import column_name, forget, small_batches, written
 from quillspark.llm.memo import release, slices, texts, trim
 
 FIT_ROWS = 8_000  #: labelled rows that are learned from, at most
 CALIBRATION = 5  #: one in so many of them calibrates and is no example
-EXAMPLES = 512  #: examples of each label in the index, at most
+EXAMPLES = 768  #: examples of each label in the index, at most
 NEIGHBOURS = 15
 BLOCK = 64
 COMMON = 1_024  #: terms of the longest lists, that are kept as a matrix
@@ -297,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classif
     examples; the others calibrate. Document frequencies are those of all
     documents.
     """
+    small_batches(docs.sparkSession)
     taught = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -359,6 +360,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: bool = False) -> tuple[Classif
                 df[terms.present(t)] += 1
         at = df.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
+        del terms, df
+        trim()
 
     size = len(vocabulary)  # bounded by the examples, and so is what comes to the driver here
     sums_of = {c: np.zeros(size) for c in ("toxic", "n", "df")}
