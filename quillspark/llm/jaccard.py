@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_if_small, forget, small_batches, written
@@ -118,7 +118,11 @@ def _prefixes(rows: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataF
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """The prefixes under an order by frequency: a sample's, mended by how often shingles are in the prefixes it gives."""
+    """The prefixes of distinct sets under an order by frequency.
+
+    It is a sample's, mended by how often shingles are in the prefixes that it
+    gives a quarter of the sets; the order decides only what is compared.
+    """
     total = rows.count()
     sample = rows.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
     scale = max(1.0, total / SAMPLE_ROWS)
@@ -133,11 +137,12 @@ def _ordered(rows: DataFrame) -> DataFrame:
     toks, count = most(sample.select(F.explode("toks").alias("tok")), SAMPLE_COUNT)
     by = np.argsort(toks)
     first = toks[by], count[by] * scale
-    hot, often = most(_prefixes(rows, *first), HOT + 1)
+    hot, often = most(_prefixes(rows.filter("pmod(row, 4) = 0"), *first), HOT // 4 + 1)
+    often = often * 4
     toks, at = np.unique(np.concatenate([first[0], hot]), return_inverse=True)
     count = np.zeros(len(toks))
     np.maximum.at(count, at, np.concatenate([first[1], often]))
-    return _prefixes(rows, toks, count).distinct()
+    return _prefixes(rows, toks, count)
 
 
 def _similar(common: Column, n: Column, m: Column) -> Column:
@@ -208,12 +213,14 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = written(groups.select("node", "fp", "n", "row", *(F.col("par")[k].alias(f"p{k}") for k in range(4))), "sets")
     tried = written(_simhash_pairs(groups), "ahead")
     links = _verified(tried, rows, groups)
-    prefix = written(_ordered(rows), "prefixes")
-    met = prefix.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1").select("tok")
+    # each set once: rows that repeat one are left out
+    again = rows.select("node", "row").join(groups.select(F.col("node").alias("of"), F.col("row").alias("rep")), F.col("node") == F.col("of"))
+    again = written(again.filter("row <> rep").select(F.col("row").alias("copy")), "copies")
+    once = rows.join(broadcast_if_small(again, MAX_BROADCAST), F.col("row") == F.col("copy"), "left_anti")
+    # one exchange by element serves to count it and to keep what several sets have
+    prefix = _ordered(once).withColumn("k", F.count("*").over(Window.partitionBy("tok"))).filter("k > 1").drop("k")
     signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
-    shared = prefix.join(met, "tok", "left_semi").join(signs, F.col("node") == F.col("of")).drop("of")
-    prefix, whole = written(shared, "met"), prefix
-    forget(whole)
+    prefix = written(prefix.join(signs, F.col("node") == F.col("of")).drop("of"), "met")
     # every set meets one set of each element, another each time while that joins many; then those of other classes
     stars, joined = 0, None
     while True:
