@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_if_small, forget, small_batches, written
 from quillspark.llm.components import connected_components
-from quillspark.llm.memo import release, slices
+from quillspark.llm.memo import release, slices, trim
 from quillspark.llm.simhash import simhash_links
 
 SEED = 42
 SHINGLE_WORDS = 5
 SAMPLE_ROWS = 5_000  #: documents whose shingles are counted for the order
 SAMPLE_COUNT = 3  #: a shingle in so many of them is frequent
-STARS = 2  #: rounds in which a set meets one other for each element, at most,
+STARS = 1  #: rounds in which a set meets one other for each element, at most,
 WORTH = 0.2  #: and only while this share of those that met were similar
 HOT = 32  #: a shingle in more prefixes than this is frequent too
 MAX_FREQUENT = 100_000  #: frequent shingles that are told apart from rare ones, at most
@@ -249,6 +249,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not first:
             break
         tried, stars, joined = tried.union(new), stars + 1, (new.count(), found.count())
+        trim()
     linked = connected_components(links)
     forget(prefix)
     return rows.select("id", "a", "b", "node").join(linked.toDF("end", "component"), F.col("node") == F.col("end"), "left").select(
