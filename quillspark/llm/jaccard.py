@@ -241,7 +241,8 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 F.mode("class").alias("most"), F.min("class").alias("lo"), F.max("class").alias("hi")
             ).filter("lo < hi").select("tok", "most")
             a, b = placed.join(written(mixed, "mixed"), "tok").filter("class <> most").alias("a"), placed.alias("b")
-        meet = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
+        # packed columns look small to the planner; neither side is to pass through the driver
+        meet = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
         new = written(_pairs(meet).join(tried, ["u", "v"], "left_anti"), "untried")
         found = _verified(new, rows, groups)
         links = links.union(found)

@@ -74,6 +74,9 @@ def simhash_links(distinct_fps: DataFrame) -> DataFrame:
     fingerprints that differ at that very bit need to meet, so a pair that has
     a whole segment in common meets once there, not 32 times more. A pair may
     come twice (by either segment).
+
+    The index is 66 rows a fingerprint, which the planner doesn't count, so it
+    is told never to broadcast it.
     """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
@@ -97,7 +100,7 @@ def simhash_links(distinct_fps: DataFrame) -> DataFrame:
     at = (wild + F.when(tag < 33, F.lit(0)).otherwise(F.lit(32))).cast("int")
     differs = F.call_function("bit_get", xor, F.when(wild < 0, F.lit(0)).otherwise(at))
     pairs = a.join(
-        b,
+        b.hint("merge"),
         (F.col("a.key") == F.col("b.kex"))
         & (F.col("a.fp") < F.col("b.gp"))
         & (F.bit_count(xor) <= MAX_DISTANCE)

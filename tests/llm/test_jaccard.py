@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from quillspark.llm import jaccard
 
 
 def shingles(text):
@@ -41,3 +42,20 @@ def test_pipeline_keeps_one_of_each_jaccard_group(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == sorted(set(least))
+
+
+def test_no_index_of_the_pipeline_is_broadcast(spark, monkeypatch):
+    """The joins by key and by element, whose rows the planner takes to be few, pass by the driver at its default."""
+    plans = {}
+
+    def written(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", written)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}") for k in range(40)], "doc_id long, text string")
+    assert len(corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == 20
+    joins = [x for name in ("ahead", "untried") for x in plans[name].splitlines() if "Join [key" in x or "Join [tok" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
