@@ -13,11 +13,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     Large star: every node hands its smallest neighbour to its larger ones.
     Small star: every node hands it to its smaller ones and to itself.
+    Links are many more rows than their packed bytes let the planner expect, so
+    they are merged, never broadcast.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.filter("v <= u")
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(least.hint("merge"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -95,6 +95,19 @@ def test_simhash_table(spark):
     assert simhash_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_index_and_links_are_not_broadcast(spark):
+    """At the planner's default too, which takes the index's 66 rows a fingerprint for one."""
+    import quillspark.llm.components as c
+    from quillspark.llm.common import written
+
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fps = written(spark.createDataFrame([(k * 2**40,) for k in range(50)], "fp long"), "fps")
+    links = written(simhash_links(fps), "links")
+    for df in (simhash_links(fps), c._star(c._star(links, True), False)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_canonical_form():
     assert canonical("  ﬁne  STRASSE\n") == "fine strasse"
     assert canonical("Straße") == canonical("STRASSE")
