@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, small_batches, written
+from quillspark.llm.common import broadcast_if_small, forget, shuffles_dropped, small_batches, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices, trim
 from quillspark.llm.simhash import simhash_links
@@ -31,8 +31,9 @@ SEED = 42
 SHINGLE_WORDS = 5
 SAMPLE_ROWS = 5_000  #: documents whose shingles are counted for the order
 SAMPLE_COUNT = 3  #: a shingle in so many of them is frequent
-STARS = 1  #: rounds in which a set meets one other for each element, at most,
-WORTH = 0.2  #: and only while this share of those that met were similar
+CENTRES = 4  #: sets of an element's commonest class that the others meet first,
+FEW = 4  #: while comparing them with all would take more than so many times the rows,
+WORTH = 0.9  #: and the last such round made that at most this share of what it was
 HOT = 32  #: a shingle in more prefixes than this is frequent too
 MAX_FREQUENT = 100_000  #: frequent shingles that are told apart from rare ones, at most
 MAX_BROADCAST = 1_000_000
@@ -90,6 +91,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 ],
                 names=["id", "a", "b", "node", "fp", "n", "par", "toks"],
             )
+        trim()  # the worker may wait beside what follows
 
     return docs.mapInArrow(work, "id long, a long, b long, node long, fp long, n int, par array<long>, toks array<long>")
 
@@ -113,6 +115,7 @@ def _prefixes(rows: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], names=["node", "n", "pos", "tok"]
                 )
+        trim()
 
     return rows.filter("n > 0").select("node", "toks").mapInArrow(work, "node long, n int, pos int, tok long")
 
@@ -196,16 +199,21 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows are of one class if they are connected by links of texts whose sets of
     five-word shingles have a Jaccard similarity of at least 0.8. Equal sets are
     one entry. SimHash pairs are verified first. Then sets of different classes
-    that share an element of their prefixes are compared: each with one other
-    for each element, and with all others only where classes still differ, so a
-    large group costs links in proportion to its size and every similar pair
-    ends in one class.
+    that share an element of their prefixes are compared: each with a few others
+    for each element while many still differ, then with all others of other
+    classes, so a large group costs links in proportion to its size and every
+    similar pair ends in one class.
 
     Null and empty texts have the empty set and are of one class. Repeated rows
     give repeated rows, and other columns are not read. An empty table gives
     none.
     """
     small_batches(docs.sparkSession)
+    with shuffles_dropped(docs.sparkSession):
+        return _near_duplicate_rows(docs, id_col, text_col)
+
+
+def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     four = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.cast("binary").alias("t"))
     rows = written(_sets(four).withColumn("row", F.monotonically_increasing_id()), "shingles")
@@ -221,35 +229,36 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = _ordered(once).withColumn("k", F.count("*").over(Window.partitionBy("tok"))).filter("k > 1").drop("k")
     signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
     prefix = written(prefix.join(signs, F.col("node") == F.col("of")).drop("of"), "met")
-    # every set meets one set of each element, another each time while that joins many; then those of other classes
-    stars, joined = 0, None
+    # sets outside their element's commonest class meet a few of it while that saves much, then all of other classes
+    last, turn = None, 0
     while True:
-        first = stars < STARS and (joined is None or joined[1] > joined[0] * WORTH)
         known = connected_components(links).toDF("known", "class")
         placed = written(
             prefix.join(known, F.col("node") == F.col("known"), "left")
             .select("tok", "node", "n", "pos", "p0", "p1", "p2", "p3", F.coalesce("class", "node").alias("class")),
             "placed",
         )
+        sizes = placed.groupBy("tok", "class").agg(F.count("*").alias("m"))
+        largest = F.max(F.struct("m", F.xxhash64("class").alias("turn"), "class"))
+        mixed = sizes.groupBy("tok").agg(largest.alias("most"), F.sum("m").alias("k")).filter("k > most.m")
+        mixed = written(mixed.select("tok", F.col("most.class").alias("most"), (F.col("k") * (F.col("k") - F.col("most.m"))).alias("cost")), "mixed")
+        cost = mixed.agg(F.sum(F.col("cost").cast("double"))).first()[0] or 0.0
+        first = cost > FEW * placed.count() and (last is None or cost <= last * WORTH)
+        sided = placed.join(mixed.select("tok", "most").hint("merge"), "tok")
+        a, b = sided.filter("class <> most").alias("a"), placed.alias("b")
         if first:
-            turn = F.xxhash64(F.lit(stars), "node")
-            one = placed.groupBy("tok").agg(F.min(F.struct(turn.alias("h"), "node", "n", "pos", "class", "p0", "p1", "p2", "p3")).alias("b")).select("tok", "b.*")
-            a, b = placed.alias("a"), one.alias("b")
-        else:
-            # of two sets in different classes, one at least is not in the element's commonest class
-            mixed = placed.groupBy("tok").agg(
-                F.mode("class").alias("most"), F.min("class").alias("lo"), F.max("class").alias("hi")
-            ).filter("lo < hi").select("tok", "most")
-            a, b = placed.join(written(mixed, "mixed"), "tok").filter("class <> most").alias("a"), placed.alias("b")
+            whole = F.struct("node", "n", "pos", "class", "p0", "p1", "p2", "p3")
+            few = F.array_distinct(F.array(*(F.min_by(whole, F.xxhash64(F.lit(k), "node")) for k in range(turn, turn + CENTRES))))
+            centres = sided.filter("class = most").groupBy("tok").agg(few.alias("few"))
+            b = centres.select("tok", F.explode("few").alias("b")).select("tok", "b.*").alias("b")
         # packed columns look small to the planner; neither side is to pass through the driver
         meet = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
         new = written(_pairs(meet).join(tried, ["u", "v"], "left_anti"), "untried")
-        found = _verified(new, rows, groups)
-        links = links.union(found)
-        forget(placed)
+        links = links.union(_verified(new, rows, groups))
+        forget(placed, mixed)
         if not first:
             break
-        tried, stars, joined = tried.union(new), stars + 1, (new.count(), found.count())
+        tried, last, turn = tried.union(new), cost, turn + CENTRES
         trim()
     linked = connected_components(links)
     forget(prefix)

@@ -59,3 +59,54 @@ def test_no_index_of_the_pipeline_is_broadcast(spark, monkeypatch):
     assert len(corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == 20
     joins = [x for name in ("ahead", "untried") for x in plans[name].splitlines() if "Join [key" in x or "Join [tok" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_a_group_of_near_copies_is_compared_in_proportion(spark, monkeypatch):
+    """Copies with one or two other words: not every one is similar to a given one, but pairs don't grow with the square."""
+    tried = []
+
+    def written(df, name):
+        out = keep(df, name)
+        tried.extend([out.count()] if name == "untried" else [])
+        return out
+
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", written)
+    rng, texts = random.Random(3), []
+    for k in range(600):
+        x = [f"w{j}" for j in range(130)]
+        for j in range(1 + k % 2):
+            x[rng.randrange(130)] = f"v{k}-{j}"
+        texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, left, kept = [shingles(t) for t in texts], set(range(600)), []
+    while left:
+        kept.append(min(left))
+        todo = [kept[-1]]
+        left.discard(kept[-1])
+        while todo:
+            i = todo.pop()
+            near = {j for j in left if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+            left -= near
+            todo += near
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == kept
+    assert sum(tried) <= 8 * len(texts)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+
+    from quillspark.llm.common import shuffles_dropped
+
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for x in blocks.mkString(" ").split() if x.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = spark.conf.get(name), files()
+    with shuffles_dropped(spark):
+        assert spark.range(1000).groupBy((jaccard.F.col("id") % 7).alias("k")).count().count() == 7
+    end = time.time() + 10
+    while files() - was and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - was and spark.conf.get(name) == before
