@@ -9,9 +9,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.memo import trim
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -89,6 +92,30 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver give back what it does not use, in Python, the JVM's heap and its C library; whether all did.
+
+    Every query leaves plans and broadcasts, which go only when the JVM collects
+    its old garbage, and compiled code, whose scratch memory the C library
+    keeps. A run of some hundred queries else grows by it. A JVM that cannot
+    trim its C library's memory goes without that.
+    """
+    trim()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by the interface, as the server's own class is closed to callers
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = array(jvm.Object, 4)
+        given[0], given[1] = name, "systemTrimNativeHeap"
+        invoke.invoke(beans, given)
+    except Py4JError:  # another JVM or C library
+        return False
+    return True
+
+
 BATCH_ROWS = 1_024  #: rows of texts that JVM and worker hold at once
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, shuffles_dropped, small_batches, written
+from quillspark.llm.common import broadcast_if_small, forget, shuffles_dropped, small_batches, trim_driver, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices, trim
 from quillspark.llm.simhash import simhash_links
@@ -214,12 +214,15 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    trim_driver(spark)
     text = F.col(text_col).cast("string")
     four = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.cast("binary").alias("t"))
     rows = written(_sets(four).withColumn("row", F.monotonically_increasing_id()), "shingles")
     groups = rows.groupBy("node", "fp", "n").agg(F.min("row").alias("row"), F.first("par").alias("par"))
     groups = written(groups.select("node", "fp", "n", "row", *(F.col("par")[k].alias(f"p{k}") for k in range(4))), "sets")
     tried = written(_simhash_pairs(groups), "ahead")
+    trim_driver(spark)
     links = _verified(tried, rows, groups)
     # each set once: rows that repeat one are left out
     again = rows.select("node", "row").join(groups.select(F.col("node").alias("of"), F.col("row").alias("rep")), F.col("node") == F.col("of"))
@@ -229,10 +232,12 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     prefix = _ordered(once).withColumn("k", F.count("*").over(Window.partitionBy("tok"))).filter("k > 1").drop("k")
     signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
     prefix = written(prefix.join(signs, F.col("node") == F.col("of")).drop("of"), "met")
+    trim_driver(spark)
     # sets outside their element's commonest class meet a few of it while that saves much, then all of other classes
     last, turn = None, 0
     while True:
         known = connected_components(links).toDF("known", "class")
+        trim_driver(spark)
         placed = written(
             prefix.join(known, F.col("node") == F.col("known"), "left")
             .select("tok", "node", "n", "pos", "p0", "p1", "p2", "p3", F.coalesce("class", "node").alias("class")),
@@ -254,14 +259,16 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
         # packed columns look small to the planner; neither side is to pass through the driver
         meet = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
         new = written(_pairs(meet).join(tried, ["u", "v"], "left_anti"), "untried")
-        links = links.union(_verified(new, rows, groups))
+        # what is known links as all the links did, in fewer rounds
+        links = known.toDF("u", "v").union(_verified(new, rows, groups))
         forget(placed, mixed)
+        trim_driver(spark)
         if not first:
             break
         tried, last, turn = tried.union(new), cost, turn + CENTRES
-        trim()
     linked = connected_components(links)
     forget(prefix)
+    trim_driver(spark)
     return rows.select("id", "a", "b", "node").join(linked.toDF("end", "component"), F.col("node") == F.col("end"), "left").select(
         F.col("id").alias("doc_id"), "a", "b", F.coalesce("component", "node").alias("class")
     )

@@ -110,3 +110,22 @@ def test_shuffle_files_go_with_their_query(spark):
     while files() - was and time.time() < end:
         time.sleep(0.1)
     assert not files() - was and spark.conf.get(name) == before
+
+
+def test_the_stage_collects_what_the_driver_no_longer_uses(spark):
+    """Old garbage of the driver's JVM, such as past queries leave, is gone after the stage, and its C library can be trimmed."""
+    import gc
+
+    from quillspark.llm import common
+
+    jvm = spark.sparkContext._jvm
+    box = jvm.java.util.ArrayList()
+    seen = jvm.java.lang.ref.WeakReference(box)
+    jvm.System.gc()  # the box is old from now on
+    assert seen.get() is not None
+    del box
+    gc.collect()
+    df = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}") for k in range(8)], "doc_id long, text string")
+    assert len(corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == 4
+    assert seen.get() is None
+    assert common.trim_driver(spark) in (True, False)
