@@ -14,6 +14,7 @@ from quillspark.llm.simhash import simhash_near_duplicates
 from quillspark.llm.token_counts import token_counts
 from quillspark.llm.toxicity import toxicity_scores
 from quillspark.llm.url_filter import filter_urls
+from quillspark.llm.window_packing import pack_into_windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 ids: full ones, and at the end some of a power of two."""
+    return pack_into_windows(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
+    "op13_packing": op13_packing,
 }
 
 _OP1_SQL = f"""
