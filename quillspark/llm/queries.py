@@ -10,6 +10,7 @@ from quillspark.llm.byte_bpe import encode_decode
 from quillspark.llm.digest import edited_fingerprints
 from quillspark.llm.embed_forest import embedding_near_duplicates
 from quillspark.llm.packing import pack_documents
+from quillspark.llm.repair import damaged, repair, with_digests
 from quillspark.llm.simhash import simhash_near_duplicates
 from quillspark.llm.token_counts import token_counts
 from quillspark.llm.toxicity import toxicity_scores
@@ -63,6 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged in a known way and repaired; the repaired turns as a digest."""
+    return with_digests(repair(damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 ids: full ones, and at the end some of a power of two."""
     return pack_into_windows(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_packing": op13_packing,
 }
 
@@ -210,8 +217,95 @@ FROM (SELECT * FROM keyed) k LEFT JOIN gone g ON g.host = k.host AND g.segs = k.
 """.replace("host = '", "k.host = '").replace("ends_with(host,", "ends_with(k.host,")
 
 
+def _op12_sql() -> str:
+    """The edits as a recursion over turns: the four weights are texts of a padded cost and the letters so far."""
+
+    def on(w: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST(left({w}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({w}, 13) || '{letter}'"
+
+    def keep(symbol: str, w: str) -> str:
+        return f"CASE WHEN lower(symbol) = '{symbol}' THEN {on(w, 'more', 'K')} END"
+
+    def other(w: str) -> str:
+        return f"CASE WHEN symbol <> 'x' THEN {on(w, '2 + more', 'R')} END"
+
+    first = f"least(w2, {on('w0', '2', 'I')}, {on('w1', '2', 'I')}, {on('w3', '2', 'I')})"
+    blank = "[^\\x20\\x09-\\x0D]"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY i) AS entries
+  FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) r(i))
+),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ascii(c) AS BIGINT))), lambda acc, b: xor(acc // 256, entries[(xor(acc, b) % 256) + 1])), 4294967295) % 20 AS k
+  FROM conversations, crc
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE k <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS rn FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) AS copies FROM placed),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{blank}') THEN 'blank' WHEN copies > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS kind,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair
+  FROM seen
+),
+turns AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE kind END AS symbol, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS more
+  FROM faults
+),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS rn, repeat('0', 12) AS w0, CAST(NULL AS VARCHAR) AS w1, CAST(NULL AS VARCHAR) AS w2, CAST(NULL AS VARCHAR) AS w3 FROM ids
+  UNION ALL
+  SELECT conv_id, rn, {on('w0', '3', 'D')}, least({on('w1', '3', 'D')}, {keep('s', 'w0')}),
+    least({on('w2', '3', 'D')}, {keep('u', 'w0')}, {keep('u', 'w1')}, {keep('u', 'w3')}, {other('w0')}, {other('w1')}, {other('w3')}),
+    least({on('w3', '3', 'D')}, {keep('a', 'w2')}, {other('w2')})
+  FROM (
+    SELECT conv_id, rn, symbol, more, w0, w1, w2, least(w3, {on('w2', '2', 'I')}) AS w3 FROM (
+      SELECT p.conv_id, t.rn, t.symbol, t.more, w0, w1, w3, {first} AS w2
+      FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.rn = p.rn + 1))
+),
+ends AS (
+  SELECT conv_id, least(w0, w3, {on('w2', '2', 'I')}) AS best FROM (SELECT conv_id, w0, w3, {first} AS w2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) AS back FROM paths) WHERE back = 1)
+),
+audits AS (SELECT conv_id, CAST(left(best, 12) AS BIGINT) AS cost, substr(best, 13) AS audit FROM ends),
+letters AS (
+  SELECT conv_id, letter, idx, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY idx) AS rn FROM (
+    SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS idx FROM audits WHERE audit <> '')
+),
+outs AS (
+  SELECT l.conv_id, letter, idx, t.role, CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text, row_number() OVER (PARTITION BY l.conv_id ORDER BY idx) AS j
+  FROM letters l LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.rn = l.rn AND letter <> 'I' WHERE letter <> 'D'
+),
+roled AS (SELECT *, bool_or(j = 1 AND letter = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id) AS led FROM outs),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole
+  FROM roled GROUP BY conv_id
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM audits a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+""".replace("\\\\", "\\")
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _OP1_SQL,
     "op2_license_scan": _op2_sql(),
     "op5_url_filter": _op5_sql(),
+    "op12_conversation_repair": _op12_sql(),
 }
