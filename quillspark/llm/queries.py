@@ -9,6 +9,7 @@ from quillspark.llm import licenses, line_dedup, url_filter
 from quillspark.llm.byte_bpe import encode_decode
 from quillspark.llm.digest import edited_fingerprints
 from quillspark.llm.embed_forest import embedding_near_duplicates
+from quillspark.llm.lexical import K, ranked_search
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.repair import damaged, repair, with_digests
 from quillspark.llm.simhash import simhash_near_duplicates
@@ -64,6 +65,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged in a known way and repaired; the repaired turns as a digest."""
     return with_digests(repair(damaged(_table(spark, sf_dir, "conversations"))))
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_packing": op13_packing,
 }
@@ -217,6 +224,32 @@ FROM (SELECT * FROM keyed) k LEFT JOIN gone g ON g.host = k.host AND g.segs = k.
 """.replace("host = '", "k.host = '").replace("ends_with(host,", "ends_with(k.host,")
 
 
+def _op11_sql() -> str:
+    words = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{words}')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {split} AS ts FROM documents),
+lens AS (SELECT r, doc_id, len(ts) AS n FROM docs WHERE len(ts) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lens),
+asked AS (
+  SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(ts) AS t FROM (SELECT row_number() OVER () AS q, item_id, {split} AS ts FROM benchmark))
+  GROUP BY q, item_id, t
+),
+freq AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM freq, total GROUP BY t
+),
+scores AS (
+  SELECT q, item_id, r, any_value(doc_id) AS doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN freq USING (t) JOIN weights USING (t) JOIN lens USING (r), total GROUP BY q, item_id, r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= {K}
+"""
+
+
 def _op12_sql() -> str:
     """The edits as a recursion over turns: the four weights are texts of a padded cost and the letters so far."""
 
@@ -307,5 +340,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _OP1_SQL,
     "op2_license_scan": _op2_sql(),
     "op5_url_filter": _op5_sql(),
+    "op11_ranked_search": _op11_sql(),
     "op12_conversation_repair": _op12_sql(),
 }
