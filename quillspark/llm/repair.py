@@ -343,7 +343,11 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 
 def _joined(parts: DataFrame) -> DataFrame:
-    """``(conv_id, report)`` of each conversation from its parts; a task gets one row for each task that had a part."""
+    """``(conv_id, report)`` of each conversation from its parts.
+
+    One that lies within a task is a row already; of another a task gets one row
+    for each task that had a part, at most two conversations a task.
+    """
     out = T.StructType([parts.schema["conv_id"], T.StructField("report", REPORT)])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
@@ -362,13 +366,17 @@ def _joined(parts: DataFrame) -> DataFrame:
                 distinct += r["distinct"] - (last == r["first"])
                 least, last = r["first"] if least is None else least, r["last"]
             flat = [None if c is None else (c, a) for c, a in zip(r["costs"], r["audits"])]
-            one = flat if len(flat) == 1 else tuple(tuple(flat[4 * k : 4 * k + 4]) for k in STATES)
+            one = tuple(tuple(flat[4 * k : 4 * k + 4]) for k in STATES)
             total = one if total is None else product(total, one)
-        cost, audit = (0, "") if total is None else total[0] if len(total) == 1 else accepted(total[START])
+        cost, audit = (0, "") if total is None else accepted(total[START])
         gaps = 0 if least is None else last - least + 1 - distinct
         return pa.Table.from_pylist([{"conv_id": rows[0]["conv_id"], "report": {"gaps": gaps, **got, "cost": cost, "audit": audit}}], schema=arrow)
 
-    return parts.groupBy("conv_id").applyInArrow(whole, out)
+    gaps = F.coalesce(F.col("last") - F.col("first") + 1 - F.col("distinct"), F.lit(0).cast("long"))
+    fields = {"gaps": gaps, "cost": F.col("costs")[0], "audit": F.col("audits")[0]}
+    report = F.struct(*(fields.get(f.name, F.col(f.name)).alias(f.name) for f in REPORT.fields)).cast(REPORT)
+    within = parts.filter(F.size("costs") == 1).select("conv_id", report.alias("report"))
+    return within.unionByName(parts.filter(F.size("costs") > 1).groupBy("conv_id").applyInArrow(whole, out))
 
 
 def repair(rows: DataFrame) -> Repaired:
