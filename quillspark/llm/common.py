@@ -65,6 +65,20 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def forgetting(spark: SparkSession) -> Iterator[list]:
+    """Delete the tables written meanwhile, but for those appended to the list: what a step leaves is its result."""
+    before = len(_written)
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        stay = {getattr(t, "_written_at", None) for t in kept}
+        for entry in [e for e in _written[before:] if e[0] is spark and e[1] not in stay]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 def drop_written() -> None:
     """Delete the tables that :func:`written` has made so far in this process."""
     while _written:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, shuffles_dropped, small_batches, trim_driver, written
+from quillspark.llm.common import broadcast_if_small, forget, forgetting, shuffles_dropped, small_batches, trim_driver, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices, trim
 from quillspark.llm.simhash import simhash_links
@@ -208,9 +208,12 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     give repeated rows, and other columns are not read. An empty table gives
     none.
     """
-    small_batches(docs.sparkSession)
-    with shuffles_dropped(docs.sparkSession):
-        return _near_duplicate_rows(docs, id_col, text_col)
+    spark = docs.sparkSession
+    small_batches(spark)
+    with shuffles_dropped(spark), forgetting(spark) as kept:
+        out = written(_near_duplicate_rows(docs, id_col, text_col), "near-duplicates")
+        kept.append(out)
+    return out
 
 
 def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
