@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, written
+from quillspark.llm.common import broadcast_if_small, forget, forgetting, written
 from quillspark.llm.jaccard import near_duplicate_rows, text_hashes
 from quillspark.llm.line_dedup import drop_boilerplate
 from quillspark.llm.packing import pack_documents
@@ -87,8 +87,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of ``sf_dir``, each one's result written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with forgetting(spark) as kept:
+            after = written(stage(spark, docs, sf_dir), name)
+            kept.append(after)
+        forget(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
