@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
@@ -65,18 +65,29 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def written_paths(spark: SparkSession) -> list[str]:
+    """The paths of this session's written tables that are there."""
+    return [path for of, path in _written if of is spark]
+
+
+def forget_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables by their paths; those that are gone already are no matter."""
+    for path in paths:
+        if (spark, path) in _written:
+            _written.remove((spark, path))
+            _delete(spark, path)
+
+
 @contextmanager
 def forgetting(spark: SparkSession) -> Iterator[list]:
     """Delete the tables written meanwhile, but for those appended to the list: what a step leaves is its result."""
-    before = len(_written)
+    before = set(written_paths(spark))
     kept: list[DataFrame] = []
     try:
         yield kept
     finally:
-        stay = {getattr(t, "_written_at", None) for t in kept}
-        for entry in [e for e in _written[before:] if e[0] is spark and e[1] not in stay]:
-            _written.remove(entry)
-            _delete(*entry)
+        stay = before | {getattr(t, "_written_at", None) for t in kept}
+        forget_paths(spark, [path for path in written_paths(spark) if path not in stay])
 
 
 def drop_written() -> None:
