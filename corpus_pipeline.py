@@ -6,25 +6,51 @@ group stays, and what is left is packed into training sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from weakref import WeakKeyDictionary
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, forgetting, written
+from quillspark.llm.common import broadcast_if_small, forget, forget_paths, forgetting, written, written_paths
 from quillspark.llm.jaccard import near_duplicate_rows, text_hashes
 from quillspark.llm.line_dedup import drop_boilerplate
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.toxicity import drop_toxic_rows
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: What the latest stage has written for its result, by session: the next stage reads that result, written, so it goes.
+_left: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+
 #: Rows that may be broadcast: a million of three longs are 24 MB.
 MAX_ROWS = 1_000_000
 
 
+def _stage(work: Stage) -> Stage:
+    """A stage that begins by deleting what the one before has left in the shared folder, but for its own input."""
+
+    @wraps(work)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = getattr(docs, "_written_at", None)
+        forget_paths(spark, [path for path in _left.pop(spark, []) if path != own])
+        before = set(written_paths(spark))
+        out = work(spark, docs, sf_dir)
+        _left[spark] = [path for path in written_paths(spark) if path not in before]
+        return out
+
+    return begun
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the toxicity operator predicts toxic go, each judged by its own text."""
     return drop_toxic_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; ``n_chars`` counts what is left.
 
@@ -35,6 +61,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the row with the smallest id stays (then the smallest hash of the text), once.
 
@@ -68,6 +95,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(few, same(twice), "left_anti").unionByName(once).select("row.*")
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 2048."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
