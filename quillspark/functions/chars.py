@@ -7,7 +7,11 @@ from functools import lru_cache
 import regex
 
 #: Word characters (XID_Continue), letters and digits, white space, in Java's syntax.
-JVM_WORD = r"[\p{javaUnicodeIdentifierPart}&&[^\p{javaIdentifierIgnorable}]]"
+#: Compatibility forms that begin no identifier part in NFKC, and joiners and middle dots that are one.
+JVM_WORD = (
+    r"[\w[\p{javaUnicodeIdentifierPart}&&[^\p{javaIdentifierIgnorable}\x{37A}\x{2E2F}\x{309B}\x{309C}\x{FC5E}-\x{FC63}\x{FDFA}\x{FDFB}"
+    r"\x{FE70}\x{FE72}\x{FE74}\x{FE76}\x{FE78}\x{FE7A}\x{FE7C}\x{FE7E}]]\x{200C}\x{200D}\x{30FB}\x{FF65}]"
+)
 JVM_ALNUM = r"[\p{IsAlphabetic}\p{N}]"
 JVM_SPACE = r"\p{IsWhite_Space}"
 

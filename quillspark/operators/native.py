@@ -1,29 +1,32 @@
-"""Scans and annotations that Catalyst runs itself: no Python in any of them."""
+"""Scans and annotations that Catalyst runs itself: no Python in any of them, and no exchange where a row is enough.
+
+What one text says is worked out within its row (:mod:`quillspark.operators.rows`);
+here it becomes tables. ``doc_id`` need not tell documents apart where the
+function takes documents; where it takes tables of hits and ranges it must.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.catalog import Rule, load_rules
 from quillspark.functions.chars import JVM_WORD
-from quillspark.functions.containers import SMALL_WORDS
 from quillspark.functions.scan import DENSITY_FLOOR_WORDS
+from quillspark.operators import rows
+from quillspark.operators.rows import ascii_lower
+from quillspark.operators.schemas import REPORT
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CLASSES = ("spike", "background", "individual")
+CATEGORIES = ("paste_residue", "quality_patterns", "injection_patterns")
 
 
 def _text(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
-def ascii_lower(col: Column) -> Column:
-    """A-Z lower-cased, all else as it is."""
-    return F.translate(col, _UPPER, _UPPER.lower())
-
-
 def word_count(col: str | Column) -> Column:
     """Maximal runs of word characters."""
     return F.regexp_count(_text(col), F.lit(JVM_WORD + "+")).cast("long")
@@ -34,95 +37,58 @@ def byte_len(col: str | Column) -> Column:
     return F.octet_length(_text(col)).cast("long")
 
 
-#: Marks the places of a term while its spans are made; a text that has it is read as if it had the next one,
-#: which is as long, no word character and in no term either.
-_MARK, _NO_MARK = "\x01", "\x02"
+def _exploded(docs: DataFrame, id_col: str, text_col: str, of: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id`` and the fields of each struct that ``of(text)`` gives; a null text is empty."""
+    two = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t"))
+    return two.select("doc_id", F.explode(of(F.col("t"))).alias("x")).select("doc_id", "x.*")
 
 
-def term_table(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(rule_id, term, ignore_case, word, block)``: one row a term, small and fixed."""
-    rows = []
-    for r in rules:
-        ci = r.case == "insensitive"
-        for t in r.terms:
-            t = t.translate({ord(c): c.lower() for c in _UPPER}) if ci else t
-            rows.append((r.id, t, ci, r.boundary == "word", r.position == "block-start"))
-    return docs.sparkSession.createDataFrame(
-        rows, "rule_id string, term string, ignore_case boolean, word boolean, block boolean"
-    )
+# --- hits -------------------------------------------------------------------------
+
+
+def native_rules() -> list[Rule]:
+    """The rules that need no Python: their mechanisms are all here, and they have no patterns."""
+    kinds = ("word-set", "codepoint", "positional-space", "participial-opener")
+    return [r for r in load_rules() if r.mechanism in kinds and not r.patterns]
 
 
-def term_places(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, rule_id, s, e)``: byte spans of every place of every term, overlapping ones too.
+def _with_hits(docs: DataFrame, rules: Iterable[Rule], id_col: str, text_col: str, placed: bool = False) -> DataFrame:
+    """``(doc_id, t, hits)`` of rules of the mechanisms here, merged; with ``placed`` also the ``found`` containers of texts that have hits.
 
-    The term table is broadcast and joined by ``contains``; spans are made only
-    of the pairs that this leaves, by marking each place with a zero-width
-    pattern and adding up the bytes between the marks.
+    Each step is a projection of its own, as the analyzer takes a round for every level of lambdas.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.translate(_text(text_col), _MARK, _NO_MARK).alias("t"))
-    base = base.withColumn("low", ascii_lower(F.col("t")))
-    text = F.when(F.col("ignore_case"), F.col("low")).otherwise(F.col("t"))
-    pairs = base.join(F.broadcast(terms), F.contains(text, F.col("term")))
-    # the cheap look ahead comes first; the guard keeps a filter on the spans, which
-    # the optimizer makes and moves into the join, from running patterns on every pair
-    pattern = F.concat(
-        F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E"),
-        F.when(F.col("word"), F.lit(f"(?!{JVM_WORD}))(?<!{JVM_WORD})")).otherwise(F.lit(")")),
-    )
-    parts = F.split(F.regexp_replace(text, pattern, F.lit(_MARK)), _MARK, -1)
-    cut = pairs.withColumn("parts", F.when(F.contains(text, F.col("term")), parts))
-    none = F.array().cast("array<struct<s:bigint,c:bigint>>")
-    found = F.aggregate(
-        F.slice("parts", 1, F.size("parts") - 1),
-        F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("c"), none.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["s"] + F.octet_length(x)).alias("s"),
-            (acc["c"] + F.length(x)).alias("c"),
-            F.array_append(
-                acc["found"], F.struct((acc["s"] + F.octet_length(x)).alias("s"), (acc["c"] + F.length(x)).alias("c"))
-            ).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    places = cut.select("doc_id", "rule_id", "term", "t", "block", F.explode(found).alias("p"))
-    before = F.substring(F.col("t"), F.lit(1), F.col("p.c").cast("int"))
-    starts = before.rlike(r"(?:\A|[\n\r.!?])[ \t\-*\x{2022}]*\z")
-    return places.filter(~F.col("block") | starts).select(
-        "doc_id", "rule_id", F.col("p.s").alias("s"), (F.col("p.s") + F.octet_length("term")).alias("e")
-    )
+    rules = list(rules)
+    t, hits = F.col("t"), F.col("hits")
+    parts = [rows.term_hits(t, [r for r in rules if r.terms])] if any(r.terms for r in rules) else []
+    made = {"codepoint": rows.codepoint_hits, "positional-space": rows.space_hits, "participial-opener": rows.opener_hits}
+    parts += [made[r.mechanism](t, r) for r in rules if r.mechanism in made]
+    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t"))
+    raw = base.select("doc_id", "t", (F.concat(*parts) if parts else F.array().cast(rows.HIT)).alias("hits"))
+    merged = raw.select("doc_id", "t", rows.let(hits, rows.merge_contained).alias("hits"))
+    return merged.withColumn("found", F.when(F.size(hits) > 0, rows.containers(t))) if placed else merged
 
 
 def term_hits(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, rule_id, s, e)`` of the word-set rules' terms, exempt ones left out, before merging."""
-    rules = [r for r in rules or load_rules() if r.terms]
-    hits = term_places(docs, term_table(docs, rules), id_col, text_col)
-    exempt = [(r.id, p, True, False, False) for r in rules for p in r.exemptions]
-    if not exempt:
-        return hits
-    phrases = docs.sparkSession.createDataFrame(
-        exempt, "rule_id string, term string, ignore_case boolean, word boolean, block boolean"
-    )
-    covers = term_places(docs, phrases, id_col, text_col).toDF("cd", "cr", "cs", "ce")
-    inside = (
-        (F.col("doc_id") == F.col("cd")) & (F.col("rule_id") == F.col("cr"))
-        & (F.col("cs") <= F.col("s")) & (F.col("ce") >= F.col("e"))
-    )
-    return hits.join(covers, inside, "left_anti")
+    some = [r for r in rules or load_rules() if r.terms]
+    return _exploded(docs, id_col, text_col, lambda t: rows.term_hits(t, some))
+
+
+def merged_hits(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, rule_id, s, e)`` of rules of the mechanisms here (only the terms of those that have patterns too)."""
+    return _with_hits(docs, rules, id_col, text_col).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
+def annotated_hits(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`merged_hits` with the ``container`` in which each hit begins."""
+    both = _with_hits(docs, rules, id_col, text_col, placed=True)
+    at = rows.let(F.col("found"), lambda c: F.transform("hits", lambda h: h.withField("container", rows.container_at(c, h["s"]))))
+    return both.select("doc_id", F.explode(at).alias("h")).select("doc_id", "h.*")
 
 
 def codepoint_hits(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, rule_id, s, e)`` of runs of a rule's code points (a rule without orthographic exemptions)."""
-    chars = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in rule.ranges)
-    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t")).filter(
-        F.octet_length("t") > F.length("t")
-    )
-    runs = F.regexp_extract_all("t", F.lit(f"[{chars}]+|[^{chars}]+"), F.lit(0))
-    pieces = base.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(runs).alias("k", "piece"))
-    w = Window.partitionBy("row").orderBy("k")
-    ends = pieces.withColumn("e", F.sum(F.octet_length("piece")).over(w))
-    return ends.filter(F.col("piece").rlike(f"^[{chars}]")).select(
-        "doc_id", F.lit(rule.id).alias("rule_id"), (F.col("e") - F.octet_length("piece")).alias("s"), "e"
-    )
+    """``(doc_id, rule_id, s, e)`` of runs of a rule's code points, orthographic uses left out."""
+    return _exploded(docs, id_col, text_col, lambda t: rows.codepoint_hits(t, rule))
 
 
 def space_counts(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,99 +101,47 @@ def space_counts(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
 
 def merge_contained(hits: DataFrame) -> DataFrame:
-    """``(doc_id, rule_id, s, e)`` without hits that lie in another of the same document and rule."""
+    """``(doc_id, rule_id, s, e)`` without hits that lie in another of the same document and rule; of hits that are a table already."""
     w = Window.partitionBy("doc_id", "rule_id").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     reached = hits.select("doc_id", "rule_id", "s", "e").withColumn("reached", F.max("e").over(w))
     return reached.filter(F.col("reached").isNull() | (F.col("e") > F.col("reached"))).drop("reached")
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, row, k, line, s, e, size)``: each line without its end, and its byte range.
+# --- lines and containers ------------------------------------------------------------
 
-    ``row`` tells the table's rows apart, so repeated and null ids are no matter.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("t")).withColumn("row", F.monotonically_increasing_id())
-    raw = base.select("doc_id", "row", F.posexplode(F.split("t", "\n", -1)).alias("k", "raw"), F.octet_length("t").alias("size"))
-    w = Window.partitionBy("row").orderBy("k")
-    s = F.coalesce(F.sum(F.octet_length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    line = F.regexp_replace("raw", r"\r\z", "")
-    return (
-        raw.withColumn("s", s.cast("long"))
-        .filter(F.col("s") < F.col("size"))
-        .select("doc_id", "row", "k", line.alias("line"), "s", (F.col("s") + F.octet_length(line)).alias("e"), F.col("size").cast("long").alias("size"))
-    )
+
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, k, line, s, e)``: each line without its end, and its byte range."""
+    return _exploded(docs, id_col, text_col, rows.lines)
 
 
-def fenced_ranges(lines: DataFrame) -> DataFrame:
+def fenced_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, s, e)`` of fenced code: marker lines toggle, an open fence runs to the end."""
-    marks = lines.filter(F.col("line").rlike(r"^\p{IsWhite_Space}*```"))
-    w = Window.partitionBy("row").orderBy("k")
-    n = marks.withColumn("n", F.row_number().over(w)).withColumn("close", F.lead("e").over(w))
-    return n.filter("n % 2 = 1").select("doc_id", "s", F.coalesce("close", "size").alias("e"))
+    return _exploded(docs, id_col, text_col, lambda t: rows.let(rows.lines(t), lambda x: rows.fenced(x, F.octet_length(t).cast("long"))))
 
 
-def blockquote_ranges(lines: DataFrame) -> DataFrame:
+def blockquote_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, s, e)`` of lines that begin with ``>``."""
-    return lines.filter(F.col("line").rlike(r"^\p{IsWhite_Space}*>")).select("doc_id", "s", "e")
+    return _exploded(docs, id_col, text_col, lambda t: rows.blockquoted(rows.lines(t)))
 
 
-def heading_ranges(lines: DataFrame) -> DataFrame:
+def heading_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, s, e)`` of lines that begin with ``#`` or are short and in title case."""
-    body = F.regexp_replace("line", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
-    words = F.split("body", r"\p{IsWhite_Space}+")
-    leads = r"^[\p{IsUppercase}0-9]"
-    title = (
-        (F.octet_length("body") <= 60)
-        & F.col("body").rlike(leads)
-        & ~F.col("body").rlike(r"[.!?,;:]\z")
-        & F.forall(words, lambda w: w.rlike(leads) | ascii_lower(w).isin(*SMALL_WORDS))
-    )
-    named = lines.withColumn("body", body).filter("body <> ''")
-    return named.filter(~F.startswith("body", F.lit(">")) & (F.startswith("body", F.lit("#")) | title)).select("doc_id", "s", "e")
+    return _exploded(docs, id_col, text_col, lambda t: rows.headed(rows.lines(t)))
 
 
-def quote_ranges(lines: DataFrame) -> DataFrame:
-    """``(doc_id, s, e)`` of straight double quotes in pairs; a blank line ends all open ones.
-
-    Curly quotes nest by a rule that needs a fold; the kernel does them.
-    """
-    blank = F.col("line").rlike(r"^\p{IsWhite_Space}*$")
-    w = Window.partitionBy("row").orderBy("k")
-    session = lines.withColumn("session", F.sum(blank.cast("int")).over(w)).filter(F.contains("line", F.lit('"')))
-    pieces = session.select("doc_id", "row", "session", "k", "s", F.posexplode(F.split("line", '"', -1)).alias("j", "piece"))
-    wl = Window.partitionBy("row", "k").orderBy("j")
-    at = F.col("s") + F.sum(F.octet_length("piece") + 1).over(wl) - 1
-    last = F.max("j").over(Window.partitionBy("row", "k"))
-    marks = pieces.withColumn("at", at).withColumn("last", last).filter("j < last")
-    ws = Window.partitionBy("row", "session").orderBy("at")
-    pairs = marks.withColumn("n", F.row_number().over(ws)).withColumn("close", F.lead("at").over(ws))
-    return pairs.filter("n % 2 = 1 AND close IS NOT NULL").select("doc_id", F.col("at").alias("s"), (F.col("close") + 1).alias("e"))
-
-
-def merge_intervals(ranges: DataFrame) -> DataFrame:
-    """``(doc_id, s, e)``: overlapping and touching ranges of a document as one.
-
-    Here, and where hits meet ranges, ``doc_id`` must tell documents apart.
-    """
-    w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    reached = ranges.withColumn("reached", F.max("e").over(w))
-    island = F.sum(F.when(F.col("reached").isNull() | (F.col("s") > F.col("reached")), 1).otherwise(0)).over(
-        Window.partitionBy("doc_id").orderBy("s", "e")
-    )
-    return reached.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+def quote_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, s, e)`` of straight and of curly double quotes in pairs, merged; a blank line ends all open ones."""
+    return _exploded(docs, id_col, text_col, rows.quoted)
 
 
 def container_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, kind, rank, s, e)`` of every container; a lower rank takes precedence."""
-    lines = line_table(docs, id_col, text_col)
-    parts = [fenced_ranges(lines), blockquote_ranges(lines), merge_intervals(quote_ranges(lines)), heading_ranges(lines)]
-    kinds = ("fenced-code", "blockquote", "quoted", "heading")
-    tagged = [p.select("doc_id", F.lit(k).alias("kind"), F.lit(i).alias("rank"), "s", "e") for i, (p, k) in enumerate(zip(parts, kinds))]
-    return reduce(DataFrame.unionByName, tagged)
+    """``(doc_id, rank, kind, s, e)`` of every container; a lower rank takes precedence."""
+    return _exploded(docs, id_col, text_col, rows.containers)
 
 
 def annotate_containers(hits: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``hits`` with ``container``: the first kind whose range covers the hit's start.
+    """``hits`` with ``container``: the first kind whose range covers the hit's start; of tables that are there already.
 
     A range join that is an equi-join on the document, so it shuffles by
     document only and hits without any range stay.
@@ -239,6 +153,9 @@ def annotate_containers(hits: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.groupBy("hit", *cols).agg(F.coalesce(F.min_by("kind", "rank"), F.lit("prose")).alias("container")).select(*cols, "container")
 
 
+# --- reports ------------------------------------------------------------------------
+
+
 def rule_dimension(hits: DataFrame) -> DataFrame:
     """``hits`` with their rule's ``category`` and ``class``, by a broadcast join of the rule table."""
     from quillspark.catalog import rules_table
@@ -247,29 +164,85 @@ def rule_dimension(hits: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(rules), "rule_id")
 
 
-def class_densities(hits: DataFrame, words: DataFrame) -> DataFrame:
-    """Per document and class: hits, those in prose, and their rates per thousand words.
+def _findings_of(rules: Iterable[Rule], allow_terms: Iterable[str] = ()) -> Column:
+    """The columns ``t``, ``hits`` and ``found`` as findings, ordered by byte span and rule: category, class, snippet, container, topic term."""
+    text = F.col("t")
+    kinds = {r.id: {"category": r.category, "cls": r.cls} for r in rules}
+    known = rows.literal(kinds, "map<string,struct<category:string,cls:string>>")
+    allowed = sorted({a.lower() for a in allow_terms})
 
-    ``hits(doc_id, class, container, topic_term)`` of quality rules,
-    ``words(doc_id, word_count)`` of every document; each document has a row for
-    each class, zeros included. Rates are null under ``DENSITY_FLOOR_WORDS``.
-    """
-    counts = hits.groupBy("doc_id", "class").agg(
-        F.count("*").alias("hits"),
-        F.count_if((F.col("container") == "prose") & ~F.col("topic_term")).alias("residual_hits"),
-    )
-    grid = words.withColumn("class", F.explode(F.array(*[F.lit(c) for c in ("spike", "background", "individual")])))
-    full = grid.join(counts, ["doc_id", "class"], "left").fillna(0, ["hits", "residual_hits"])
+    def finding(found: Column, h: Column) -> Column:
+        whole = F.decode(F.substring(F.encode(text, "utf-8"), h["s"].cast("int") + 1, (h["e"] - h["s"]).cast("int")), "utf-8")
+        return F.struct(
+            h["s"].alias("span_start"), h["e"].alias("span_end"), h["rule_id"].alias("rule_id"),
+            F.element_at(known, h["rule_id"])["category"].alias("category"), F.element_at(known, h["rule_id"])["cls"].alias("class"),
+            rows.snippet(text, h["s"], h["e"]).alias("snippet"), (h["e"] - h["s"] > rows.SNIPPET_BYTES).alias("snippet_truncated"),
+            rows.container_at(found, h["s"]).alias("container"), (F.lower(whole).isin(allowed) if allowed else F.lit(False)).alias("topic_term"),
+        )
 
-    def rate(c: str) -> Column:
-        return F.when(F.col("word_count") >= DENSITY_FLOOR_WORDS, F.col(c) * 1000.0 / F.col("word_count"))
+    made = rows.let(F.col("found"), lambda c: F.array_sort(F.transform("hits", lambda h: finding(c, h))))
+    return F.when(F.size("hits") > 0, made).otherwise(F.array().cast(_FINDINGS))
+
+
+_FINDINGS = (
+    "array<struct<span_start:bigint,span_end:bigint,rule_id:string,category:string,class:string,snippet:string,"
+    "snippet_truncated:boolean,container:string,topic_term:boolean>>"
+)
+
+
+def findings(docs: DataFrame, rules: list[Rule] | None = None, allow_terms: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a finding of the rules that need no Python (or of those given)."""
+    some = native_rules() if rules is None else rules
+    both = _with_hits(docs, some, id_col, text_col, placed=True)
+    return both.select("doc_id", F.explode(_findings_of(some, allow_terms)).alias("f")).select("doc_id", "f.*")
 
-    return full.select(
-        "doc_id", "class", "word_count", "hits", "residual_hits",
-        rate("hits").alias("per_1k_words"), rate("residual_hits").alias("residual_per_1k_words"),
-    )
 
+def _rate(n: Column, words: Column) -> Column:
+    return F.when(words >= DENSITY_FLOOR_WORDS, n * 1000.0 / words)
 
-def top_k(runs: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
-    """The first ``k`` rows of each group in the given order."""
-    return runs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+def report_of(text: Column, found: Column) -> Column:
+    """A text's whole report from its findings: nested lists by category, counts and densities; as the kernel's."""
+
+    def listed(fs: Column, category: str) -> Column:
+        def one(f: Column) -> Column:
+            span = F.struct(f["span_start"].alias("start"), f["span_end"].alias("end"))
+            return F.struct(f["rule_id"], span.alias("span"), *(f[c] for c in ("snippet", "snippet_truncated", "container", "topic_term")))
+
+        return F.transform(F.filter(fs, lambda f: f["category"] == category), one)
+
+    def density(fs: Column, words: Column, cls: str) -> Column:
+        mine = F.filter(fs, lambda f: f["class"] == cls)
+        hits = F.size(mine).cast("long")
+        left = F.size(F.filter(mine, lambda f: (f["container"] == "prose") & ~f["topic_term"])).cast("long")
+        return F.struct(
+            hits.alias("hits"), left.alias("residual_hits"), _rate(hits, words).alias("per_1k_words"), _rate(left, words).alias("residual_per_1k_words")
+        )
+
+    def whole(fs: Column, words: Column) -> Column:
+        densities = F.struct(*(density(fs, words, c).alias(c) for c in CLASSES))
+        stats = F.struct(words.alias("word_count"), byte_len(text).alias("byte_len"), densities.alias("densities"))
+        return F.struct(*(listed(fs, c).alias(c) for c in CATEGORIES), stats.alias("stats"))
+
+    return rows.let(found, lambda fs: rows.let(word_count(text), lambda n: whole(fs, n))).cast(REPORT)
+
+
+def reports(docs: DataFrame, rules: list[Rule] | None = None, allow_terms: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, report)``: the report of the rules that need no Python (or of those given), one for every row.
+
+    A null text is an empty one; a text without findings has empty lists and its
+    counts. One narrow projection: no exchange, no join, no Python.
+    """
+    some = native_rules() if rules is None else rules
+    both = _with_hits(docs, some, id_col, text_col, placed=True).select("doc_id", "t", _findings_of(some, allow_terms).alias("fs"))
+    return both.select("doc_id", report_of(F.col("t"), F.col("fs")).alias("report"))
+
+
+def densities(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class, word_count, hits, residual_hits, per_1k_words, residual_per_1k_words)``: a row for each text and class, within the row."""
+    report = reports(docs, rules, (), id_col, text_col)
+    stats = F.col("report.stats")
+    each = F.array(*(F.struct(F.lit(c).alias("class"), stats["densities"][c].alias("d")) for c in CLASSES))
+    return report.select("doc_id", stats["word_count"].alias("word_count"), F.explode(each).alias("x")).select(
+        "doc_id", "x.class", "word_count", "x.d.hits", "x.d.residual_hits", "x.d.per_1k_words", "x.d.residual_per_1k_words"
+    )

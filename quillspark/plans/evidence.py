@@ -10,7 +10,7 @@ from quillspark.operators import evidence, native
 from quillspark.functions.containers import SMALL_WORDS
 from quillspark.plans.planted import PASSAGE, planted, planted_sql
 
-_XID = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]"
+_XID = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\x{B7}\x{387}\x{1369}-\x{1371}\x{19DA}\x{200C}\x{200D}\x{2118}\x{212E}\x{30FB}\x{FF65}]"
 
 
 def _rules(mechanism: str) -> list[Rule]:
@@ -31,6 +31,10 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _term_rules() -> list[Rule]:
+    return [r for r in load_rules() if r.terms]
+
+
 # --- queries ---
 
 
@@ -51,7 +55,7 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_set_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.merge_contained(native.term_hits(planted(spark, sf_dir)))
+    return native.merged_hits(planted(spark, sf_dir), _term_rules())
 
 
 def codepoint_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,44 +68,68 @@ def typographic_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.line_table(planted(spark, sf_dir)).select("doc_id", "k", "line", "s", "e")
+    return native.line_table(planted(spark, sf_dir))
 
 
 def fenced_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.fenced_ranges(native.line_table(planted(spark, sf_dir)))
+    return native.fenced_ranges(planted(spark, sf_dir))
 
 
 def blockquotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.blockquote_ranges(native.line_table(planted(spark, sf_dir)))
+    return native.blockquote_ranges(planted(spark, sf_dir))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.heading_ranges(native.line_table(planted(spark, sf_dir)))
+    return native.heading_ranges(planted(spark, sf_dir))
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.merge_intervals(native.quote_ranges(native.line_table(planted(spark, sf_dir))))
+    return native.quote_ranges(planted(spark, sf_dir))
 
 
 def annotated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = planted(spark, sf_dir)
-    hits = native.merge_contained(native.term_hits(docs))
-    return native.annotate_containers(hits, native.container_ranges(docs))
+    return native.annotated_hits(planted(spark, sf_dir), _term_rules())
 
 
 def term_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = planted(spark, sf_dir)
-    hits = annotated_hits(spark, sf_dir)
-    rated = native.rule_dimension(hits).filter("category = 'quality_patterns'").withColumn("topic_term", F.lit(False))
-    out = native.class_densities(rated, docs.select("doc_id", native.word_count("text").alias("word_count")))
+    out = native.densities(planted(spark, sf_dir), _term_rules())
     return out.withColumns({c: F.round(c, 6) for c in ("per_1k_words", "residual_per_1k_words")})
 
 
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = native.rule_dimension(native.merge_contained(native.term_hits(planted(spark, sf_dir))))
+    hits = native.rule_dimension(word_set_hits(spark, sf_dir))
     return hits.groupBy("category", "rule_id").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
+def invisible_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invisible code points, but for byte order marks, selectors and joiners where orthography has them."""
+    rule = next(r for r in _rules("codepoint") if r.exempt_leading_bom)
+    return native.codepoint_hits(planted(spark, sf_dir), rule)
+
+
+def native_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of every rule that needs no Python, as the kernel reports them."""
+    return native.findings(planted(spark, sf_dir))
+
+
+def native_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's whole report of those rules: its nested lists written out by category, its counts and densities."""
+    report = native.reports(planted(spark, sf_dir))
+    r = F.col("report")
+
+    def written(f):
+        span = F.concat_ws("-", f["span"]["start"].cast("string"), f["span"]["end"].cast("string"))
+        return F.concat_ws("|", f["rule_id"], span, f["container"], f["snippet"])
+
+    lists = [F.array_join(F.transform(r[c], written), "\n").alias(c) for c in native.CATEGORIES]
+    dense = []
+    for c in native.CLASSES:
+        d = r["stats"]["densities"][c]
+        dense += [d[n].alias(f"{c}_{n}") for n in ("hits", "residual_hits")]
+        dense += [F.round(d[n], 6).alias(f"{c}_{n}") for n in ("per_1k_words", "residual_per_1k_words")]
+    return report.select("doc_id", *lists, r["stats"]["word_count"].alias("word_count"), r["stats"]["byte_len"].alias("byte_len"), *dense)
+
+
 def participial_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.scan(_documents(spark, sf_dir), rules=["SD-Q002"]).select("doc_id", "s", "e")
 
@@ -169,7 +197,7 @@ QUERIES = {
         reports, catalog_rules, text_stats, word_set_hits, codepoint_hits, typographic_spaces, lines, fenced_code,
         blockquotes, headings, quotations, annotated_hits, term_densities, category_totals, participial_openers,
         kernel_word_sets, all_findings, topic_findings, reports_json, pattern_hits, self_duplication,
-        contrastive_tails, bundle_reports, bundle_passages, bundle_shingle_pairs, sql_table_function,
+        invisible_characters, native_findings, native_reports, contrastive_tails, bundle_reports, bundle_passages, bundle_shingle_pairs, sql_table_function,
     )
 }
 
@@ -274,13 +302,20 @@ sessions AS (
   SELECT *, sum(CASE WHEN body = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS session FROM bodies
 ),
 marks AS (
-  SELECT doc_id, session, s + strlen(left(line, i - 1)) AS pos FROM (
-    SELECT doc_id, session, s, line, unnest(list_filter(range(1, length(line) + 1), lambda i: line[i:i] = '"')) AS i FROM sessions WHERE contains(line, '"'))
+  SELECT doc_id, session, s + strlen(left(line, i - 1)) AS pos, line[i:i] AS mark FROM (
+    SELECT doc_id, session, s, line, unnest(list_filter(range(1, length(line) + 1), lambda i: line[i:i] IN ('"', '“', '”'))) AS i FROM sessions WHERE regexp_matches(line, '["“”]'))
+),
+curly AS (
+  SELECT doc_id, min(pos) FILTER (WHERE mark = '“') AS s, max(pos) FILTER (WHERE mark = '”') + 3 AS e FROM (
+    SELECT *, coalesce(sum(CASE WHEN mark = '”' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn
+    FROM marks WHERE mark <> '"')
+  GROUP BY doc_id, session, turn
 ),
 straight AS (
   SELECT doc_id, pos AS s, close + 1 AS e FROM (
-    SELECT *, row_number() OVER w AS n, lead(pos) OVER w AS close FROM marks WINDOW w AS (PARTITION BY doc_id, session ORDER BY pos))
+    SELECT *, row_number() OVER w AS n, lead(pos) OVER w AS close FROM marks WHERE mark = '"' WINDOW w AS (PARTITION BY doc_id, session ORDER BY pos))
   WHERE n % 2 = 1 AND close IS NOT NULL
+  UNION ALL SELECT doc_id, s, e FROM curly WHERE s IS NOT NULL AND e IS NOT NULL
 ),
 reach AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM straight),
 islands AS (SELECT *, sum(CASE WHEN reached IS NULL OR s > reached THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM reach),
@@ -314,29 +349,123 @@ full_grid AS (SELECT doc_id, class, word_count, coalesce(hits, 0) AS hits, coale
 SELECT *, {rate.format('hits')} AS per_1k_words, {rate.format('residual_hits')} AS residual_per_1k_words FROM full_grid"""
 
 
-def _openers_sql() -> str:
+def _openers_ctes(table: str) -> str:
+    """CTEs that end in ``openers(doc_id, s, e)``."""
     rule = _rules("participial-opener")[0]
     stop = ", ".join(_q(w) for w in sorted(rule.stoplist))
     start = r"[ \t\-*•]*\z"
     return rf"""
-WITH marked AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([A-Z][a-z]*ing [^,.!?;:\n]+,)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM documents
+opener_marked AS (
+  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)), '([A-Z][a-z]*ing [^,.!?;:\n]+,)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM {table}
 ),
-pieces AS (SELECT doc_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS k FROM marked),
-placed AS (
+opener_pieces AS (SELECT doc_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS k FROM opener_marked),
+opener_placed AS (
   SELECT doc_id, k, piece, replace(lag(piece) OVER w, chr(2), '') AS before,
     sum(strlen(replace(piece, chr(2), ''))) OVER w - strlen(replace(piece, chr(2), '')) AS s
-  FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  FROM opener_pieces WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ),
-found AS (
-  SELECT *, string_split(piece, chr(2))[1] AS span, regexp_extract(piece, '^[A-Z][a-z]*ing') AS word FROM placed WHERE k > 0
-)
-SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s + strlen(span) AS BIGINT) AS e FROM found
+opener_found AS (
+  SELECT *, string_split(piece, chr(2))[1] AS span, regexp_extract(piece, '^[A-Z][a-z]*ing') AS word FROM opener_placed WHERE k > 0
+),
+openers AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s + strlen(span) AS BIGINT) AS e FROM opener_found
 WHERE length(word) BETWEEN 5 AND 30 AND strlen(span) - length(word) - 2 < {rule.max_clause} AND lower(word) NOT IN ({stop})
-  AND ((k = 1 AND regexp_matches(before, '(?:\A|[\n\r.!?]){start}')) OR regexp_matches(before, '[\n\r.!?]{start}'))
+  AND ((k = 1 AND regexp_matches(before, '(?:\A|[\n\r.!?]){start}')) OR regexp_matches(before, '[\n\r.!?]{start}')))
 """
 
 
+def _characters_sql(rule: Rule) -> str:
+    """CTEs that end in ``unseen(doc_id, s, e)``: characters one a row, orthographic uses left out, runs as islands."""
+    from quillspark.functions.scan import JOINING, PICTOGRAPHS
+
+    def within(c: str, ranges) -> str:
+        return "(" + " OR ".join(f"{c} BETWEEN {lo} AND {hi}" for lo, hi in ranges) + ")"
+
+    # the character before, one selector aside
+    base = "CASE WHEN b1 IN (65038, 65039) THEN b2 ELSE b1 END"
+    joined = " OR ".join(f"({within(base, kind)} AND {within('a1', kind)})" for kind in (JOINING, PICTOGRAPHS))
+    some = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in rule.ranges)
+    return f"""
+chars AS (
+  SELECT doc_id, i, ch, unicode(ch) AS c, lag(unicode(ch)) OVER w AS b1, lag(unicode(ch), 2) OVER w AS b2, lead(unicode(ch)) OVER w AS a1,
+    sum(strlen(ch)) OVER w AS e
+  FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS i FROM planted WHERE regexp_matches(text, '[{some}]'))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+odd AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM chars
+  WHERE {within('c', rule.ranges)} AND NOT (c = 65279 AND i = 0)
+    AND NOT (c IN (65038, 65039) AND b1 IS NOT NULL AND NOT {within('b1', rule.ranges)})
+    AND NOT coalesce(c IN (8204, 8205) AND b1 IS NOT NULL AND a1 IS NOT NULL AND ({joined}), FALSE)
+),
+unseen AS (SELECT doc_id, CAST(min(e - strlen(ch)) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM odd GROUP BY doc_id, island)"""
+
+
+def _native_findings_sql() -> str:
+    """CTEs that end in ``findings``, of every rule that needs no Python."""
+    rules = native.native_rules()
+    one = {r.id: r for r in rules}
+    plain = [r for r in rules if r.terms]
+    points = [r for r in rules if r.mechanism == "codepoint"]
+    unseen, cited = next(r for r in points if r.exempt_leading_bom), next(r for r in points if not r.exempt_leading_bom)
+    space = next(r for r in rules if r.mechanism == "positional-space")
+    opener = next(r for r in rules if r.mechanism == "participial-opener")
+    kinds = ", ".join(f"({_q(r.id)}, {_q(r.category)}, {_q(r.cls) if r.cls else 'NULL'})" for r in one.values())
+    spaces = ", ".join(_q(chr(c)) for c in space.codepoints)
+    return f"""WITH RECURSIVE {planted_sql()}, {_hits_sql(plain)}, {_containers_sql()}, {_openers_ctes('planted')}, {_characters_sql(unseen)},
+cited AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM ({_runs_sql(cited)})),
+gaps AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, text FROM (
+    SELECT doc_id, text, unnest(list_filter(range(2, length(text)), lambda i: text[i:i] IN ({spaces})
+      AND regexp_matches(text[i - 1:i - 1], '[\\p{{L}}\\p{{Nl}}]') AND regexp_matches(text[i + 1:i + 1], '[\\p{{L}}\\p{{Nl}}]'))) AS i FROM planted)
+),
+every AS (
+  SELECT doc_id, rule_id, s, e FROM hits UNION ALL SELECT doc_id, {_q(opener.id)}, s, e FROM openers UNION ALL SELECT doc_id, {_q(unseen.id)}, s, e FROM unseen
+  UNION ALL SELECT doc_id, {_q(cited.id)}, s, e FROM cited
+  UNION ALL SELECT doc_id, {_q(space.id)}, strlen(left(text, i - 1)), strlen(left(text, i)) FROM gaps WHERE n >= {space.min_count}
+),
+placed_hits AS (
+  SELECT h.doc_id, h.rule_id, h.s, h.e, coalesce(arg_min(kind, rank), 'prose') AS container
+  FROM every h LEFT JOIN ranges r ON r.doc_id = h.doc_id AND r.s <= h.s AND h.s < r.e GROUP BY h.doc_id, h.rule_id, h.s, h.e
+),
+kinds(rule_id, category, class) AS (VALUES {kinds}),
+whole AS (SELECT h.*, decode(CAST(array_slice(encode(text), h.s + 1, h.e) AS BLOB)) AS said FROM placed_hits h JOIN planted USING (doc_id)),
+findings AS (
+  SELECT doc_id, CAST(s AS BIGINT) AS span_start, CAST(e AS BIGINT) AS span_end, rule_id, category, class,
+    CASE WHEN strlen(said) <= 200 THEN said ELSE left(said, list_max(list_filter(range(0, 201), lambda n: strlen(left(said, n)) <= 200))) END AS snippet,
+    e - s > 200 AS snippet_truncated, container, FALSE AS topic_term
+  FROM whole JOIN kinds USING (rule_id)
+)"""
+
+
+def _runs_sql(rule: Rule) -> str:
+    listed = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in rule.ranges)
+    found = f"regexp_extract_all(text, '[{listed}]+|[^{listed}]+')"
+    return f"""SELECT doc_id, e - strlen(piece) AS s, e FROM (
+  SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
+    SELECT doc_id, unnest({found}) AS piece, unnest(range(1, len({found}) + 1)) AS k FROM planted)) WHERE regexp_matches(piece, '^[{listed}]')"""
+
+
+def _native_reports_sql() -> str:
+    lists = ", ".join(
+        f"coalesce(string_agg(rule_id || '|' || span_start || '-' || span_end || '|' || container || '|' || snippet, chr(10) ORDER BY span_start, span_end, rule_id)"
+        f" FILTER (WHERE category = '{c}'), '') AS {c}"
+        for c in native.CATEGORIES
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE class = '{c}') AS {c}_hits, count(*) FILTER (WHERE class = '{c}' AND container = 'prose') AS {c}_residual_hits"
+        for c in native.CLASSES
+    )
+    rates = ", ".join(
+        f"CASE WHEN word_count >= 100 THEN round({c}_{n}hits * 1000.0::DOUBLE / word_count, 6) END AS {c}_{n}per_1k_words"
+        for c in native.CLASSES for n in ("", "residual_")
+    )
+    return f"""{_native_findings_sql()},
+words AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '{_XID}+')) AS BIGINT) AS word_count, CAST(strlen(text) AS BIGINT) AS byte_len FROM planted),
+summed AS (SELECT w.doc_id, any_value(word_count) AS word_count, any_value(byte_len) AS byte_len, {lists}, {counts}
+  FROM words w LEFT JOIN findings f ON f.doc_id = w.doc_id GROUP BY w.doc_id)
+SELECT *, {rates} FROM summed"""
+
+
 def _pairs_sql() -> str:
     return """
 WITH words AS (
@@ -358,6 +487,7 @@ def oracles() -> dict[str, str]:
     words = [r for r in load_rules() if r.terms]
     plain = [r for r in words if not r.patterns]
     cp = next(r for r in _rules("codepoint") if not r.exempt_leading_bom)
+    seen = next(r for r in _rules("codepoint") if r.exempt_leading_bom)
     space = _rules("positional-space")[0]
     cps = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in cp.ranges)
     spaces = "".join(f"\\x{{{c:X}}}" for c in space.codepoints)
@@ -386,6 +516,9 @@ SELECT doc_id, {_q(space.id)} AS rule_id, CAST(n AS BIGINT) AS n FROM counted WH
         "term_densities": _densities_sql(words),
         "category_totals": f"{head}, {_hits_sql(words)}, cats(rule_id, category) AS (VALUES {cats}) "
         "SELECT category, rule_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM hits JOIN cats USING (rule_id) GROUP BY category, rule_id",
-        "participial_openers": _openers_sql(),
+        "participial_openers": f"WITH {_openers_ctes('documents')} SELECT * FROM openers",
+        "invisible_characters": f"{head}, {_characters_sql(seen)} SELECT doc_id, {_q(seen.id)} AS rule_id, s, e FROM unseen",
+        "native_findings": f"{_native_findings_sql()} SELECT * FROM findings",
+        "native_reports": _native_reports_sql(),
         "bundle_shingle_pairs": _pairs_sql(),
     }

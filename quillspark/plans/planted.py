@@ -34,8 +34,14 @@ LINES = [
     "In this turn all three figures confirmed. Flagged for review, and whether fast, slow, or in between.",
     "we walked all day along the old north road to town and then we walked all day along the old north road to town again",
     "control\x01marks and delve\x01 tapestry",
+    "sun \u2600\ufe0f and a\ufe0f b, \U0001f600\u200d\U0001f600 and \U0001f600\ufe0f\u200d\U0001f600 and \u0643\u200d\u0643 but a\u200db, fi\u200b\u2060x\ufeff",
+    "\u201cLeverage the \u201ctapestry\u201d here\u201d, he said, and \u201cfoster it",
+    "\u201cIt is robust \"and seamless\u201d at once\"\n \t\nand \u201cdelve\u201d\u201cdelved\u201d",
 ]
 
+#: A byte order mark, with which every so many documents begin.
+MARK, MARKED = "\ufeff", 11
+
 #: What the turns of some conversations have in common.
 PASSAGE = "the committee will meet again on the first monday of next month to look at every open question"
 
@@ -44,7 +50,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` of the documents, each with its planted line at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.pmod("doc_id", F.lit(len(LINES))) + 1).cast("int"))
-    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+    mark = F.when(F.pmod("doc_id", F.lit(MARKED)) == 0, MARK).otherwise("")
+    return docs.select("doc_id", F.concat(mark, F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
 
 
 def planted_sql() -> str:
@@ -56,6 +63,6 @@ def planted_sql() -> str:
 
     values = ", ".join(f"({k}, {quoted(x)})" for k, x in enumerate(LINES))
     return (
-        "planted AS (SELECT doc_id, coalesce(text, '') || chr(10) || line AS text FROM documents "
+        f"planted AS (SELECT doc_id, CASE WHEN doc_id % {MARKED} = 0 THEN chr({ord(MARK)}) ELSE '' END || coalesce(text, '') || chr(10) || line AS text FROM documents "
         f"JOIN (VALUES {values}) AS lines(k, line) ON k = doc_id % {len(LINES)})"
     )

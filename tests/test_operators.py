@@ -50,6 +50,7 @@ def test_native_terms_equal_kernel(lines):
     rules = [r for r in load_rules() if r.terms and not r.patterns]
     ids = [r.id for r in rules]
     a = native.merge_contained(native.term_hits(lines, rules))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, native.merged_hits(lines, rules).collect()))
     b = evidence.scan(lines).filter(F.col("rule_id").isin(ids))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
@@ -179,11 +180,12 @@ def test_rows_that_share_an_id_keep_their_lines(spark):
     rows = [(1, "a b\nc"), (1, "```\nd\n```"), (None, 'x "y" z'), (None, "# h")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lines = native.line_table(df)
+    assert lines.columns == ["doc_id", "k", "line", "s", "e"]
     assert sorted((r.line, r.s, r.e) for r in lines.collect()) == sorted(
         [("a b", 0, 3), ("c", 4, 5), ("```", 0, 3), ("d", 4, 5), ("```", 6, 9), ('x "y" z', 0, 7), ("# h", 0, 3)]
     )
-    assert [tuple(r) for r in native.fenced_ranges(lines).collect()] == [(1, 0, 9)]
-    assert [tuple(r) for r in native.quote_ranges(lines).collect()] == [(None, 2, 5)]
+    assert [tuple(r) for r in native.fenced_ranges(df).collect()] == [(1, 0, 9)]
+    assert [tuple(r) for r in native.quote_ranges(df).collect()] == [(None, 2, 5)]
 
 
 def test_control_characters_hide_nothing(spark):
