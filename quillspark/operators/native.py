@@ -167,8 +167,8 @@ def rule_dimension(hits: DataFrame) -> DataFrame:
 def _findings_of(rules: Iterable[Rule], allow_terms: Iterable[str] = ()) -> Column:
     """The columns ``t``, ``hits`` and ``found`` as findings, ordered by byte span and rule: category, class, snippet, container, topic term."""
     text = F.col("t")
-    kinds = {r.id: {"category": r.category, "cls": r.cls} for r in rules}
-    known = rows.literal(kinds, "map<string,struct<category:string,cls:string>>")
+    kind = lambda r: F.struct(F.lit(r.category).alias("category"), F.lit(r.cls).cast("string").alias("cls"))
+    known = F.create_map(*(x for r in rules for x in (F.lit(r.id), kind(r))))
     allowed = sorted({a.lower() for a in allow_terms})
 
     def finding(found: Column, h: Column) -> Column:

@@ -7,7 +7,6 @@ hits ``array<struct<rule_id,s,e>>``.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterable
 
@@ -203,86 +202,101 @@ def container_at(found: Column, place: Column) -> Column:
 
 # --- terms ------------------------------------------------------------------------
 
-_TERM = "struct<rule_id:string,term:string,ci:boolean,word:boolean,block:boolean>"
+#: Words of most texts, by which a term is looked up only if it has no other.
+COMMON = ("the", "and", "was", "that", "are", "for", "this", "with", "not", "of", "to", "in", "is", "it", "as", "be", "by", "an", "on", "or", "a", "s")
+STEM = 4  #: letters at a word's begin or end that a term is known by, where the word may be longer
 
 
-def _whole_tokens(term: str, word: bool) -> list[str]:
-    """The runs of word characters of a term that are whole words wherever the term stands."""
-    runs = [m for m in re.finditer(r"\w+", term)]
-    return [m.group() for m in runs if word or (m.start() > 0 and m.end() < len(term))]
+class _Terms:
+    """Terms, and by what words of a text each is known: ``(rule, term, ignore case, word, block)``.
 
+    Wherever a term stands, its runs of word characters that its ends do not cut
+    are words of the text; its last run begins a word and its first one ends
+    one. By the longest of them it is looked up; a term of one run that may lie
+    within a word is looked for in every text.
+    """
 
-def _term_rows(rules: Iterable[Rule]) -> list[dict]:
-    rows = []
-    for r in rules:
-        ci = r.case == "insensitive"
-        for t in r.terms:
-            t = t.translate({ord(c): c.lower() for c in UPPER}) if ci else t
-            rows.append({"rule_id": r.id, "term": t, "ci": ci, "word": r.boundary == "word", "block": r.position == "block-start"})
-    return rows
+    WHOLE, BEGIN, END = range(3)
+
+    def __init__(self, rules: Iterable[Rule]):
+        self.rows: list[tuple[str, str, bool, bool, bool]] = []
+        self.by: tuple[dict[str, list[int]], ...] = ({}, {}, {})
+        self.always: list[int] = []
+        for r in rules:
+            ci = r.case == "insensitive"
+            for t in r.terms:
+                t = t.translate({ord(c): c.lower() for c in UPPER}) if ci else t
+                self._add((r.id, t, ci, r.boundary == "word", r.position == "block-start"))
+            for t in r.exemptions:  # what exempts a rule goes by its name with a mark
+                self._add(("~" + r.id, t, True, False, False))
+
+    def _add(self, row: tuple) -> None:
+        _, term, _, word, _ = row
+        low = term.translate({ord(c): c.lower() for c in UPPER})
+        runs = [(m.group(), word or m.start() > 0, word or m.end() < len(low)) for m in re.finditer(r"\w+", low)]
+        ways = []
+        for run, begun, ended in runs:
+            if begun and ended:
+                ways.append((0 if run in COMMON else len(run), self.WHOLE, run))
+            elif begun and len(run) >= STEM:
+                ways.append((len(run), self.BEGIN, run[:STEM]))
+            elif ended and len(run) >= STEM:
+                ways.append((len(run), self.END, run[-STEM:]))
+        if ways:
+            _, kind, key = max(ways)
+            self.by[kind].setdefault(key, []).append(len(self.rows))
+        else:
+            self.always.append(len(self.rows))
+        self.rows.append(row)
 
+    def met(self, low: Column) -> Column:
+        """The numbers of the terms that share with a lower-cased text what they are known by."""
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(JVM_WORD + "+"), F.lit(0)))
 
-def literal(value, kind: str) -> Column:
-    """A fixed value, which the optimizer folds."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+        def known(kind: int, these: Column) -> Column:
+            keys = sorted(self.by[kind])
+            if not keys:
+                return F.array().cast("array<int>")
+            names, lists = F.lit(keys), _ints([self.by[kind][k] for k in keys])
+            return F.flatten(F.transform(F.array_intersect(these, names), lambda w: F.get(lists, F.array_position(names, w).cast("int") - 1)))
 
+        def all_of(words: Column) -> Column:
+            first = F.transform(words, lambda w: F.substring(w, 1, STEM))
+            last = F.transform(words, lambda w: F.right(w, F.lit(STEM)))
+            return F.concat(_ints([self.always])[0], known(self.WHOLE, words), known(self.BEGIN, first), known(self.END, last))
 
-def spans(text: Column, low: Column, t: Column) -> Column:
-    """Ranges of every place of a term ``t`` of ``_TERM``, overlapping ones too."""
-    hay = F.when(t["ci"], low).otherwise(text)
-    edge = F.when(t["word"], F.lit(f"(?!{JVM_WORD}))(?<!{JVM_WORD})")).otherwise(F.lit(")"))
-    pattern = F.concat(F.lit(r"(?=\Q"), t["term"], F.lit(r"\E"), edge)
-    starts = r"(?:\A|[\n\r.!?])[ \t\-*\x{2022}]*+\z"
-    at = marked_places(hay, pattern, lambda p, i: ~t["block"] | F.array_join(F.slice(p, 1, i + 1), "").rlike(starts))
-    return F.transform(at, lambda s: _range(s, s + F.octet_length(t["term"])))
+        return let(words, all_of)
+
+
+def _ints(lists: list[list[int]]) -> Column:
+    return F.expr("array(" + ", ".join("cast(array(" + ", ".join(map(str, x)) + ") as array<int>)" for x in lists) + ")")
 
 
 def term_hits(text: Column, rules: Iterable[Rule]) -> Column:
-    """The hits of the rules' terms, exempt ones left out, before merging.
+    """The hits of the rules' terms, exempt ones left out, before merging."""
+    terms = _Terms(rules)
+    rule_ids, names, ci, word, block = (F.lit([r[k] for r in terms.rows]) for k in range(5))
+    exempt = any(r[0].startswith("~") for r in terms.rows)
+    starts = r"(?:\A|[\n\r.!?])[ \t\-*\x{2022}]*+\z"
 
-    A text's distinct words are met with the words that terms have whole, so only
-    terms that share a word with the text are looked for; terms without such a
-    word are few and looked for in each text.
-    """
-    rules = list(rules)
-    by: dict[bool, dict[str, list[dict]]] = {True: {}, False: {}}
-    edges = []
-    for row in _term_rows(rules):
-        whole = _whole_tokens(row["term"], row["word"])
-        if whole:
-            by[row["ci"]].setdefault(max(whole, key=len), []).append(row)
-        else:
-            edges.append(row)
-    exempt = [{"rule_id": r.id, "term": p, "ci": True, "word": False, "block": False} for r in rules for p in r.exemptions]
-
-    def met(words: Column, keyed: dict[str, list[dict]]) -> Column:
-        terms = literal(keyed, f"map<string,array<{_TERM}>>")
-        return F.flatten(F.transform(F.array_intersect(words, literal(sorted(keyed), "array<string>")), lambda w: F.element_at(terms, w)))
-
-    def wanted(words: Column) -> Column:
-        low = F.array_distinct(F.transform(words, ascii_lower))
-        return F.concat(literal(edges, f"array<{_TERM}>"), met(low, by[True]), met(words, by[False]))
-
-    def placed(clean: Column, low: Column, terms: Column) -> Column:
-        here = F.filter(terms, lambda t: F.contains(F.when(t["ci"], low).otherwise(clean), t["term"]))
-        each = F.transform(
-            here,
-            lambda t: F.transform(spans(clean, low, t), lambda r: F.struct(t["rule_id"].alias("rule_id"), r["s"].alias("s"), r["e"].alias("e"))),
-        )
-        return F.flatten(each)
+    def placed(hay: Column, k: Column) -> Column:
+        edge = F.when(F.get(word, k), F.lit(f"(?!{JVM_WORD}))(?<!{JVM_WORD})")).otherwise(F.lit(")"))
+        pattern = F.concat(F.lit(r"(?=\Q"), F.get(names, k), F.lit(r"\E"), edge)
+        at = marked_places(hay, pattern, lambda p, i: ~F.get(block, k) | F.array_join(F.slice(p, 1, i + 1), "").rlike(starts))
+        return F.transform(at, lambda s: F.struct(F.get(rule_ids, k).alias("rule_id"), s.alias("s"), (s + F.octet_length(F.get(names, k))).alias("e")))
 
-    def kept(clean: Column, low: Column, hits: Column) -> Column:
-        ids = F.transform(hits, lambda h: h["rule_id"])
-        covers = placed(clean, low, F.filter(literal(exempt, f"array<{_TERM}>"), lambda t: F.array_contains(ids, t["rule_id"])))
-        inside = lambda h, c: (c["rule_id"] == h["rule_id"]) & (c["s"] <= h["s"]) & (c["e"] >= h["e"])
-        return let(covers, lambda cs: F.filter(hits, lambda h: ~F.exists(cs, lambda c: inside(h, c))))
+    def of(clean: Column, low: Column) -> Column:
+        hay = lambda k: F.when(F.get(ci, k), low).otherwise(clean)
+        here = F.filter(terms.met(low), lambda k: F.contains(hay(k), F.get(names, k)))
+        return F.flatten(F.transform(here, lambda k: placed(hay(k), k)))
 
-    def all_of(clean: Column, low: Column) -> Column:
-        words = F.array_distinct(F.regexp_extract_all(clean, F.lit(JVM_WORD + "+"), F.lit(0)))
-        found = placed(clean, low, let(words, wanted))
-        return let(found, lambda h: F.when(F.size(h) > 0, kept(clean, low, h)).otherwise(h)) if exempt else found
+    def kept(hits: Column) -> Column:
+        covers = F.filter(hits, lambda h: F.startswith(h["rule_id"], F.lit("~")))
+        inside = lambda h, c: (F.substring(c["rule_id"], 2, 64) == h["rule_id"]) & (c["s"] <= h["s"]) & (c["e"] >= h["e"])
+        return let(covers, lambda cs: F.filter(hits, lambda h: ~F.startswith(h["rule_id"], F.lit("~")) & ~F.exists(cs, lambda c: inside(h, c))))
 
-    return let(F.translate(text, MARK, PAST), lambda clean: let(ascii_lower(clean), lambda low: all_of(clean, low)))
+    found = let(F.translate(text, MARK + PAST, NEITHER * 2), lambda clean: let(ascii_lower(clean), lambda low: of(clean, low)))
+    return let(found, kept) if exempt else found
 
 
 # --- code points, spaces, openers ---------------------------------------------------
