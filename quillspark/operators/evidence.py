@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import scan as kernel
-from quillspark.operators.schemas import FLAT, HIT, REPORT, SHARED
+from quillspark.operators.repeats import capped_texts, repeat_rule, self_repeats, shared_passages
+from quillspark.operators.schemas import FLAT, HIT, REPORT
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -73,6 +74,17 @@ def findings(
     return made.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
 
 
+def duplication_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`findings` of the rule of verbatim repeats: by relations, and by the kernel for the texts with a capped walk."""
+    rule = repeat_rule()
+    two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = self_repeats(two).filter("not capped").select(
+        "doc_id", F.lit(rule.category).alias("category"), F.lit(rule.id).alias("rule_id"), F.lit(rule.cls).alias("class"),
+        F.col("s").alias("span_start"), F.col("e").alias("span_end"), "snippet", "snippet_truncated", "container", F.lit(False).alias("topic_term"),
+    )
+    return found.unionByName(findings(capped_texts(two), rules=[rule.id]))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Iterable[str] | None = None) -> DataFrame:
     """``(doc_id, rule_id, s, e)``: the raw hits after merging, byte spans, without annotation; of ``rules`` alone, if given."""
     some = None if rules is None else tuple(sorted(rules))
@@ -113,37 +125,23 @@ def analyze_bundle(
     text_col: str = "text",
     allow_terms: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables: each file's report, and each bundle's shared passages.
-
-    Files are rows, so their reports need no shuffle. Only files that share a
-    shingle with another file of their bundle can have a shared passage, so the
-    rest are left out by an equality join of shingle hashes before a bundle's
-    files come together. ``order_col`` tells files apart; paths may repeat. A
-    bundle is one result and its sharing files are read together, as
-    :func:`quillspark.functions.scan.shared_passages` must: its order of scan
-    decides ties.
+    """Two tables: each file's report, and each bundle's shared passages with their entry numbers.
+
+    Files are rows, so their reports need no shuffle; passages are found by
+    relations over word shingles (:mod:`quillspark.operators.repeats`), a bundle
+    in many tasks. ``order_col`` tells the files of a bundle apart and orders
+    them, paths may repeat: integers from 0 to ``2**31 - 1`` are taken as they
+    are, all else is numbered. A null bundle shares nothing.
     """
     reports = analyze(files, text_col, allow_terms)
+    number = F.col(order_col)
+    if not isinstance(files.schema[order_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        number = F.row_number().over(Window.partitionBy(bundle_col).orderBy(order_col)) - 1
     narrow = files.select(
-        F.col(bundle_col).alias("bundle_id"), F.col(order_col).alias("file_idx"), F.col(path_col).cast("string").alias("path"),
+        F.col(bundle_col).alias("g"), number.cast("long").alias("f"), F.col(path_col).cast("string").alias("path"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    keep = sharing_files(narrow)
-    together = narrow.join(keep, ["bundle_id", "file_idx"], "left_semi")
-    bundle_type = narrow.schema["bundle_id"].dataType
-    out = T.StructType([T.StructField("bundle_id", bundle_type), *SHARED.fields])
-    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
-
-    def shared(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["file_idx"])
-        got = kernel.shared_passages([(r["path"] or "", r["text"]) for r in rows])
-        for g in got:
-            g["bundle_id"] = rows[0]["bundle_id"]
-            for o in g["occurrences"]:
-                o["span"] = {"start": o["span"][0], "end": o["span"][1]}
-        return pa.Table.from_pylist(got, schema=arrow)
-
-    return reports, together.groupBy("bundle_id").applyInArrow(shared, out)
+    return reports, shared_passages(narrow.filter("g is not null")).withColumnRenamed("g", "bundle_id")
 
 
 def shingles(files: DataFrame, k: int) -> DataFrame:
@@ -160,14 +158,6 @@ def shingles(files: DataFrame, k: int) -> DataFrame:
     return base.select("bundle_id", "file_idx", F.explode(hashes).alias("h"))
 
 
-def sharing_files(files: DataFrame, k: int | None = None) -> DataFrame:
-    """``(bundle_id, file_idx)`` of the files that share a shingle with another of their bundle."""
-    k = k or next(r.shingle_words for _, r in kernel.scanner().repeats)
-    hashed = shingles(files, k)
-    common = hashed.groupBy("bundle_id", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return hashed.join(common, ["bundle_id", "h"], "left_semi").select("bundle_id", "file_idx").distinct()
-
-
 def shared_shingle_pairs(files: DataFrame, k: int = 8) -> DataFrame:
     """``(bundle_id, a, b, n)``: files of a bundle with ``n`` shingles in common, ``a < b``; the relational form."""
     h = shingles(files, k)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspark.catalog import Rule, load_rules
 from quillspark.functions.chars import JVM_ALNUM
-from quillspark.functions.duplication import TRIED
+from quillspark.functions.duplication import TRIED, find_runs, tokenize
 from quillspark.operators import rows
 from quillspark.operators.components import components
 
@@ -219,16 +219,75 @@ def capped_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.join(mine, _group(text) == F.col("_capped"), "left_semi")
 
 
-def shared_runs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(g, early, late, n)`` of what the files of each group share, the capped groups, and ``(g, node, component)`` of files that share a shingle.
+def _walked(files: DataFrame, k: int, floor: int) -> DataFrame:
+    """``(g, early, late, n)`` of files ``(g, component, f, text)`` by the kernel's walk, a component at a time."""
+    kind = files.schema["g"].dataType.simpleString()
 
-    ``files(g, f, text)``, ``f`` the file's number. A component of files is one
-    group of islands: files without a common shingle never meet.
+    def walk(table):
+        table = table.sort_by("f")
+        numbers, texts = table.column("f").to_pylist(), table.column("text").to_pylist()
+        tokens, places = [], []
+        for f, text in zip(numbers, texts):
+            mine = tokenize(text, f)
+            tokens += mine
+            places += range(f << FILE_BITS, (f << FILE_BITS) + len(mine))
+        runs = find_runs(tokens, k, floor, across=True)
+        columns = ([places[r.earlier] for r in runs], [places[r.later] for r in runs], [r.length for r in runs])
+        g = table.column("g").slice(0, 1).combine_chunks().take(pa.array([0] * len(runs), pa.int64()))
+        return pa.table([g, *(pa.array(c, pa.int64()) for c in columns)], names=["g", "early", "late", "n"])
+
+    return files.groupBy("g", "component").applyInArrow(walk, f"g {kind}, {_FOUND}")
+
+
+def shared_runs(files: DataFrame) -> DataFrame:
+    """``(g, early, late, n)`` of what files of one group share; ``files(g, f, text)``, ``f`` the file's number from 0.
+
+    A component of files is one group of islands: files without a common shingle
+    never meet. The files of groups with a capped walk come together by
+    component, the others not at all.
     """
     rule = repeat_rule()
-    found, capped, edges = islands(files, rule.shingle_words, rule.min_run_words, True)
-    of = components(edges)
-    mine = found.join(of.select("g", F.col("node").alias("_f"), "component"), (_file("early") == F.col("_f")) & (found["g"] == of["g"])).select(
-        found["g"], "component", "early", "late", "n", "reach"
+    k, floor = rule.shingle_words, rule.min_run_words
+    found, capped, edges = islands(files, k, floor, True)
+    of = components(edges).select(F.col("g").alias("_g"), F.col("node").alias("_f"), "component")
+    mine = found.join(of, (F.col("g") == F.col("_g")) & (_file("early") == F.col("_f"))).select("g", "component", "early", "late", "n", "reach")
+    runs = _reported(mine, ["g", "component"], k, True).drop("component")
+    walked = files.join(capped, "g", "left_semi").join(of, (F.col("g") == F.col("_g")) & (F.col("f") == F.col("_f"))).drop("_g", "_f")
+    return runs.unionByName(_walked(walked, k, floor))
+
+
+def shared_passages(files: DataFrame) -> DataFrame:
+    """``(g, entry, snippet, snippet_truncated, occurrences)``: the longest passages that files of a group share.
+
+    ``files(g, f, path, text)``. An entry is a copy and its later ones, in
+    order of reading; of each group the rule's number of longest entries is kept
+    and they are numbered by their first copy's path and place.
+    """
+    most = repeat_rule().max_reports
+    runs = shared_runs(files.select("g", "f", "text"))
+    entries = runs.groupBy("g", "early", "n").agg(F.array_sort(F.collect_list("late")).alias("lates"))
+    w = Window.partitionBy("g").orderBy(F.desc("n"), "early")
+    entries = entries.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
+    each = entries.select("g", "early", "n", F.posexplode(F.concat(F.array("early"), F.col("lates"))).alias("o", "c"))
+    at = F.struct("early", "n", "o", F.col("c").bitwiseAND((1 << FILE_BITS) - 1).alias("first"))
+    of_file = each.groupBy("g", _file("c").alias("f")).agg(F.collect_list(at).alias("xs"))
+    both = files.join(of_file, ["g", "f"])
+    both = both.select("g", "path", "text", "xs", word_spans(F.col("text"), F.col("xs")).alias("ranges")).withColumn("found", rows.containers(F.col("text")))
+    placed = both.select("g", "path", "text", "found", F.explode(F.arrays_zip("xs", "ranges")).alias("x"))
+    s, e = F.col("x.ranges.s"), F.col("x.ranges.e")
+    first = F.col("x.xs.o") == 0
+    placed = placed.select(
+        "g", F.col("x.xs.early").alias("early"), F.col("x.xs.n").alias("n"),
+        F.struct(
+            F.col("x.xs.o").alias("o"), F.coalesce("path", F.lit("")).alias("path"), F.struct(s.alias("start"), e.alias("end")).alias("span"),
+            rows.container_at(F.col("found"), s).alias("container"),
+        ).alias("place"),
+        F.when(first, rows.snippet(F.col("text"), s, e)).alias("snippet"), F.when(first, e - s > rows.SNIPPET_BYTES).alias("cut"),
+    )
+    whole = placed.groupBy("g", "early", "n").agg(
+        F.array_sort(F.collect_list("place")).alias("places"), F.max("snippet").alias("snippet"), F.max("cut").alias("snippet_truncated")
     )
-    return _reported(mine, ["g", "component"], rule.shingle_words, True).drop("component"), capped, of
+    lead = F.col("places")[0]
+    order = Window.partitionBy("g").orderBy(F.encode(lead["path"], "utf-8"), lead["span"]["start"], lead["span"]["end"], F.desc("n"), "early")
+    occurrences = F.transform("places", lambda p: F.struct(p["path"], p["span"], p["container"]))
+    return whole.withColumn("entry", F.row_number().over(order)).select("g", "entry", "snippet", "snippet_truncated", occurrences.alias("occurrences"))

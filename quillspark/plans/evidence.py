@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.catalog import Rule, load_rules, patterns_table, rules_table, terms_table
 from quillspark.operators import evidence, native
 from quillspark.functions.containers import SMALL_WORDS
+from quillspark.operators.repeats import self_repeats
+from quillspark.plans import repeats
 from quillspark.plans.planted import PASSAGE, planted, planted_sql
 
 _XID = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\x{B7}\x{387}\x{1369}-\x{1371}\x{19DA}\x{200C}\x{200D}\x{2118}\x{212E}\x{30FB}\x{FF65}]"
@@ -161,7 +163,13 @@ def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def self_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.findings(_documents(spark, sf_dir), rules=["SD-Q005"])
+    """Repeats within each text as findings: by relations, and by the kernel where a walk is capped."""
+    return evidence.duplication_findings(_documents(spark, sf_dir))
+
+
+def verbatim_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as relations alone: each repeat with its words' numbers, and one row for each text with a capped walk."""
+    return self_repeats(_documents(spark, sf_dir))
 
 
 def contrastive_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +181,13 @@ def bundle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.analyze_bundle(_files(spark, sf_dir))[1]
+    """Every place of every passage that a bundle's files share, by entry."""
+    shared = evidence.analyze_bundle(_files(spark, sf_dir))[1]
+    each = shared.select("bundle_id", "entry", "snippet", "snippet_truncated", F.posexplode("occurrences").alias("occurrence", "o"))
+    return each.select(
+        "bundle_id", "entry", "snippet", "snippet_truncated", "occurrence",
+        F.col("o.path").alias("path"), F.col("o.span.start").alias("span_start"), F.col("o.span.end").alias("span_end"), F.col("o.container").alias("container"),
+    )
 
 
 def bundle_shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +210,7 @@ QUERIES = {
     for f in (
         reports, catalog_rules, text_stats, word_set_hits, codepoint_hits, typographic_spaces, lines, fenced_code,
         blockquotes, headings, quotations, annotated_hits, term_densities, category_totals, participial_openers,
-        kernel_word_sets, all_findings, topic_findings, reports_json, pattern_hits, self_duplication,
+        kernel_word_sets, all_findings, topic_findings, reports_json, pattern_hits, self_duplication, verbatim_repeats,
         invisible_characters, native_findings, native_reports, contrastive_tails, bundle_reports, bundle_passages, bundle_shingle_pairs, sql_table_function,
     )
 }
@@ -282,10 +296,11 @@ spans AS (SELECT doc_id, CAST(k AS INTEGER) AS k, line, s, CAST(s + strlen(line)
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _containers_sql() -> str:
+def _containers_sql(table: str = "planted") -> str:
+    """CTEs of the lines and containers of ``table(doc_id, text)``."""
     small = ", ".join(map(_q, SMALL_WORDS))
     upper = r"^[\p{Lu}0-9]"
-    return f"""{_LINES_SQL},
+    return f"""{_LINES_SQL.replace('planted', table)},
 fences AS (
   SELECT doc_id, s, coalesce(close, size) AS e FROM (
     SELECT *, row_number() OVER w AS n, lead(e) OVER w AS close FROM spans WHERE regexp_matches(line, '^{_WS}*```') WINDOW w AS (PARTITION BY doc_id ORDER BY k))
@@ -521,4 +536,6 @@ SELECT doc_id, {_q(space.id)} AS rule_id, CAST(n AS BIGINT) AS n FROM counted WH
         "native_findings": f"{_native_findings_sql()} SELECT * FROM findings",
         "native_reports": _native_reports_sql(),
         "bundle_shingle_pairs": _pairs_sql(),
+        "verbatim_repeats": repeats.repeats_sql(_containers_sql("docs")),
+        "bundle_passages": repeats.passages_sql(_containers_sql("texts_of")),
     }

@@ -114,3 +114,55 @@ def test_components(spark):
         **{(1, k): 0 for k in range(41)}, **{(1, k): 100 for k in (100, 101, 103)}, **{(2, k): 5 for k in (5, 6, 9)}, **{(3, k): 0 for k in range(30)},
     }
     assert components(spark.createDataFrame([], "g long, a long, b long")).count() == 0
+
+
+def bundles():
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(400)) for _ in range(n))
+    stems = [filler(rng.randrange(9, 40)) for _ in range(60)]
+    out = []
+    for f in range(120):  # one large bundle of many components
+        mine = stems[(f // 4) % 60]
+        out.append((1, f, f"p{f % 7}", f"{filler(8)} {mine} {filler(4)}\n> {mine if rng.random() < 0.5 else filler(6)}"))
+    for g in range(2, 12):
+        for f in range(rng.randrange(1, 6)):
+            parts = [rng.choice(stems[:5]) if rng.random() < 0.6 else filler(9) for _ in range(3)]
+            out.append((g, f, "é" if f % 2 else "z", rng.choice(('"{}"', "{}", "```\n{}\n```")).format(" and so ".join(parts))))
+    out += [(20, f, f"f{f}", "very good " * 60 + PARA) for f in range(3)]  # a capped walk
+    out += [(21, f, f"w{f:02}", f"{filler(3)} {PARA} {filler(3)}") for f in range(30)]  # over 21 files
+    out += [(22, 0, None, PARA), (22, 1, None, None), (22, 2, None, PARA.upper())]
+    return out
+
+
+def test_bundles_equal_the_kernel(spark):
+    from quillspark.operators import evidence
+
+    files = bundles()
+    df = spark.createDataFrame(files, "bundle_id long, file_idx int, path string, text string").repartition(5)
+    _, shared = evidence.analyze_bundle(df)
+    got = {}
+    for r in sorted(shared.collect(), key=lambda r: (r.bundle_id, r.entry)):
+        places = [(o.path, [o.span.start, o.span.end], o.container) for o in r.occurrences]
+        got.setdefault(r.bundle_id, []).append((r.snippet, r.snippet_truncated, places))
+        assert r.entry == len(got[r.bundle_id])
+    entries = 0
+    for g in {f[0] for f in files}:
+        want = kernel.shared_passages([(p or "", t or "") for b, _, p, t in sorted(files, key=lambda f: (f[0], f[1])) if b == g])
+        plain = [(w["snippet"], w["snippet_truncated"], [(o["path"], o["span"], o["container"]) for o in w["occurrences"]]) for w in want]
+        assert got.get(g, []) == plain, g
+        entries += len(plain)
+    assert len(got[1]) == 20 and got[20] and len(got[21][0][2]) == 30 and entries > 40
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_findings_equal_the_kernel_capped_or_not(spark):
+    from quillspark.operators import evidence
+    from quillspark.plans.evidence import _documents, self_duplication
+
+    sf = "/root/testdata/sf0.001"
+    got = self_duplication(spark, sf)
+    want = evidence.findings(_documents(spark, sf), rules=[repeats.repeat_rule().id])
+    assert got.columns == want.columns
+    a, b = (sorted(map(repr, map(tuple, x.collect()))) for x in (got, want))
+    assert a == b and len(a) > 20
