@@ -91,6 +91,11 @@ def codepoint_hits(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     return _exploded(docs, id_col, text_col, lambda t: rows.codepoint_hits(t, rule))
 
 
+def tail_hits(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, rule_id, s, e)`` of contrastive tails, without the rule's patterns."""
+    return _exploded(docs, id_col, text_col, lambda t: rows.tail_hits(t, rule))
+
+
 def space_counts(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, rule_id, n)``: typographic spaces between letters, where there are enough."""
     chars = "".join(f"\\x{{{c:X}}}" for c in rule.codepoints)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.catalog import Rule
-from quillspark.functions.chars import JVM_SPACE, JVM_WORD
+from quillspark.functions.chars import JVM_ALNUM, JVM_SPACE, JVM_WORD
 from quillspark.functions.containers import KINDS, SMALL_WORDS
 from quillspark.functions.scan import JOINING, PICTOGRAPHS, SNIPPET_BYTES
 
@@ -384,6 +384,56 @@ def opener_hits(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike("[A-Z][a-z]+ing [^,.!?;:\n]+,"), found).otherwise(F.array().cast(HIT))
 
 
+def tail_hits(text: Column, rule: Rule) -> Column:
+    """``, not …`` and ``, never …`` that close a sentence which tells the reader to do nothing.
+
+    From each comma the closing mark is looked for ahead, over a noun phrase of
+    at most ``max_np`` bytes; behind, the last boundary of a clause is the
+    as-of place where its verdict begins, if it is within ``clause_window`` bytes.
+    """
+    alnum, lower, token = JVM_ALNUM, r"\p{IsLowercase}", f"(?:{JVM_ALNUM}|')"
+    head = r",[ \t\n\r]{0,8}+(?i:never|not)[ \t\n\r]{1,8}+"
+    goes_on = rf"(?:{alnum}|[ \t]{{1,8}}+{lower})"  # what follows a full stop that ends no sentence
+    phrase = rf"^({head})((?:[^;:,\n\x{{FFFD}}!?.]|\.(?={goes_on})){{0,{rule.max_np}}}+)([!?]|\.(?!{goes_on}))"
+    boundary = rf"^[\s\S]*(?:\n|[!?:](?={JVM_SPACE})|\.(?={JVM_SPACE})(?!{goes_on}))"
+    you = "|".join(sorted(rule.second_person, key=len, reverse=True))
+    stop = F.lit(sorted(rule.stoplist))
+
+    def ahead(p: Column, i: Column) -> Column:
+        return F.array_join(F.slice(p, i + 2, rule.max_np + 64), "")
+
+    def closed(p: Column, i: Column) -> Column:
+        said = F.regexp_extract(ahead(p, i), phrase, 2)
+        good = said.rlike(f"(?!{JVM_SPACE})[\\s\\S]") & (F.octet_length(said) <= rule.max_np)
+        return good & ~ascii_lower(said).rlike(f"(?<!{alnum})but(?!{alnum})")
+
+    def directive(clause: Column) -> Column:
+        def told(c: Column) -> Column:
+            first = lambda x: F.regexp_extract(x, f"{token}++", 0)
+            commas = F.transform(F.split(c, ", ", -1), first)
+            thens = F.regexp_extract_all(c, F.lit(rf"(?<!{alnum})then (?=(?:(?!{token})[\s\S])*+({token}++))"), F.lit(1))
+            return F.arrays_overlap(F.concat(F.array(first(c)), F.slice(commas, 2, F.size(commas)), thens), stop)
+
+        return let(F.lower(clause), lambda low: low.rlike(f"(?<!{alnum})(?:{you})(?!{alnum})") | told(F.translate(low, "’", "'")))
+
+    def kept(p: Column, i: Column) -> Column:
+        def judged(before: Column) -> Column:
+            clause = F.regexp_replace(before, boundary, "")
+            size = lambda c: F.octet_length(c) - F.when(F.length(c) == F.length(before), F.octet_length(F.substring(c, 1, 1))).otherwise(0)
+            return let(clause, lambda c: (size(c) >= rule.clause_window) | ~directive(c))
+
+        return closed(p, i) & let(F.array_join(F.slice(p, 1, i + 1), ""), judged)
+
+    def hits(p: Column) -> Column:
+        some = F.filter(numbers(F.size(p) - 1), lambda i: kept(p, i))
+        size = lambda i: F.octet_length(F.regexp_extract(ahead(p, i), phrase, 0))
+        hit = lambda i, at: F.struct(F.lit(rule.id).alias("rule_id"), at.alias("s"), (at + size(i)).alias("e"))
+        return let(prefix_sums(_bytes(p)), lambda sums: F.transform(some, lambda i: hit(i, F.get(sums, i + 1))))
+
+    found = let(F.split(F.regexp_replace(F.translate(text, MARK, NEITHER), f"(?={head})", MARK), MARK, -1), hits)
+    return F.when(text.rlike(head), found).otherwise(F.array().cast(HIT))
+
+
 def merge_contained(hits: Column) -> Column:
     """Hits without those that lie in another of the same rule; equal ones are one; in order of rule and place."""
     state = F.struct(F.lit("").alias("rule"), F.lit(-1).cast("long").alias("reach"), F.array().cast(HIT).alias("out"))

@@ -109,6 +109,11 @@ def invisible_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.codepoint_hits(planted(spark, sf_dir), rule)
 
 
+def contrastive_tail_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrastive tails alone, without their rule's patterns."""
+    return native.tail_hits(planted(spark, sf_dir), _rules("contrastive-tail")[0]).select("doc_id", "s", "e")
+
+
 def native_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of every rule that needs no Python, as the kernel reports them."""
     return native.findings(planted(spark, sf_dir))
@@ -211,7 +216,7 @@ QUERIES = {
         reports, catalog_rules, text_stats, word_set_hits, codepoint_hits, typographic_spaces, lines, fenced_code,
         blockquotes, headings, quotations, annotated_hits, term_densities, category_totals, participial_openers,
         kernel_word_sets, all_findings, topic_findings, reports_json, pattern_hits, self_duplication, verbatim_repeats,
-        invisible_characters, native_findings, native_reports, contrastive_tails, bundle_reports, bundle_passages, bundle_shingle_pairs, sql_table_function,
+        invisible_characters, contrastive_tail_hits, native_findings, native_reports, contrastive_tails, bundle_reports, bundle_passages, bundle_shingle_pairs, sql_table_function,
     )
 }
 
@@ -415,6 +420,45 @@ odd AS (
 unseen AS (SELECT doc_id, CAST(min(e - strlen(ch)) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM odd GROUP BY doc_id, island)"""
 
 
+def _tails_sql() -> str:
+    """CTEs that end in ``tails(doc_id, s, e)``: where a phrase closes and where its clause begins by lists of places."""
+    rule = _rules("contrastive-tail")[0]
+    alnum, white = r"\p{L}\p{N}\p{M}", _WS[1:-1]
+    goes_on = rf"^(?:[{alnum}]|[ \t]{{1,8}}\p{{Ll}})"
+    head = r",[ \t\n\r]{0,8}(?i:never|not)[ \t\n\r]{1,8}"
+    stop, you = ", ".join(map(_q, sorted(rule.stoplist))), "|".join(w.replace("'", "''") for w in sorted(rule.second_person, key=len, reverse=True))
+    return rf"""
+tail_parts AS (SELECT doc_id, text, string_split(regexp_replace(translate(text, chr(1) || chr(2), chr(3) || chr(3)), '({head})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM planted WHERE regexp_matches(text, '{head}')),
+commas AS (
+  SELECT doc_id, replace(array_to_string(p[1:i], ''), chr(2), '') AS before, string_split(p[i + 1], chr(2))[1] AS head,
+    replace(array_to_string(list_concat([array_to_string(string_split(p[i + 1], chr(2))[2:], '')], p[i + 2:]), ''), chr(2), '') AS rest
+  FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM tail_parts)
+),
+closing AS (
+  SELECT *, list_min(list_filter(range(1, {rule.max_np} + 2), lambda j: rest[j:j] IN ('!', '?') OR (rest[j:j] = '.' AND NOT regexp_matches(rest[j + 1:j + 12], '{goes_on}')))) AS close,
+    list_min(list_filter(range(1, {rule.max_np} + 2), lambda j: regexp_matches(rest[j:j], '[;:,\n\x{{FFFD}}]'))) AS halt,
+    list_max(list_filter(range(greatest(1, length(before) - {rule.clause_window}), length(before) + 1), lambda j: before[j:j] = chr(10)
+      OR (before[j:j] IN ('!', '?', ':', '.') AND regexp_matches(before[j + 1:j + 1], '[{white}]') AND NOT (before[j:j] = '.' AND regexp_matches(before[j + 1:], '{goes_on}'))))) AS bound
+  FROM commas
+),
+clauses AS (
+  SELECT *, left(rest, close - 1) AS phrase, CASE WHEN bound IS NULL THEN before ELSE before[bound + 1:] END AS clause FROM closing
+  WHERE close IS NOT NULL AND (halt IS NULL OR close < halt)
+),
+judged AS (
+  SELECT *, CASE WHEN bound IS NULL THEN strlen(clause[2:]) ELSE strlen(clause) END >= {rule.clause_window} AS far, lower(clause) AS low, translate(lower(clause), '’', chr(39)) AS c
+  FROM clauses WHERE regexp_matches(phrase, '[^{white}]') AND strlen(phrase) <= {rule.max_np} AND NOT regexp_matches(lower(phrase), '(?:^|[^{alnum}])but(?:$|[^{alnum}])')
+),
+tails AS (
+  SELECT doc_id, CAST(strlen(before) AS BIGINT) AS s, CAST(strlen(before) + strlen(head) + strlen(phrase) + 1 AS BIGINT) AS e FROM judged
+  WHERE far OR NOT (
+    regexp_matches(low, '(?:^|[^{alnum}])(?:{you})(?:$|[^{alnum}])') OR regexp_extract(c, '[{alnum}'']+') IN ({stop})
+    OR len(list_filter(string_split(c, ', ')[2:], lambda x: regexp_extract(x, '[{alnum}'']+') IN ({stop}))) > 0
+    OR len(list_filter(range(2, len(string_split(c, 'then ')) + 1), lambda k: NOT regexp_matches(string_split(c, 'then ')[k - 1], '[{alnum}]$')
+      AND regexp_extract(string_split(c, 'then ')[k], '[{alnum}'']+') IN ({stop}))) > 0)
+)"""
+
+
 def _native_findings_sql() -> str:
     """CTEs that end in ``findings``, of every rule that needs no Python."""
     rules = native.native_rules()
@@ -431,7 +475,7 @@ cited AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM ({_
 gaps AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, text FROM (
     SELECT doc_id, text, unnest(list_filter(range(2, length(text)), lambda i: text[i:i] IN ({spaces})
-      AND regexp_matches(text[i - 1:i - 1], '[\\p{{L}}\\p{{Nl}}]') AND regexp_matches(text[i + 1:i + 1], '[\\p{{L}}\\p{{Nl}}]'))) AS i FROM planted)
+      AND regexp_matches(text[i - 1:i - 1], '[\\p{{L}}\\p{{Nl}}]') AND regexp_matches(text[i + 1:i + 1], '[\\p{{L}}\\p{{Nl}}]'))) AS i FROM planted WHERE regexp_matches(text, '[{"".join(chr(c) for c in space.codepoints)}]'))
 ),
 every AS (
   SELECT doc_id, rule_id, s, e FROM hits UNION ALL SELECT doc_id, {_q(opener.id)}, s, e FROM openers UNION ALL SELECT doc_id, {_q(unseen.id)}, s, e FROM unseen
@@ -533,6 +577,7 @@ SELECT doc_id, {_q(space.id)} AS rule_id, CAST(n AS BIGINT) AS n FROM counted WH
         "SELECT category, rule_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM hits JOIN cats USING (rule_id) GROUP BY category, rule_id",
         "participial_openers": f"WITH {_openers_ctes('documents')} SELECT * FROM openers",
         "invisible_characters": f"{head}, {_characters_sql(seen)} SELECT doc_id, {_q(seen.id)} AS rule_id, s, e FROM unseen",
+        "contrastive_tail_hits": f"{head}, {_tails_sql()} SELECT doc_id, s, e FROM tails",
         "native_findings": f"{_native_findings_sql()} SELECT * FROM findings",
         "native_reports": _native_reports_sql(),
         "bundle_shingle_pairs": _pairs_sql(),

@@ -102,6 +102,24 @@ def test_openers_equal_the_kernels(spark):
     assert n > 30
 
 
+def test_tails_equal_the_kernels(spark):
+    rule = next(r for r in load_rules() if r.mechanism == "contrastive-tail")
+    rng = random.Random(12)
+    bits = [", not ", ",never ", ", NOT\n", ", not         ", "an accident", "a plan", ". ", ".", "! ", "? ", ": ", "\n", ";", " you ", "your", "Keep ", "keep", "then ", "then use ", "It was a choice", "café",
+            " e.g. x", "v1.2", " but ", "butter", "’", "don’t", "é" * 20, "x" * 45, "\ufffd", "  ", "\t", "The end.  and so", "\x01"]
+    data = ["".join(rng.choice(bits) for _ in range(rng.randrange(2, 14))) for _ in range(4000)] + LINES
+    data += [f"{'a' * n}, not b." for n in range(236, 246)] + [f"x. {'a' * n}, not b." for n in range(236, 244)] + [f"use {'a' * n}, not b." for n in range(230, 245)]
+    data += [f"It is, not {'b' * n}." for n in range(55, 65)] + [f"It is, not {'é' * n}!" for n in range(27, 33)] + ["a, not b", ", not b.", "It is, not b.c d. E"]
+    got = by_id(spark.createDataFrame(list(enumerate(data)), "k long, t string").repartition(4).select("k", rows.tail_hits(F.col("t"), rule)))
+    scanner, n = kernel.scanner_of((rule.id,)), 0
+    for k, t in enumerate(data):
+        at = Bytes(t)
+        want = sorted((at(h.start), at(h.end)) for h in scanner.scan_tails(t))
+        assert sorted((h.s, h.e) for h in got[k]) == want, repr(t)
+        n += len(want)
+    assert n > 200
+
+
 def test_reports_equal_the_kernels(table):
     """The whole nested report, on rules that need no Python."""
     from quillspark.operators import native
