@@ -5,7 +5,9 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from quillspark.functions.chars import WHITE, ascii_lower, is_upper
+import regex
+
+from quillspark.functions.chars import WHITE, WHITE_CLASS, ascii_lower, is_upper
 
 KINDS = ("fenced-code", "blockquote", "quoted", "heading")
 _WHITE = "".join(WHITE)
@@ -51,53 +53,37 @@ def _words(t: str) -> list[str]:
     return out
 
 
+def _pairs(opening: str, closing: str) -> regex.Pattern:
+    """From a mark to the next closing one, or what is left of the session, in which none closes; a blank line ends a session."""
+    body = rf"[^{closing}\n]*+(?:\n(?!{WHITE_CLASS}*\n)[^{closing}\n]*+)*+"
+    return regex.compile(f"{opening}{body}{closing}?")
+
+
+_QUOTES = (('"', _pairs('"', '"')), ("\u201d", _pairs("\u201c", "\u201d")))
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching ranges as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            s, e = out[-1][0], max(e, out.pop()[1])
+        out.append((s, e))
+    return out
+
+
 def container_ranges(text: str) -> dict[str, list[tuple[int, int]]]:
     """Sorted, disjoint ranges of each kind, as code point places."""
-    out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    fence = straight = curly = None
-    quotes = []
-    for at, line in lines(text):
-        end = at + len(line)
-        body = line.lstrip(_WHITE)
-        if body.startswith("```"):
-            if fence is None:
-                fence = at
-            else:
-                out["fenced-code"].append((fence, end))
-                fence = None
-        if not body:
-            straight = curly = None
-            continue
-        if body[0] == ">":
-            out["blockquote"].append((at, end))
-        elif body[0] == "#" or is_title(line):
-            out["heading"].append((at, end))
-        for mark in ('"', "\u201c", "\u201d"):
-            if mark in line:
-                break
-        else:
-            continue
-        for k, c in enumerate(line, at):
-            if c == '"':
-                if straight is None:
-                    straight = k
-                else:
-                    quotes.append((straight, k + 1))
-                    straight = None
-            elif c == "\u201c" and curly is None:
-                curly = k
-            elif c == "\u201d" and curly is not None:
-                quotes.append((curly, k + 1))
-                curly = None
-    if fence is not None:
-        out["fenced-code"].append((fence, len(text)))
-    for s, e in sorted(quotes):
-        q = out["quoted"]
-        if q and s <= q[-1][1]:
-            q[-1] = (q[-1][0], max(e, q[-1][1]))
-        else:
-            q.append((s, e))
-    return out
+    told = [(at, at + len(line), line.lstrip(_WHITE), line) for at, line in lines(text)]
+    marks = [(s, e) for s, e, body, _ in told if body.startswith("```")]
+    ends = [e for _, e in marks[1::2]] + [len(text)]  # an open fence runs to the end
+    pairs = [(m.start(), m.end()) for closing, p in _QUOTES for m in p.finditer(text) if len(m.group()) > 1 and m.group()[-1] == closing]
+    return {
+        "fenced-code": [(s, e) for (s, _), e in zip(marks[::2], ends)],
+        "blockquote": [(s, e) for s, e, body, _ in told if body[:1] == ">"],
+        "quoted": _joined(pairs),
+        "heading": [(s, e) for s, e, body, line in told if body and body[0] != ">" and (body[0] == "#" or is_title(line))],
+    }
 
 
 class Classifier:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import regex
 
 #: Earlier places of a shingle that are tried, most recent first (a fixed value: it shows in results).
@@ -38,6 +39,42 @@ def tokenize(text: str, file: int = 0) -> list[Token]:
     return out
 
 
+def _agree(ids: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many words from two places on are the same, at most so many; looked at in growing blocks."""
+    done, width = 0, 16
+    while done < most:
+        w = min(width, most - done)
+        differ = np.flatnonzero(ids[a + done : a + done + w] != ids[b + done : b + done + w])
+        if len(differ):
+            return done + int(differ[0])
+        done, width = done + w, width * 4
+    return done
+
+
+class _Words:
+    """The words of files in one row, numbered; each file is a stretch of them that no run leaves."""
+
+    def __init__(self, tokens: list[Token], k: int):
+        number: dict[str, int] = {}
+        self.k, self.n = k, len(tokens)
+        self.ids = np.fromiter((number.setdefault(t.word, len(number)) for t in tokens), dtype=np.int32, count=self.n)
+        self.back = self.ids[::-1]
+        self.raw = self.ids.tobytes()
+        files = np.fromiter((t.file for t in tokens), dtype=np.int64, count=self.n)
+        edges = np.flatnonzero(np.diff(files, prepend=-1, append=-1))
+        self.first, self.past = np.repeat(edges[:-1], np.diff(edges)).tolist(), np.repeat(edges[1:], np.diff(edges)).tolist()
+
+    def shingle(self, i: int) -> bytes | None:
+        """What tells shingles apart; None where a file ends within."""
+        return self.raw[4 * i : 4 * (i + self.k)] if i + self.k <= self.past[i] else None
+
+    def run(self, e: int, i: int, apart: int) -> Run:
+        """The run that two equal shingles are in; copies of one file are ``apart`` and do not grow into each other."""
+        ahead = self.k + _agree(self.ids, e + self.k, i + self.k, min(self.past[e] - e, self.past[i] - i, apart) - self.k)
+        behind = _agree(self.back, self.n - e, self.n - i, min(e - self.first[e], i - self.first[i], apart - ahead))
+        return Run(e - behind, i - behind, ahead + behind)
+
+
 def find_runs(tokens: list[Token], k: int, floor: int, across: bool = False) -> list[Run]:
     """Repeats of at least ``floor`` words, left to right.
 
@@ -47,56 +84,27 @@ def find_runs(tokens: list[Token], k: int, floor: int, across: bool = False) ->
     ``across`` only copies in different files count. A reported run is skipped
     over, and words skipped begin no later match.
     """
-    number: dict[str, int] = {}
-    ids = [number.setdefault(t.word, len(number)) for t in tokens]
-    files = [t.file for t in tokens]
-    n = len(ids)
-    seen: dict[tuple, list[int]] = {}
+    words = _Words(tokens, k)
+    places: dict[bytes, list[int]] = {}
     runs: list[Run] = []
     i = 0
-    while i + k <= n:
-        if files[i + k - 1] != files[i]:
-            i += 1
-            continue
-        earlier = seen.setdefault(tuple(ids[i : i + k]), [])
-        best = None
-        for e in earlier[-1 : -TRIED - 1 : -1]:
-            same = files[e] == files[i]
-            if same if across else e + k > i:
-                continue
-            found = _extend(ids, files, e, i, k, same, n)
-            if best is None or found.length >= best.length:
-                best = found
-        earlier.append(i)
-        if best is not None and best.length >= floor:
-            runs.append(best)
-            i = best.later + best.length
-        else:
-            i += 1
+    while i + k <= words.n:
+        shingle = words.shingle(i)
+        after = i + 1
+        if shingle is not None:
+            known = places.setdefault(shingle, [])
+            home = words.first[i]
+            fit = [e for e in known[-TRIED:] if (words.first[e] != home if across else e + k <= i)]
+            tried = [words.run(e, i, words.n if across else i - e) for e in fit]
+            best = max(tried, key=lambda r: (r.length, -r.earlier + r.later), default=None)
+            known.append(i)
+            if best is not None and best.length >= floor:
+                runs.append(best)
+                after = best.later + best.length
+        i = after
     return runs
 
 
-def _extend(ids, files, e: int, i: int, k: int, same: bool, n: int) -> Run:
-    length = k
-    while (
-        i + length < n
-        and ids[e + length] == ids[i + length]
-        and files[e + length] == files[e]
-        and files[i + length] == files[i]
-        and not (same and e + length >= i)
-    ):
-        length += 1
-    while (
-        e > 0
-        and ids[e - 1] == ids[i - 1]
-        and files[e - 1] == files[e]
-        and files[i - 1] == files[i]
-        and not (same and e + length >= i)
-    ):
-        e, i, length = e - 1, i - 1, length + 1
-    return Run(e, i, length)
-
-
 def longest(runs: list[Run], most: int) -> list[Run]:
     """The ``most`` longest runs; equal ones by place."""
     return sorted(runs, key=lambda r: (-r.length, r.later, r.earlier))[:most]

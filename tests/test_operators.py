@@ -93,6 +93,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("reported").count() == len(LINES)
 
 
+def test_bundles_of_a_stream(spark, tmp_path):
+    from quillspark.streaming import bundles_by_batch
+
+    p = "one two three four five six seven eight nine ten eleven twelve"
+    files = spark.createDataFrame([(1, 0, "a", f"x {p}"), (1, 1, "b", f"{p} y"), (2, 0, "c", p)], "bundle_id long, file_idx int, path string, text string")
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    seen = []
+    writer = bundles_by_batch(stream, lambda reports, shared, k: seen.append((reports.count(), [(r.bundle_id, r.entry, len(r.occurrences)) for r in shared.collect()])))
+    query = writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.awaitTermination(120)
+    assert seen == [(3, [(1, 1, 2)])]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("été")
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
@@ -123,6 +137,20 @@ def test_command_line(tmp_path):
     assert run_cli(str(tmp_path / "none")).returncode == 1
     assert run_cli("--nonsense").returncode == 1
     assert run_cli(str(big)).returncode == 40
+    assert run_cli(stdin=big.read_bytes()).returncode == 40
+    big.write_bytes(b"x" * (4 * 1024 * 1024))  # at the limit
+    assert json.loads(run_cli(str(big)).stdout)["stats"]["byte_len"] == 4 * 1024 * 1024
+
+
+def test_a_closed_pipe_is_no_error():
+    cli = subprocess.Popen(
+        [sys.executable, "-m", "quillspark"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, cwd=os.path.dirname(entry_module.__file__)
+    )
+    cli.stdin.write(b"very " * 60_000)
+    cli.stdin.close()
+    assert cli.stdout.read(1) == b"{"
+    cli.stdout.close()
+    assert cli.wait(120) == 0 and b"Traceback" not in cli.stderr.read()
 
 
 def duck(sf):

@@ -166,3 +166,31 @@ def test_findings_equal_the_kernel_capped_or_not(spark):
     assert got.columns == want.columns
     a, b = (sorted(map(repr, map(tuple, x.collect()))) for x in (got, want))
     assert a == b and len(a) > 20
+
+
+def walls(words, at, tag, n=33):
+    """Decoys that share eight words from a place and no more, enough to hide what came before them from a walk."""
+    return " ".join(f"{' '.join(words[at : at + 8])} {tag}{k}a {tag}{k}b." for k in range(n))
+
+
+def test_decoys_hide_no_copy():
+    """A capped walk: the run is found one word in and reaches back to its begin."""
+    words = [f"w{k}" for k in range(12)]
+    text = f"{' '.join(words)} . {walls(words, 0, 'd')} then {' '.join(words)} end"
+    (hit,) = kernel.scanner_of(("SD-Q005",)).scan(text)
+    assert text[hit.start : hit.end].split() == words
+
+
+def test_the_longest_run_both_ways_wins():
+    """A rival that reaches further ahead loses to a copy that is longer in all."""
+    words = [f"w{k}" for k in range(13)]
+    decoys = " ".join(walls(words, k, f"d{k}x") for k in range(4))
+    text = f"{' '.join(words)} stop. rival {' '.join(words[4:])} after. {decoys} then {' '.join(words)} after"
+    hits = kernel.scanner_of(("SD-Q005",)).scan(text)
+    assert text[max(hits, key=lambda h: h.start).start :].split()[:13] == words and [text[h.start : h.end].split() for h in hits][-1] == words
+
+
+def test_ten_words_are_the_floor(spark):
+    ten, nine = " ".join(f"t{k}" for k in range(10)), " ".join(f"n{k}" for k in range(9))
+    df = spark.createDataFrame([(1, f"{ten} x y {ten}"), (2, f"{nine} x y {nine}")], "doc_id long, text string")
+    assert [(r.doc_id, r.n) for r in repeats.self_repeats(df).collect()] == [(1, 10)]
