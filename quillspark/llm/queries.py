@@ -24,44 +24,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that are boilerplate of their source."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence sentences of each document, and the licences and categories that they make."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the component of fingerprints within three bits that it is in."""
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links of cosine 0.98 or more within its label, and its component."""
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path and verdict, by the listed rules or its host's path templates."""
     return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity score, learnt from the rows that are not held out."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness to it and to the next document."""
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 ids as the islands find; only longer ones are cut."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes and tokens, and whether these are over the limit."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -135,7 +135,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str =
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     keyed = base.withColumn("segs", segments(F.col("path")))
-    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[.a-z]*/?$', 1) AS BIGINT)")
+    number = F.expr("try_cast(regexp_extract(path, '(?<![0-9])([0-9]++)[.a-z]*+/?$', 1) AS BIGINT)")
     known = (
         labels.filter("doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("number"))

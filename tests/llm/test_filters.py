@@ -394,3 +394,21 @@ def test_registry():
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
     assert "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_very_long_urls(spark):
+    """A megabyte of one kind of character stalls no task."""
+    import time
+
+    from quillspark.llm.url_filter import filter_urls
+
+    kinds = ["1", "a", ".", "/", "-", "1a", "a1.", "1/", "%20"]
+    data = [(k, "http://h.example/" + c * (1_000_000 // len(c)) + "!") for k, c in enumerate(kinds)] + [(99, "http://h.example/doc-17.html")]
+    pages = spark.createDataFrame(data, "page_id long, url string").repartition(4)
+    labels = spark.createDataFrame([(17, 1, 0)], "doc_id long, quality int, toxic int")
+    keyed = pages.selectExpr("page_id", "regexp_extract(url, '(?<![0-9])([0-9]++)[.a-z]*+/?$', 1) as n")
+    began = time.time()
+    assert {r.page_id: r.n for r in keyed.collect()} == {**{k: "" for k in range(len(kinds))}, 99: "17"}
+    assert time.time() - began < 30
+    short = filter_urls(pages.filter("page_id in (0, 1, 2, 4, 99)"), labels).collect()
+    assert len(short) == 5 and {r.verdict for r in short} == {"allow"}
