@@ -72,39 +72,56 @@ def parities(x: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``(id, a, b, node, fp, n, par, toks)``: each row's shingles, their number, the set's hash, fingerprint and parities."""
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    """What sets are known by: a hash of each."""
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``(id, a, b, row, node, fp, n, par)`` of ``(id, a, b, row, t)``: the set's hash, its fingerprint, size and parities."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in slices(batches):
-            sets = [shingle_set(t) for t in b.column(3).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            sets = [shingle_set(t) for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns[:3],
-                    pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)),
+                    *b.columns[:4], _nodes(sets),
                     pa.array([set_fingerprint(x) for x in sets], pa.int64()),
                     pa.array([len(x) for x in sets], pa.int32()),
                     pa.array([parities(x) for x in sets], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets]))),
                 ],
-                names=["id", "a", "b", "node", "fp", "n", "par", "toks"],
+                names=["id", "a", "b", "row", "node", "fp", "n", "par"],
             )
         trim()  # the worker may wait beside what follows
 
-    return docs.mapInArrow(work, "id long, a long, b long, node long, fp long, n int, par array<long>, toks array<long>")
+    return texts.mapInArrow(work, "id long, a long, b long, row long, node long, fp long, n int, par array<long>")
+
 
+def _tokens(texts: DataFrame) -> DataFrame:
+    """``(node, toks)`` of ``(row, t)``: whole sets, made anew from the texts, as written they would be twice as large."""
 
-def _prefixes(rows: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in slices(batches):
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([_nodes(sets), toks], names=["node", "toks"])
+        trim()
+
+    return texts.select("t").mapInArrow(work, "node long, toks array<long>")
+
+
+def _prefixes(texts: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataFrame:
     """``(node, n, pos, tok)``: the first fifth of each set, those of ``frequent`` (ascending) sorted last by ``count``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in slices(batches):
             out = []
-            for node, x in zip(b.column(0).to_pylist(), b.column(1)):
-                x = x.values.to_numpy()
+            sets = [x for x in map(shingle_set, b.column(0).to_pylist()) if len(x)]
+            for node, x in zip(_nodes(sets).to_pylist(), sets):
                 n = len(x)
                 most = n - (4 * n + 4) // 5 + 1
                 if len(frequent):
@@ -117,17 +134,17 @@ def _prefixes(rows: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataF
                 )
         trim()
 
-    return rows.filter("n > 0").select("node", "toks").mapInArrow(work, "node long, n int, pos int, tok long")
+    return texts.select("t").mapInArrow(work, "node long, n int, pos int, tok long")
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
+def _ordered(texts: DataFrame) -> DataFrame:
     """The prefixes of distinct sets under an order by frequency.
 
     It is a sample's, mended by how often shingles are in the prefixes that it
     gives a quarter of the sets; the order decides only what is compared.
     """
-    total = rows.count()
-    sample = rows.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
+    total = texts.count()
+    sample = texts.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=SEED)
     scale = max(1.0, total / SAMPLE_ROWS)
 
     def most(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +154,15 @@ def _ordered(rows: DataFrame) -> DataFrame:
         )
         return got.column("tok").to_numpy(), got.column("count").to_numpy().astype(np.float64)
 
-    toks, count = most(sample.select(F.explode("toks").alias("tok")), SAMPLE_COUNT)
+    toks, count = most(_tokens(sample).select(F.explode("toks").alias("tok")), SAMPLE_COUNT)
     by = np.argsort(toks)
     first = toks[by], count[by] * scale
-    hot, often = most(_prefixes(rows.filter("pmod(row, 4) = 0"), *first), HOT // 4 + 1)
+    hot, often = most(_prefixes(texts.filter("pmod(row, 4) = 0"), *first), HOT // 4 + 1)
     often = often * 4
     toks, at = np.unique(np.concatenate([first[0], hot]), return_inverse=True)
     count = np.zeros(len(toks))
     np.maximum.at(count, at, np.concatenate([first[1], often]))
-    return _prefixes(rows, toks, count)
+    return _prefixes(texts, toks, count)
 
 
 def _similar(common: Column, n: Column, m: Column) -> Column:
@@ -167,16 +184,16 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` whose whole sets are similar."""
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     first = written(groups.join(nodes, "node", "left_semi").select(F.col("row").alias("first")), "compared")
-    sets = rows.join(broadcast_if_small(first, MAX_BROADCAST), F.col("row") == F.col("first"), "left_semi").select(
-        "node", "toks"
-    )
+    sets = _tokens(texts.join(broadcast_if_small(first, MAX_BROADCAST), F.col("row") == F.col("first"), "left_semi"))
     both = pairs.join(sets.toDF("u", "us"), "u").join(sets.toDF("v", "vs"), "v")
     same = F.size(F.array_intersect("us", "vs"))
-    return written(both.filter(_similar(same, F.size("us"), F.size("vs"))).select("u", "v"), "similar")
+    found = written(both.filter(_similar(same, F.size("us"), F.size("vs"))).select("u", "v"), "similar")
+    forget(first)
+    return found
 
 
 def _simhash_pairs(groups: DataFrame) -> DataFrame:
@@ -220,17 +237,22 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     spark = docs.sparkSession
     trim_driver(spark)
     text = F.col(text_col).cast("string")
-    four = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.cast("binary").alias("t"))
-    rows = written(_sets(four).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    two = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("t"))
+    if "Exchange" in two._jdf.queryExecution().executedPlan().toString():  # what a shuffle gives may come in another order next time
+        two = written(two, "texts")
+    # a text is found again by its row's number: a table is read alike each time
+    texts = two.select("id", *text_hashes(F.col("t").cast("string")), F.monotonically_increasing_id().alias("row"), "t")
+    rows = written(_sets(texts), "sets-of-rows")
+    texts = texts.select("row", "t")
     groups = rows.groupBy("node", "fp", "n").agg(F.min("row").alias("row"), F.first("par").alias("par"))
     groups = written(groups.select("node", "fp", "n", "row", *(F.col("par")[k].alias(f"p{k}") for k in range(4))), "sets")
     tried = written(_simhash_pairs(groups), "ahead")
     trim_driver(spark)
-    links = _verified(tried, rows, groups)
+    links = _verified(tried, texts, groups)
     # each set once: rows that repeat one are left out
     again = rows.select("node", "row").join(groups.select(F.col("node").alias("of"), F.col("row").alias("rep")), F.col("node") == F.col("of"))
     again = written(again.filter("row <> rep").select(F.col("row").alias("copy")), "copies")
-    once = rows.join(broadcast_if_small(again, MAX_BROADCAST), F.col("row") == F.col("copy"), "left_anti")
+    once = texts.join(broadcast_if_small(again, MAX_BROADCAST), F.col("row") == F.col("copy"), "left_anti")
     # one exchange by element serves to count it and to keep what several sets have
     prefix = _ordered(once).withColumn("k", F.count("*").over(Window.partitionBy("tok"))).filter("k > 1").drop("k")
     signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
@@ -263,7 +285,7 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
         meet = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") != F.col("b.class")) & _may_be("a", "b"))
         new = written(_pairs(meet).join(tried, ["u", "v"], "left_anti"), "untried")
         # what is known links as all the links did, in fewer rounds
-        links = known.toDF("u", "v").union(_verified(new, rows, groups))
+        links = known.toDF("u", "v").union(_verified(new, texts, groups))
         forget(placed, mixed)
         trim_driver(spark)
         if not first:
