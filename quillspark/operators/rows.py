@@ -343,7 +343,7 @@ def codepoint_hits(text: Column, rule: Rule) -> Column:
             ),
         )
 
-    return F.when(F.octet_length(text) > F.length(text), let(found, ranges)).otherwise(F.array().cast(HIT))
+    return F.when(text.rlike(f"[{listed}]"), let(found, ranges)).otherwise(F.array().cast(HIT))
 
 
 def space_hits(text: Column, rule: Rule) -> Column:
