@@ -34,8 +34,9 @@ def _stage(work: Stage) -> Stage:
 
     @wraps(work)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own = getattr(docs, "_written_at", None)
-        forget_paths(spark, [path for path in _left.pop(spark, []) if path != own])
+        left = _left.pop(spark, [])
+        read = {part for file in docs.inputFiles() for part in file.split("/")} if left else set()
+        forget_paths(spark, [path for path in left if path.rsplit("/", 1)[-1] not in read])
         before = set(written_paths(spark))
         out = work(spark, docs, sf_dir)
         _left[spark] = [path for path in written_paths(spark) if path not in before]
