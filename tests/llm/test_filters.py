@@ -391,7 +391,7 @@ def test_registry():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
