@@ -33,6 +33,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 COMMON = 1_024  #: terms of the longest lists, that are kept as a matrix
 STEMS = (4, 5)
+ROWS = 128  #: texts that a worker scores at once
 SMOOTH = 2.0  #: expected toxic texts that are added to both sides of a term's ratio
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,15 +56,24 @@ class Terms:
     def __init__(self, vocabulary: list[str]):
         self.words = {t: i for i, t in enumerate(vocabulary) if not t.endswith("*")}
         self.stems = {k: {t[:-1]: i for i, t in enumerate(vocabulary) if t.endswith("*") and len(t) == k + 1} for k in STEMS}
+        #: for each term that is a word the places of its stems, so that it is looked up once
+        self._stems_of = np.full((len(STEMS), len(vocabulary)), -1, dtype=np.int32)
+        for row, (k, known) in zip(self._stems_of, self.stems.items()):
+            for w, i in self.words.items():
+                if len(w) > k:
+                    row[i] = known.get(w[:k], -1)
         self._at = np.zeros(len(vocabulary), dtype=np.int64)
 
     def _places(self, words: list[str]) -> list[np.ndarray]:
         """For each word the place of it and of each of its stems, -1 for one that is not known."""
-        n, size = len(words), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        out = [np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=n)]
-        for k, known in self.stems.items():
-            at = np.fromiter(map(known.get, [w[:k] for w in words], repeat(-1)), dtype=np.int64, count=n)
-            at[size <= k] = -1
+        whole = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = (whole < 0).nonzero()[0].tolist()
+        out = [whole]
+        for (k, known), of_word in zip(self.stems.items(), self._stems_of):
+            at = of_word[whole].astype(np.int64) if len(of_word) else np.full(len(words), -1)
+            for j in new:
+                w = words[j]
+                at[j] = known.get(w[:k], -1) if len(w) > k else -1
             out.append(at)
         return out
 
@@ -113,28 +123,35 @@ class BlockMaxIndex:
 
     def __init__(self, ids, labels, ptr, terms, weights, n_terms: int, common: int = COMMON):
         n = len(ids)
-        terms, weights = np.asarray(terms, dtype=np.int64), np.asarray(weights, dtype=np.float64)
+        terms, weights = np.asarray(terms, dtype=np.int32), np.asarray(weights, dtype=np.float64)
         # similar examples side by side make a block's bound tight: by their heaviest term
         heavy = np.array([terms[s + weights[s:e].argmax()] if e > s else -1 for s, e in zip(ptr[:-1], ptr[1:])], dtype=np.int64)
         order = np.lexsort((ids, heavy))
         self.ids, self.labels = np.asarray(ids)[order], np.asarray(labels, dtype=np.float64)[order]
-        place = np.empty(n, dtype=np.int64)
+        place = np.empty(n, dtype=np.int32)
         place[order] = np.arange(n)
         docs = np.repeat(place, np.diff(ptr))
         longest = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:common]
-        self.slot = np.full(n_terms, -1, dtype=np.int64)
+        self.slot = np.full(n_terms, -1, dtype=np.int32)
         self.slot[longest] = np.arange(len(longest))
         self.dense = np.zeros((len(longest), n))
-        rare = self.slot[terms] < 0
-        self.dense[self.slot[terms[~rare]], docs[~rare]] = weights[~rare]
+        slots = self.slot[terms]
+        rare = slots < 0
+        self.dense[slots[~rare], docs[~rare]] = weights[~rare]
+        del slots
+        # arrays are let go as soon as the next stands: all of a node's tasks make their index at once
         terms, docs, weights = terms[rare], docs[rare], weights[rare]
         by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
-        self.starts = np.searchsorted(terms[by], np.arange(n_terms + 1))
+        terms, self.docs, self.weights = terms[by], docs[by], weights[by]
+        del by, docs, weights, rare
+        self.starts = np.searchsorted(terms, np.arange(n_terms + 1, dtype=np.int32))
         self.blocks = -(-n // BLOCK)
         self.edges = np.arange(self.blocks) * BLOCK
         most = np.zeros(n_terms * self.blocks, dtype=np.float32)
-        np.maximum.at(most, terms[by] * self.blocks + self.docs // BLOCK, np.nextafter(self.weights.astype(np.float32), np.float32(2)))
+        cell = terms.astype(np.int64)
+        cell *= self.blocks
+        cell += self.docs // BLOCK
+        np.maximum.at(most, cell, np.nextafter(self.weights.astype(np.float32), np.float32(2)))
         self.most = most.reshape(n_terms, self.blocks)
 
     def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -194,7 +211,7 @@ class Classifier:
 
     def fitted(self) -> BlockMaxIndex:
         """The index of the examples; a task makes it and lets it go at its end, so idle workers hold none."""
-        return BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.vocabulary))
+        return BlockMaxIndex(self.ids, self.labels, self.ptr, self.terms, self.units, len(self.weights))
 
     def clear(self) -> None:
         """Let go of everything, in a worker process whose task is done with its copy."""
@@ -275,7 +292,7 @@ def vectorised(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         terms = Terms(vocabulary)
-        for b in slices(batches):
+        for b in slices(batches, ROWS):
             got = [terms.counts(t) for t in texts(b.column(1))]
             ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in got])]).astype(np.int32)
             lists = [
@@ -426,8 +443,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        made.vocabulary = None  # this task's copy needs the places alone
         index = made.fitted()
-        for b in slices(batches):
+        made.terms = made.units = None
+        trim()
+        for b in slices(batches, ROWS):
             scores, examples = [], []
             for places, cosines in made.nearest(index, zip(_parts(b.column(1)), _parts(b.column(2)))):
                 scores.append(made.score(made.vote(index.labels[places], cosines)))
@@ -456,9 +476,12 @@ def drop_toxic_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        index, terms = made.fitted(), Terms(made.vocabulary)
-        made.vocabulary = made.terms = made.units = None  # this task's copy has made its tools of them
-        for b in slices(batches):
+        terms = Terms(made.vocabulary)
+        made.vocabulary = None  # this task's copy has made its tools of it
+        index = made.fitted()
+        made.terms = made.units = None
+        trim()
+        for b in slices(batches, ROWS):
             keep = []
             for places, cosines in made.nearest(index, map(terms.counts, texts(b.column(text_at)))):
                 keep.append(made.score(made.vote(index.labels[places], cosines)) < THRESHOLD)
