@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, forget_paths, forgetting, written, written_paths
+from quillspark.llm.common import broadcast_if_small, forget, forget_paths, forgetting, trim_executors, written, written_paths
 from quillspark.llm.jaccard import near_duplicate_rows, text_hashes
 from quillspark.llm.line_dedup import drop_boilerplate
 from quillspark.llm.packing import pack_documents
@@ -30,13 +30,14 @@ MAX_ROWS = 1_000_000
 
 
 def _stage(work: Stage) -> Stage:
-    """A stage that begins by deleting what the one before has left in the shared folder, but for its own input."""
+    """A stage that begins by deleting what the one before has left, in the shared folder but for its own input, and in the executors."""
 
     @wraps(work)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         left = _left.pop(spark, [])
         read = {part for file in docs.inputFiles() for part in file.split("/")} if left else set()
         forget_paths(spark, [path for path in left if path.rsplit("/", 1)[-1] not in read])
+        trim_executors(spark)
         before = set(written_paths(spark))
         out = work(spark, docs, sf_dir)
         _left[spark] = [path for path in written_paths(spark) if path not in before]

@@ -141,6 +141,22 @@ def trim_driver(spark: SparkSession) -> bool:
     return True
 
 
+def trim_executors(spark: SparkSession) -> int:
+    """Have the executors give back the heap that they do not use; how many tasks asked for it.
+
+    A heap that sorts and joins have filled stays with its executor, beside the
+    Python workers that the next step needs. One short task for each core
+    reaches every executor that is idle; none is waited for otherwise. Where
+    the driver is the executor, :func:`trim_driver` does it.
+    """
+    sc = spark.sparkContext
+    if re.fullmatch(r"local(\[.*\])?", sc.master):
+        return 0
+    tasks = sc.defaultParallelism
+    asked = spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("said"))
+    return len(asked.collect())
+
+
 BATCH_ROWS = 1_024  #: rows of texts that JVM and worker hold at once
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, forget, forgetting, shuffles_dropped, small_batches, trim_driver, written
+from quillspark.llm.common import broadcast_if_small, forget, forgetting, shuffles_dropped, small_batches, trim_driver, trim_executors, written
 from quillspark.llm.components import connected_components
 from quillspark.llm.memo import release, slices, trim
 from quillspark.llm.simhash import simhash_links
@@ -248,6 +248,7 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     groups = written(groups.select("node", "fp", "n", "row", *(F.col("par")[k].alias(f"p{k}") for k in range(4))), "sets")
     tried = written(_simhash_pairs(groups), "ahead")
     trim_driver(spark)
+    trim_executors(spark)
     links = _verified(tried, texts, groups)
     # each set once: rows that repeat one are left out
     again = rows.select("node", "row").join(groups.select(F.col("node").alias("of"), F.col("row").alias("rep")), F.col("node") == F.col("of"))
@@ -258,6 +259,7 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     signs = groups.select(F.col("node").alias("of"), "p0", "p1", "p2", "p3")
     prefix = written(prefix.join(signs, F.col("node") == F.col("of")).drop("of"), "met")
     trim_driver(spark)
+    trim_executors(spark)
     # sets outside their element's commonest class meet a few of it while that saves much, then all of other classes
     last, turn = None, 0
     while True:
@@ -288,6 +290,7 @@ def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFra
         links = known.toDF("u", "v").union(_verified(new, texts, groups))
         forget(placed, mixed)
         trim_driver(spark)
+        trim_executors(spark)
         if not first:
             break
         tried, last, turn = tried.union(new), cost, turn + CENTRES

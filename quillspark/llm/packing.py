@@ -16,7 +16,7 @@ from quillspark.llm.common import small_batches, written
 from quillspark.llm.memo import Memo, release, slices, texts, tool
 
 CAPACITY = 2048
-MEMO = 200_000  #: entries in each generation of a worker's memos
+MEMO = 200_000  #: entries in each generation of a worker's memo
 MEMO_CHARS = 64  #: longer words are not kept
 
 
@@ -45,16 +45,17 @@ class WordIds:
         self.stand_in = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.other = re.compile("[^\t\n\r -~¡-±´-¸º»¿-įı-ɏ]|<\\|")
         self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+        # a part is a chunk that has no other part, so one memo serves both
         self.chunk = Memo(MEMO, self._chunk)
-        self.part = Memo(MEMO, self._word)
 
     def _chunk(self, chunk: str) -> bytes:
-        part = self.part if len(chunk) <= MEMO_CHARS else self._word
         if chunk.isalpha():
-            return part(chunk)
+            return self._word(chunk)
+        part = self.chunk if len(chunk) <= MEMO_CHARS else self._word
         if chunk[-1] in ",." and chunk[:-1].isalpha():
             return part(chunk[:-1]) + part(chunk[-1])
-        return b"".join(map(part, self.parts.findall(chunk)))
+        parts = self.parts.findall(chunk)
+        return self._word(chunk) if parts == [chunk] else b"".join(map(part, parts))
 
     def _word(self, word: str) -> bytes:
         """One part's ids by the library's model alone; it takes bytes as the characters that stand for them."""
