@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillspark.operators.evidence import TASKS_A_CORE
 from quillspark.plans.evidence import QUERIES
 
 
@@ -10,3 +11,5 @@ def test_rows_are_dealt_before_the_scan(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = plan.index("REPARTITION_BY_NUM")
     assert min(k for k in (plan.find("MapInArrow"), plan.find("PythonUDTF")) if k >= 0) < dealt
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism  # as many tasks as cores leave all waiting for the longest
+    assert f", {tasks})" in plan[:dealt].rsplit("\n", 1)[-1]
