@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,65 @@ def test_ten_words_are_the_floor(spark):
     ten, nine = " ".join(f"t{k}" for k in range(10)), " ".join(f"n{k}" for k in range(9))
     df = spark.createDataFrame([(1, f"{ten} x y {ten}"), (2, f"{nine} x y {nine}")], "doc_id long, text string")
     assert [(r.doc_id, r.n) for r in repeats.self_repeats(df).collect()] == [(1, 10)]
+
+
+def whole_texts():
+    """Texts with 33, 34 and more places of a shingle: copies with words between, without, behind decoys; and texts with hardly any."""
+    rng = random.Random(13)
+    out = [f"{PARA}. ", "very " * 200, f"{PARA} " * 40, f"{PARA} x {PARA}", "a b c d e f g h i j x a b c d e f g h i j", "nine words that are said twice here by me. " * 2]
+    for n in (33, 34, 35, 80):
+        out.append(" ".join(f"{PARA}, u{k}" for k in range(n)))
+        out.append(" ".join(f"{PARA}, u{rng.randrange(3)}" for _ in range(n)))
+        out.append(f"{PARA} . {walls(PARA.split(), 0, 'd', n)} then {PARA} end")
+    return out + [" ".join(rng.choice("ab") for _ in range(900))]
+
+
+def test_whole_repeats_try_every_earlier_place(spark, monkeypatch):
+    from quillspark.functions import duplication
+    from quillspark.operators import evidence
+
+    rule = repeats.repeat_rule()
+    data = [*enumerate(whole_texts()), (0, None), (2, whole_texts()[2])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = repeats.self_repeats(evidence.spread(df), whole=True).collect()
+    monkeypatch.setattr(duplication, "TRIED", 10**9)
+    want = []
+    for d, t in data:
+        runs = find_runs(tokenize(t or ""), rule.shingle_words, rule.min_run_words)
+        want += [(d, False, r.earlier, r.later, r.length) for r in longest(runs, rule.max_reports)]
+    assert sorted(want) == sorted((r.doc_id, r.capped, r.early, r.late, r.n) for r in got)
+    assert len({d for d, *_ in want}) > 12
+
+
+def test_the_query_of_repeats_caps_no_text(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([*enumerate(whole_texts())], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["verbatim_repeats"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} >= {1, 2} and not any(r.capped for r in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["verbatim_repeats"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("k, floor", [(2, 2), (3, 5), (8, 10)])
+def test_the_whole_walk_equals_all_tries(k, floor, monkeypatch):
+    from quillspark.functions import duplication
+
+    monkeypatch.setattr(duplication, "TRIED", 10**9)
+    rng, reported = random.Random(k), 0
+    for _ in range(150):
+        stems = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 16))) for _ in range(3)]
+        text = " ".join(rng.choice((*stems, rng.choice("ab"), f"u{rng.randrange(40)}")) for _ in range(rng.randrange(60)))
+        words = duplication.words_of(text)
+        at = {}
+        for i in range(len(words) - k + 1):
+            at.setdefault(" ".join(words[i : i + k]), []).append(i)
+        again = [(hash(h), i) for h, v in at.items() if len(v) > 1 for i in v]
+        got = duplication.whole_runs(np.array([i for _, i in again], np.int64), np.array([h for h, _ in again], np.int64), k, floor)
+        assert got == duplication.own_runs(text, k, floor), text
+        reported += len(got)
+    assert reported > 200
